@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, packing, simhash
+from . import exact_dedup, language_id, packing, simhash, url_filter, warc
 from .common import id_crc32
 
 #: Where the public tokenizers' files are; every executor has the package.
@@ -42,9 +42,31 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op4_best_fit_packing, op6_exact_dedup, op7_language_id)}
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.round_trip(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = url_filter.judge(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op4_best_fit_packing, op6_exact_dedup, op7_language_id, op8_warc, op9_url_filters)}
 
 ORACLE = {
+    "op8_warc": """
+        WITH p AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+        f AS (SELECT hex, min(page_id) AS first_id FROM p GROUP BY hex)
+        SELECT page_id, payload_bytes,
+            array_to_string(list_transform(range(0, 32), lambda i:
+                substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                    1 + ((('0x' || substr(p.hex, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::BIGINT, 1)), '') AS payload_digest,
+            CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+        FROM p JOIN f USING (hex)
+    """,
     "op6_exact_dedup": """
         WITH d AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body
