@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, packing, simhash, url_filter, warc
-from .common import id_crc32
+from . import ann, exact_dedup, language_id, packing, simhash, toxicity, url_filter, warc
+from .common import Scratch, id_crc32
 
 #: Where the public tokenizers' files are; every executor has the package.
 PACKING_TOKENIZER = "word_bpe_49k.json"
@@ -26,6 +26,14 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(F.pmod(id_crc32(F.col("doc_id")), F.lit(5)) == 0, F.lit(False))
+    index = toxicity.fit(docs, labels.where(~held_out), Scratch(spark, "toxicity"))
+    out = toxicity.score(docs, index)
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(PACKING_TOKENIZER))
 
@@ -52,7 +60,11 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op4_best_fit_packing, op6_exact_dedup, op7_language_id, op8_warc, op9_url_filters)}
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_toxicity, op4_best_fit_packing, op6_exact_dedup, op7_language_id, op8_warc, op9_url_filters, op10_nearest_neighbours)}
 
 ORACLE = {
     "op8_warc": """
