@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, language_id, packing, simhash, toxicity, url_filter, warc
+from . import ann, exact_dedup, language_id, packing, sentencepiece_codec, simhash, toxicity, url_filter, warc
 from .common import Scratch, id_crc32
 
 #: Where the public tokenizers' files are; every executor has the package.
 PACKING_TOKENIZER = "word_bpe_49k.json"
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str) -> str:
@@ -22,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return sentencepiece_codec.encode(docs, tokenizer_path(PIECE_MODEL), dropout=0.1, seed=20, with_ids=False)
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -64,7 +70,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_toxicity, op4_best_fit_packing, op6_exact_dedup, op7_language_id, op8_warc, op9_url_filters, op10_nearest_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece_dropout, op2_simhash_near_dedup, op3_toxicity, op4_best_fit_packing, op6_exact_dedup, op7_language_id, op8_warc, op9_url_filters, op10_nearest_neighbours)}
 
 ORACLE = {
     "op8_warc": """
