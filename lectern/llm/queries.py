@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, language_id, packing, sentencepiece_codec, simhash, toxicity, url_filter, warc
+from . import ann, exact_dedup, language_id, packing, sentencepiece_codec, simhash, suffix_dedup, toxicity, url_filter, warc
 from .common import Scratch, id_crc32
 
 #: Where the public tokenizers' files are; every executor has the package.
@@ -44,6 +44,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(PACKING_TOKENIZER))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -70,7 +75,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece_dropout, op2_simhash_near_dedup, op3_toxicity, op4_best_fit_packing, op6_exact_dedup, op7_language_id, op8_warc, op9_url_filters, op10_nearest_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece_dropout, op2_simhash_near_dedup, op3_toxicity, op4_best_fit_packing, op5_suffix_array_dedup, op6_exact_dedup, op7_language_id, op8_warc, op9_url_filters, op10_nearest_neighbours)}
 
 ORACLE = {
     "op8_warc": """
