@@ -25,17 +25,17 @@ def chunk_list(text: Column, min_chars: int = 512, max_chars: int = 4096) -> Col
 def exact_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 512, max_chars: int = 4096
 ) -> DataFrame:
-    """One row per input row: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
+    """One row per input row: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``, ``text_hash``.
 
     Texts are equal when identical after lower-casing A-Z only; null counts as empty. Of a group the row with the
-    largest id stays. Defined cases: null ids sort below all others, and a group of null ids only keeps them all
+    largest id stays. ``text_hash`` is the XXH64 of the text as it was, which tells rows of one id apart. Defined cases: null ids sort below all others, and a group of null ids only keeps them all
     under a null ``keep_id``; rows that repeat an id count singly, and all rows with the largest id stay; an empty
     table gives an empty result; other columns of ``docs`` are not read.
     """
     scratch = Scratch(docs.sparkSession, "exact")
     text = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    lowered = docs.select(F.col(id_col).alias("id"), text.alias("body"))
-    cut = lowered.select("id", chunk_list(F.col("body"), min_chars, max_chars).alias("chunks"), F.sha2("body", 256).alias("sha"))
+    lowered = docs.select(F.col(id_col).alias("id"), text.alias("body"), F.xxhash64(text_col).alias("was"))
+    cut = lowered.select("id", "was", chunk_list(F.col("body"), min_chars, max_chars).alias("chunks"), F.sha2("body", 256).alias("sha"))
 
     # every different chunk once; map tasks drop their own repeats before the shuffle
     chunks = cut.select(F.explode("chunks").alias("chunk")).select(F.xxhash64("chunk").alias("h"), "chunk").distinct()
@@ -43,7 +43,7 @@ def exact_dedup(
     shared = scratch.save(chunks.groupBy("h").count().where("count > 1").select("h"), "collided")
 
     recipes = scratch.save(
-        cut.select("id", "sha", F.transform("chunks", lambda c: F.xxhash64(c)).alias("recipe")), "recipes"
+        cut.select("id", "was", "sha", F.transform("chunks", lambda c: F.xxhash64(c)).alias("recipe")), "recipes"
     )
     if not shared.isEmpty():
         recipes = scratch.save(_verified(recipes, cut, shared), "verified")
@@ -55,7 +55,7 @@ def exact_dedup(
     whole = parts.select("recipe", "salt").join(whole, "recipe")
     out = salted.join(whole, ["recipe", "salt"])
     kept = F.coalesce(F.col("id") == F.col("keep_id"), F.col("keep_id").isNull())
-    return out.select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"))
+    return out.select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"), F.col("was").alias("text_hash"))
 
 
 def _verified(recipes: DataFrame, cut: DataFrame, shared: DataFrame) -> DataFrame:
@@ -73,4 +73,4 @@ def _verified(recipes: DataFrame, cut: DataFrame, shared: DataFrame) -> DataFram
     redone = redone.select("sha", "id", F.flatten(F.transform("r", lambda x: F.array(x.h, x.a, x.b))).alias("longer"))
     # rows that repeat both id and text keep one entry each
     both = recipes.join(redone, (recipes.sha == redone.sha) & recipes.id.eqNullSafe(redone.id), "left")
-    return both.select(recipes.id, recipes.sha, F.coalesce("longer", "recipe").alias("recipe"))
+    return both.select(recipes.id, recipes.was, recipes.sha, F.coalesce("longer", "recipe").alias("recipe"))

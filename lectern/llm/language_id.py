@@ -7,7 +7,7 @@ a text takes the language of the nearest prototype by cosine.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -131,32 +131,50 @@ def predict(
     Defined cases: equal cosines go to the first language by name; without prototypes all rows are ``und``; rows that
     repeat are judged singly; null ids are kept; other columns are not read.
     """
-    names = sorted(prototypes)
-    matrix = np.array([prototypes[n] for n in names]).reshape(len(names), dim)
-    # what all languages share says nothing about which it is
-    shared = matrix.mean(axis=0) if len(names) > 1 else np.zeros(dim)
-    centred = matrix - shared
-    centred /= np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-12)
+    judge = _judge(prototypes, dim, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _encoder(dim, seed)
         for batch in slices(batches):
-            pred, score, cosine = [], [], []
-            for text in batch.column(1).to_pylist():
-                v = coder.bundle(text) if text and names else None
-                norm = np.linalg.norm(v) if v is not None else 0
-                if not norm:
-                    pred.append(UNKNOWN), score.append(0.0), cosine.append(0.0)
-                    continue
-                unit = v / norm
-                away = unit - shared * (shared @ unit) / max(shared @ shared, 1e-12)
-                cos = centred @ (away / max(np.linalg.norm(away), 1e-12))
-                best = int(np.argmax(cos))
-                odds = np.exp(SHARPNESS * (cos - cos[best]))
-                pred.append(names[best]), score.append(float(1 / odds.sum())), cosine.append(float(cos[best]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(cosine, pa.float64())], ["id", "lang_pred", "score", "cosine"])
+            made = [judge(t) for t in batch.column(1).to_pylist()]
+            arrays = [pa.array(x, t) for x, t in zip(zip(*made) if made else ([], [], []), (pa.string(), pa.float64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["id", "lang_pred", "score", "cosine"])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     out = read.mapInArrow(run, f"id {kind}, lang_pred string, score double, cosine double")
     return out.withColumnRenamed("id", id_col)
+
+
+def keep_known(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", dim: int = DIM, seed: int = 7) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a language: a letter, and a positive cosine with a prototype."""
+    judge = _judge(prototypes, dim, seed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            known = [cosine > 0 for _, _, cosine in map(judge, batch.column(text_col).to_pylist())]
+            yield batch.filter(pa.array(known, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _judge(prototypes: dict[str, np.ndarray], dim: int, seed: int) -> Callable[[str | None], tuple[str, float, float]]:
+    """A function from a text to language, score and cosine."""
+    names = sorted(prototypes)
+    matrix = np.array([prototypes[n] for n in names]).reshape(len(names), dim)
+    # what all languages share says nothing about which it is
+    shared = matrix.mean(axis=0) if len(names) > 1 else np.zeros(dim)
+    centred = matrix - shared
+    centred /= np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-12)
+
+    def judge(text: str | None) -> tuple[str, float, float]:
+        bundle = _encoder(dim, seed).bundle(text) if text and names else None
+        norm = np.linalg.norm(bundle) if bundle is not None else 0
+        if not norm:
+            return UNKNOWN, 0.0, 0.0
+        unit = bundle / norm
+        away = unit - shared * (shared @ unit) / max(shared @ shared, 1e-12)
+        cos = centred @ (away / max(np.linalg.norm(away), 1e-12))
+        best = int(np.argmax(cos))
+        return names[best], float(1 / np.exp(SHARPNESS * (cos - cos[best])).sum()), float(cos[best])
+
+    return judge

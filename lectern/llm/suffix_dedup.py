@@ -312,6 +312,11 @@ def _kept(length: int):
     return run
 
 
+def _key(id_col: str, text_col: str) -> Column:
+    """Tells rows apart by id and text; the few that agree in both are one text with copies."""
+    return F.xxhash64(F.col(id_col), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
     """One row per input row: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``spans`` (start and stop of each).
 
@@ -319,13 +324,51 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     null and shorter texts lose nothing; rows that repeat are two places, so each loses all of its long strings; null
     ids are kept; an empty table gives an empty result; other columns are not read. ``length`` must exceed ``GRAM``.
     """
+    rows, kept = _found(docs, Scratch(docs.sparkSession, "suffix"), id_col, text_col, length)
+    out = rows.join(kept, "k", "left")
+    none = F.lit(0).cast("long")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_bytes"), F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "spans")
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts without their spans. A character of which a span has only a part stays whole."""
+    for batch in slices(batches):
+        out = []
+        for text, spans in zip(batch.column("_text").to_pylist(), batch.column("_spans").to_pylist()):
+            parts, at = [], 0
+            for span in spans or ():
+                a, b = span["start"], span["stop"]
+                while a < len(text) and text[a] & 0xC0 == 0x80:
+                    a += 1
+                while b < len(text) and text[b] & 0xC0 == 0x80:
+                    b -= 1
+                if a < b:
+                    parts.append(text[at:a])
+                    at = b
+            out.append(None if text is None else b"".join(parts) + text[at:])
+        yield batch.set_column(batch.schema.get_field_index("_text"), "_text", pa.array(out, pa.binary()))
+
+
+def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
+    """``docs`` with the same rows and columns, repeated passages cut out of the text.
+
+    What ``repeated_passages`` finds goes, but for parts of characters at the edges, so that texts stay UTF-8. Null texts stay null.
+    """
+    scratch = Scratch(docs.sparkSession, "passages")
+    _, kept = _found(docs, scratch, id_col, text_col, length)
+    spans = kept.select(F.col("k").alias("_k"), F.col("spans").alias("_spans"))
+    hit = docs.withColumn("_k", _key(id_col, text_col)).join(spans, "_k", "left").drop("_k").withColumn("_text", F.col(text_col).cast("binary"))
+    out = hit.mapInArrow(_cut, hit.schema).withColumn(text_col, F.col("_text").cast("string"))
+    return out.select(docs.columns)
+
+
+def _found(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, length: int) -> tuple[DataFrame, DataFrame]:
+    """Written tables: ``id, k, sha, n`` of all rows, and by ``k`` the removed spans of those that lose any."""
     if length <= GRAM:
         raise ValueError(f"length must exceed {GRAM}")
-    scratch = Scratch(docs.sparkSession, "suffix")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     sha = F.sha2(text, 256)
     read = docs.select(F.col(id_col).alias("id"), text.cast("binary").alias("text"), sha.alias("sha"), F.octet_length(text).cast("long").alias("n"))
-    # rows are told apart by id and text; the few that agree in both are one text with copies
     read = read.withColumn("k", F.xxhash64("id", "sha"))
     rows = scratch.save(read.select("id", "k", "sha", "n"), "rows")
     copies = scratch.save(rows.groupBy("k").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "copies")
@@ -368,7 +411,4 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     runs = scratch.save(single.unionByName(whole).groupBy("k").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "runs")
     scratch.drop(windows, twice, cells)
     kept = alive.select("k", "text").join(runs, "k").mapInArrow(_kept(length), "k long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,stop:bigint>>")
-    kept = scratch.save(kept, "kept")
-    out = rows.join(kept, "k", "left")
-    none = F.lit(0).cast("long")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_bytes"), F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "spans")
+    return rows, scratch.save(kept, "kept")
