@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from lectern.plans import analytics, projects, retrieval, scalars, state, streams  # noqa: F401  they register
+from lectern.plans.registry import ORACLE, QUERIES
+
 FLAGSHIP = "hybrid_rrf"
+
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
