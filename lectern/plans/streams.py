@@ -1 +1,57 @@
-"""To come."""
+"""Streams over events, read to the end of the present input; the batch query is the oracle."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lectern.plans.registry import query
+from lectern.streaming import streams
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS calls, round(sum(value), 6) AS value FROM events GROUP BY ALL")
+def stream_usage_daily(spark: SparkSession, folder: str) -> DataFrame:
+    rows = streams.usage_by_day(streams.events(spark, folder)).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "calls", "value")
+    return streams.drained(rows, "update", ["day", "event_type"])
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 2 DAY THEN 1 ELSE 0 END AS new FROM events),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM g),
+    o AS (SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS writes, round(sum(value), 6) AS spent, max(ts) + INTERVAL 2 DAY AS closes FROM s GROUP BY user_id, n)
+    SELECT user_id, start_us, writes, spent FROM o WHERE closes <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)""")
+def stream_session_spend(spark: SparkSession, folder: str) -> DataFrame:
+    """Closed sessions only: those that ended before the watermark."""
+    rows = streams.spending_sessions(streams.events(spark, folder))
+    return streams.drained(rows.select("user_id", F.unix_micros("w.start").alias("start_us"), "writes", "spent"))
+
+
+@query("""WITH s AS (SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) - k * 3600000000 AS start_us, event_type FROM events, range(0, 2) t(k))
+    SELECT start_us, event_type, count(*) AS calls FROM s GROUP BY ALL""")
+def stream_trailing_rate(spark: SparkSession, folder: str) -> DataFrame:
+    rows = streams.trailing_rate(streams.events(spark, folder)).select(F.unix_micros("w.start").alias("start_us"), "event_type", "calls")
+    return streams.drained(rows, "update", ["start_us", "event_type"])
+
+
+@query("SELECT event_id, user_id FROM events")
+def stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages delivered twice, kept once."""
+    stream = streams.events(spark, folder)
+    twice = stream.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    return streams.drained(streams.once(twice, "event_id").select("event_id", "user_id"))
+
+
+@query("""WITH subs AS (SELECT c_custkey AS subscriber, c_custkey % 50 AS project FROM customer WHERE c_mktsegment = 'BUILDING')
+    SELECT e.event_id, s.subscriber FROM events e JOIN subs s ON s.project = e.user_id WHERE event_type = 'error'""")
+def stream_fanout(spark: SparkSession, folder: str) -> DataFrame:
+    """Errors delivered to each subscriber of their project, a join of the stream with the table of subscriptions."""
+    subs = spark.read.parquet(f"{folder}/customer.parquet").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("subscriber"), (F.col("c_custkey") % 50).alias("user_id"))
+    errors = streams.events(spark, folder).where("event_type = 'error'").select("event_id", "user_id", "ts")
+    return streams.drained(errors.join(subs, "user_id").select("event_id", "subscriber"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    r AS (SELECT user_id, n, us + 172800000000 AS expires, false AS hit FROM e WHERE n = 1
+    UNION ALL SELECT e.user_id, e.n, CASE WHEN e.us < r.expires THEN r.expires ELSE e.us + 172800000000 END, e.us < r.expires FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+    SELECT user_id, CAST(count(*) FILTER (hit) AS BIGINT) AS hits, CAST(count(*) FILTER (NOT hit) AS BIGINT) AS misses FROM r GROUP BY user_id""")
+def stream_ttl_cache(spark: SparkSession, folder: str) -> DataFrame:
+    return streams.drained(streams.cache_hits(streams.events(spark, folder), 172_800), "update", ["user_id"])
