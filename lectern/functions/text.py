@@ -67,14 +67,13 @@ def keywords(text: Column, most: int = 10) -> Column:
 
 
 def seconds(duration: Column) -> Column:
-    """Seconds of ``2m59.56s``; 60 if it can't be read."""
-    minutes = F.when(duration.contains("m"), F.expr("1")).otherwise(F.lit(0))
-    head = F.when(minutes == 1, F.substring_index(duration, "m", 1))
-    tail = F.when(minutes == 1, F.substring_index(F.substring(duration, F.length(head) + 2, F.length(duration)), "m", 1)).otherwise(duration)
-    number = lambda c: F.expr("try_cast(NULL AS DOUBLE)") if c is None else c.try_cast("double")
-    in_tail = F.when(tail.contains("s"), number(F.replace(tail, F.lit("s"), F.lit("")))).otherwise(F.lit(0.0))
-    in_head = F.when(minutes == 1, number(head) * 60).otherwise(F.lit(0.0))
-    return F.coalesce(in_head + in_tail, F.lit(60.0))
+    """Seconds of ``2m59.56s``; without minutes and seconds zero, and 60 if a number can't be read."""
+    parts = F.split(duration, "m")
+    has_minutes = F.size(parts) > 1
+    rest = F.when(has_minutes, F.get(parts, F.lit(1))).otherwise(duration)
+    minutes = F.when(has_minutes, F.get(parts, F.lit(0)).try_cast("double") * 60).otherwise(F.lit(0.0))
+    left = F.when(rest.contains("s"), F.replace(rest, F.lit("s"), F.lit("")).try_cast("double")).otherwise(F.lit(0.0))
+    return F.coalesce(minutes + left, F.lit(60.0))
 
 
 def retry_after(message: Column) -> Column:

@@ -45,7 +45,11 @@ def best_per(ranked: DataFrame, key: str, score: str, tie: str) -> DataFrame:
 def parsed_scores(answer: Column, count: Column) -> Column:
     """One score in [0, 1] a line; 0.5 where a line can't be read or is missing."""
     lines = F.split(F.trim(answer), "\n")
-    score = lambda i: F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.trim(F.get(lines, i)).try_cast("double"))), F.lit(0.5))
+
+    def score(i: Column) -> Column:
+        number = F.trim(F.get(lines, i)).try_cast("double")
+        return F.when(number.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)))
+
     return F.transform(F.sequence(F.lit(0), count - 1), score)
 
 

@@ -84,7 +84,7 @@ def theme_rollup(spark: SparkSession, folder: str) -> DataFrame:
     return stats.join(few, ["year", "methodology"])
 
 
-@query("""SELECT d.doc_id, CASE WHEN quality = 1 THEN 90.0 ELSE 40.0 END AS score, quality = 1 AS high_quality,
+@query("""SELECT d.doc_id, CAST(CASE WHEN quality = 1 THEN 90.0 ELSE 40.0 END AS DOUBLE) AS score, quality = 1 AS high_quality,
     CASE WHEN quality = 1 THEN '' ELSE 'below threshold' END AS skipped FROM documents d JOIN labels l USING (doc_id) WHERE text <> '' AND quality IS NOT NULL""")
 def relevance_split(spark: SparkSession, folder: str) -> DataFrame:
     """Documents at or above the threshold of 60, and the others with the reason why they are skipped."""

@@ -137,7 +137,7 @@ def heuristic_rerank(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(r"""WITH a AS (SELECT conv_id, turn, string_split(trim(CASE WHEN turn % 3 = 0 THEN '0.9' || chr(10) || 'bad' || chr(10) || '2' ELSE CAST(length(text) / 1000.0 AS VARCHAR) END), chr(10)) AS l FROM conversations)
-    SELECT conv_id, turn, i AS place, coalesce(greatest(0.0, least(1.0, TRY_CAST(trim(l[i + 1]) AS DOUBLE))), 0.5) AS score FROM a, range(0, 5) t(i)""")
+    SELECT conv_id, turn, i AS place, CASE WHEN TRY_CAST(trim(l[i + 1]) AS DOUBLE) IS NULL THEN 0.5 ELSE greatest(0.0, least(1.0, TRY_CAST(trim(l[i + 1]) AS DOUBLE))) END AS score FROM a, range(0, 5) t(i)""")
 def rerank_parse_scores(spark: SparkSession, folder: str) -> DataFrame:
     talk = tables.load(spark, folder, "conversations")
     answer = F.when(F.col("turn") % 3 == 0, "0.9\nbad\n2").otherwise((F.length("text") / 1000.0).cast("string"))
