@@ -1,7 +1,7 @@
 """Removal of repeated passages by a distributed difference-cover suffix sort.
 
-Texts are cut at anchors, places where a hash of the next ``GRAM`` bytes has ``ANCHOR_BITS`` low zero bits: what repeats
-in two places is cut alike in both. Where an anchor's bytes are unique in the corpus nothing repeats, so only what lies
+Texts are cut at anchors, places where a hash of the next ``GRAM`` bytes is among the smallest of ``RATE`` equal parts: what
+repeats in two places is cut alike in both. Where an anchor's bytes are unique in the corpus nothing repeats, so only what lies
 between such anchors is sorted. There, the phrases between anchors are the letters of much shorter strings:
 
 - triples of phrases at positions 1 and 2 modulo 3 are sorted and named by rank,
@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, slices
 
 GRAM = 32
-ANCHOR_BITS = 6
+RATE = 48
 FAR = 1 << 20
+#: Bytes of text hashed at a time; a longer text is hashed alone.
+PORTION = 1 << 20
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -39,7 +41,7 @@ _powers: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, ``n`` at least."""
     if len(_powers[0]) < n:
-        size = max(n, 2 * len(_powers[0]), 1 << 16)
+        size = max(n, PORTION + 1)
         for i, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
             table = np.full(size, base, dtype=_U)
             table[0] = 1
@@ -70,7 +72,7 @@ class Rolling:
         if self.n < GRAM:
             return np.zeros(0, np.int64), np.zeros(0, _U)
         found = _mixed((self.sums[GRAM:] - self.sums[:-GRAM]) * self.inverse[: self.n - GRAM + 1])
-        at = np.flatnonzero((found & _U((1 << ANCHOR_BITS) - 1)) == 0)
+        at = np.flatnonzero(found < _U(2**64 // RATE))
         return at, found[at]
 
 
@@ -84,16 +86,41 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _portions(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``PORTION`` bytes together."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        if i > start and size + len(text) > PORTION:
+            yield start, i
+            start = i
+            size = 0
+        size += len(text)
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def _lists(column: pa.Array) -> Iterator[np.ndarray | dict[str, np.ndarray]]:
+    """The lists of a column as arrays, those of structs as an array for each field; null as empty."""
+    starts, sizes, values = column.offsets.to_numpy()[:-1], column.value_lengths().fill_null(0).to_numpy(), column.values
+    if pa.types.is_struct(values.type):
+        fields = {values.type.field(i).name: values.field(i).to_numpy(zero_copy_only=False) for i in range(values.type.num_fields)}
+        return ({n: f[a : a + m] for n, f in fields.items()} for a, m in zip(starts.tolist(), sizes.tolist()))
+    flat = values.to_numpy(zero_copy_only=False)
+    return (flat[a : a + m] for a, m in zip(starts.tolist(), sizes.tolist()))
+
+
 def _anchor_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 512):
-            texts = [t or b"" for t in batch.column(1).to_pylist()]
-            ends = np.cumsum([0, *map(len, texts)])
-            at, found = Rolling(b"".join(texts)).anchors()
-            row = np.searchsorted(ends, at, "right") - 1
-            ok = (at + GRAM <= ends[row + 1]) & (ends[row + 1] - ends[row] >= length)
-            row, at, found = row[ok], at[ok], found[ok]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array((at - ends[row]).astype(np.int32)), _signed(found)], ["k", "at", "h"])
+        for batch in slices(batches, 2048):
+            texts = batch.column(1).to_pylist()
+            for low, high in _portions(texts):
+                part = texts[low:high]
+                ends = np.cumsum([0, *map(len, part)])
+                at, found = Rolling(b"".join(part)).anchors()
+                row = np.searchsorted(ends, at, "right") - 1
+                ok = (at + GRAM <= ends[row + 1]) & (ends[row + 1] - ends[row] >= length)
+                row, at, found = row[ok], at[ok], found[ok]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + low)), pa.array((at - ends[row]).astype(np.int32)), _signed(found)], ["k", "at", "h"])
 
     return run
 
@@ -104,16 +131,14 @@ def _alive_runs(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
             rows, lows, highs = [], [], []
-            for row, (text, repeated) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+            for row, (text, repeated) in enumerate(zip(batch.column(1).to_pylist(), _lists(batch.column(2)))):
                 if text is None or len(text) < length:
                     continue
                 at, _ = Rolling(text).anchors()
-                lone = at[~np.isin(at, np.array(repeated or [], dtype=np.int64))]
+                lone = at[~np.isin(at, repeated)]
                 starts = len(text) - length + 1
-                change = np.zeros(len(text) + 1, np.int32)
-                np.add.at(change, np.maximum(lone - (length - GRAM), 0), 1)
-                np.add.at(change, lone + 1, -1)
-                low, high = _runs(np.cumsum(change)[:starts] == 0)
+                change = np.bincount(np.maximum(lone - (length - GRAM), 0), minlength=len(text) + 1) - np.bincount(lone + 1, minlength=len(text) + 1)
+                low, high = _runs(np.cumsum(change[:starts]) == 0)
                 if len(low):
                     rows.append(row), lows.append(low), highs.append(high)
             taken = batch.take(pa.array(rows, pa.int64()))
@@ -271,20 +296,28 @@ def _cell_rows(length: int):
 
 
 def _window_rows(length: int):
-    """The hashes of all windows of the given cells, once for each document, with the places of lone cells' windows."""
+    """The different windows of the given cells, once for each document: hash ``w``, how often it stands there ``n``, and the place of a lone
+    one. Windows that a document itself repeats are decided: their runs have no hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 128):
-            keys, hashes, counts, places = [], [], [], []
-            for key, text, cells in zip(*(c.to_pylist() for c in batch.columns)):
-                rolling = Rolling(text)
-                start = np.concatenate([np.arange(c["lo"], c["hi"] + 1) for c in cells])
-                times = np.repeat([c["n"] for c in cells], [c["hi"] - c["lo"] + 1 for c in cells])
-                found = rolling.hashes(start, start + length)
-                keys.append(np.full(len(found), key)), hashes.append(found.view(np.int64))
-                counts.append(times), places.append(np.where(times == 1, start, -1))
-            arrays = [pa.array(np.concatenate(c) if c else [], pa.int64()) for c in (keys, hashes, counts, places)]
-            yield pa.RecordBatch.from_arrays(arrays, ["k", "w", "n", "at"])
+            cols: list[list[np.ndarray]] = [[], [], [], [], []]
+            for key, text, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _lists(batch.column(2))):
+                sizes = cells["hi"] - cells["lo"] + 1
+                start = np.concatenate([np.arange(a, a + m) for a, m in zip(cells["lo"].tolist(), sizes.tolist())])
+                times = np.repeat(cells["n"], sizes)
+                found, first, kind = np.unique(Rolling(text).hashes(start, start + length), return_index=True, return_inverse=True)
+                total = np.bincount(kind, times).astype(np.int64)
+                known = (total[kind] > 1) & (times == 1)
+                flags = np.zeros(len(text) + 1, dtype=bool)
+                flags[start[known]] = True
+                low, high = _runs(flags)
+                none = np.full(len(low), 0, np.int64)
+                alone = np.where(total == 1, start[first], -1)
+                for col, x in zip(cols, (np.full(len(found) + len(low), key), np.concatenate([found.view(np.int64), none]), np.concatenate([total, none]), np.concatenate([alone, low]), np.concatenate([alone, high - 1]))):
+                    col.append(x)
+            arrays = [pa.array(np.concatenate(c) if c else [], pa.int64()) for c in cols]
+            yield pa.RecordBatch.from_arrays(arrays, ["k", "w", "n", "lo", "hi"])
 
     return run
 
@@ -296,10 +329,8 @@ def _kept(length: int):
         for batch in slices(batches, 256):
             out: list[list] = [[], [], []]
             spans: list[list] = []
-            for text, runs in zip(*(batch.column(i).to_pylist() for i in (1, 2))):
-                change = np.zeros(len(text) + 1, np.int64)
-                np.add.at(change, np.array([r["lo"] for r in runs]), 1)
-                np.add.at(change, np.array([r["hi"] for r in runs]) + length, -1)
+            for text, runs in zip(batch.column(1).to_pylist(), _lists(batch.column(2))):
+                change = np.bincount(runs["lo"], minlength=len(text) + 1) - np.bincount(runs["hi"] + length, minlength=len(text) + 1)
                 low, high = _runs(np.cumsum(change)[:-1] > 0)
                 edges = [0, *np.stack([low, high], 1).ravel().tolist(), len(text)]
                 rest = hashlib.sha256(b"".join([text[a:b] for a, b in zip(edges[::2], edges[1::2])])).hexdigest()
@@ -403,10 +434,11 @@ def _found(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, length
     open_ = kinds.groupBy("inner").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 AND least = 1 AND inner <> 0").select("inner")
     tried = kinds.join(scratch.save(open_, "open"), "inner", "left_semi").unionByName(kinds.where("inner = 0"))
     tried = tried.groupBy("k").agg(F.collect_list(F.struct("lo", "hi", "n")).alias("cells"))
-    windows = alive.select("k", "text").join(scratch.save(tried, "tried"), "k").mapInArrow(_window_rows(length), "k long, w long, n long, at long")
+    windows = alive.select("k", "text").join(scratch.save(tried, "tried"), "k").mapInArrow(_window_rows(length), "k long, w long, n long, lo long, hi long")
     windows = scratch.save(windows, "windows")
-    twice = scratch.save(windows.groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").select("w"), "twice")
-    single = windows.where("at >= 0").join(twice, "w", "left_semi").select("k", F.col("at").alias("lo"), F.col("at").alias("hi"))
+    hashed = windows.where("n > 0")
+    twice = scratch.save(hashed.groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").select("w"), "twice")
+    single = hashed.where("lo >= 0").join(twice, "w", "left_semi").select("k", "lo", "hi").unionByName(windows.where("n = 0").select("k", "lo", "hi"))
     whole = cells.join(scratch.save(kinds.where("n > 1").select("inner", "whole"), "often"), ["inner", "whole"], "left_semi").select("k", "lo", "hi")
     runs = scratch.save(single.unionByName(whole).groupBy("k").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "runs")
     scratch.drop(windows, twice, cells)
