@@ -38,20 +38,36 @@ def features(text: str) -> Counter[str]:
     return out
 
 
-def sparse(text: str, number: dict[str, int]) -> tuple[list[int], list[float]]:
-    """The numbers and counts of the text's telling features, ``OTHER`` among them; empty if there is no other one."""
-    found, other = [], 0
-    for feature, n in features(text).items():
-        if feature in number:
-            found.append((number[feature], float(n)))
-        elif feature[-1] != "*":
-            other += n
-    if not found:
-        return [], []
-    if other:
-        found.append((number[OTHER], float(other)))
-    found.sort()
-    return [t for t, _ in found], [n for _, n in found]
+class Vocabulary:
+    """Numbers of the telling features, words and beginnings apart, so that texts are read without making features."""
+
+    def __init__(self, terms: list[tuple[str, float]]):
+        self.words = {t: i for i, (t, _) in enumerate(terms) if t[-1] != "*"}
+        self.begin = {size: {t[:-1]: i for i, (t, _) in enumerate(terms) if t[-1] == "*" and len(t) == size + 1} for size in BEGINNINGS}
+        self.other = len(terms) - 1
+
+    def sparse(self, text: str) -> tuple[list[int], list[float]]:
+        """The numbers and counts of the text's telling features, and of ``OTHER`` for its other words; empty without any."""
+        words, begin = self.words, self.begin
+        least = begin[BEGINNINGS[0]]
+        found: Counter[int] = Counter()
+        counts = Counter(WORD.findall(text.lower()))
+        other = 0
+        for word, n in counts.items():
+            if word in words:
+                found[words[word]] += n
+            else:
+                other += n
+            if word[: BEGINNINGS[0]] in least or len(word) > BEGINNINGS[0] and any(word[:size] in begin[size] for size in BEGINNINGS[1:]):
+                for size in BEGINNINGS:
+                    if len(word) > size and word[:size] in begin[size]:
+                        found[begin[size][word[:size]]] += n
+        if not found:
+            return [], []
+        if other:
+            found[self.other] = other
+        pairs = sorted(found.items())
+        return [t for t, _ in pairs], [float(n) for _, n in pairs]
 
 
 class Index:
@@ -59,7 +75,7 @@ class Index:
 
     def __init__(self, terms: list[tuple[str, float]], examples: list[tuple[int, int, list[int], list[float]]], k: int):
         """terms: feature and idf, ``OTHER`` last; examples: id, label, feature numbers, term frequencies."""
-        self.number = {t: i for i, (t, _) in enumerate(terms)}
+        self.vocabulary = Vocabulary(terms)
         self.idf = np.array([w for _, w in terms], dtype=np.float64)
         self.k = k
         made = [(i, y, np.array(f, dtype=np.int64), self._unit(np.array(f, dtype=np.int64), np.array(n))) for i, y, f, n in examples if f]
@@ -71,10 +87,11 @@ class Index:
         term = np.concatenate([e[2] for e in made]) if made else np.zeros(0, np.int64)
         doc = np.repeat(np.arange(len(made)), [len(e[2]) for e in made]) if made else term
         weight = np.concatenate([e[3] for e in made]) if made else np.zeros(0)
+        order = np.argsort(doc // BLOCK, kind="stable")
+        self.term, self.doc, self.weight = term[order], doc[order] % BLOCK, weight[order]
+        self.start = np.searchsorted(doc[order] // BLOCK, np.arange(self.blocks + 1))
+        self.query = np.zeros(len(terms))
         slot = term * self.blocks + doc // BLOCK
-        order = np.argsort(slot, kind="stable")
-        self.doc, self.weight = doc[order] % BLOCK, weight[order]
-        self.start = np.searchsorted(slot[order], np.arange(len(terms) * self.blocks + 1))
         self.most = np.zeros(len(terms) * self.blocks)
         np.maximum.at(self.most, slot, weight)
         self.most = self.most.reshape(len(terms), self.blocks)
@@ -86,7 +103,7 @@ class Index:
         return weights / np.linalg.norm(weights)
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        terms, counts = sparse(text, self.number)
+        terms, counts = self.vocabulary.sparse(text)
         if not terms:
             return np.zeros(0, np.int64), np.zeros(0)
         own = np.array(terms)
@@ -95,23 +112,23 @@ class Index:
     def neighbours(self, terms: np.ndarray, weights: np.ndarray, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Exactly the ``k`` examples with the largest cosine above zero, ties to the earlier example; ``but``: an id to leave out."""
         bounds = weights @ self.most[terms]
+        self.query[terms] = weights
         at, cos, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for block in np.argsort(-bounds, kind="stable"):
+        for block in np.argsort(-bounds, kind="stable").tolist():
             if bounds[block] <= 0 or len(at) >= self.k and bounds[block] < least - 1e-12:
                 break
-            score = np.zeros(BLOCK)
-            for t, w in zip(terms, weights):
-                a, b = self.start[t * self.blocks + block], self.start[t * self.blocks + block + 1]
-                if b > a:
-                    score[self.doc[a:b]] += w * self.weight[a:b]
-            hit = np.flatnonzero(score > 0)
-            own = hit + block * BLOCK
+            own = slice(self.start[block], self.start[block + 1])
+            score = np.bincount(self.doc[own], self.query[self.term[own]] * self.weight[own], BLOCK)
+            hit = np.flatnonzero(score >= max(least - 1e-12, 1e-12) if len(at) >= self.k else score > 0)
             if but is not None:
-                hit, own = hit[self.ids[own] != but], own[self.ids[own] != but]
-            at, cos = np.concatenate([at, own]), np.concatenate([cos, score[hit]])
+                hit = hit[self.ids[hit + block * BLOCK] != but]
+            if not len(hit):
+                continue
+            at, cos = np.concatenate([at, hit + block * BLOCK]), np.concatenate([cos, score[hit]])
             best = np.lexsort((at, -np.round(cos, 12)))[: self.k]
             at, cos = at[best], cos[best]
-            least = cos[-1] if len(cos) else 0.0
+            least = cos[-1]
+        self.query[terms] = 0
         return at, cos
 
     def vote(self, terms: np.ndarray, weights: np.ndarray, but: int | None = None) -> tuple[float | None, list[int]]:
@@ -189,11 +206,11 @@ def fit(
     telling = counted.where(F.col("n") >= least_docs).withColumn("z", F.abs(z)).where(F.col("z") >= least_z)
     terms = [(r["term"], float(np.log((1 + n) / (1 + r["n"])) + 1)) for r in telling.orderBy(F.desc("z"), "term").limit(max_terms).collect()]
     terms.append((OTHER, 1.0))
-    number = {t: i for i, (t, _) in enumerate(terms)}
+    vocabulary = Vocabulary(terms)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [sparse(x or "", number) for x in batch.column(1).to_pylist()]
+            found = [vocabulary.sparse(x or "") for x in batch.column(1).to_pylist()]
             cols = [batch.column(0), batch.column(2), pa.array([t for t, _ in found], pa.list_(pa.int32())), pa.array([c for _, c in found], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(cols, ["id", "y", "terms", "counts"])
 
