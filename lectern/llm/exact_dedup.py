@@ -18,7 +18,7 @@ SALTS = 64
 
 def chunk_list(text: Column, min_chars: int = 512, max_chars: int = 4096) -> Column:
     """The content-defined chunks of ``text``, in order; together they are the text. Empty text: no chunk."""
-    rest = max_chars - min_chars
+    rest = max_chars - min_chars - 1
     return F.regexp_extract_all(text, F.lit(rf"(?s).{{{min_chars}}}[^.!?\n]{{0,{rest}}}+.?|.+"), F.lit(0))
 
 
@@ -59,7 +59,7 @@ def exact_dedup(
 
 
 def _verified(recipes: DataFrame, cut: DataFrame, shared: DataFrame) -> DataFrame:
-    """Recipes in which a chunk with a collided identifier also carries the two halves of its SHA-256.
+    """Recipes in which a chunk with a collided identifier also carries 120 bits of its SHA-256.
 
     Runs only where two different chunks share a 64-bit identifier. Such recipes get longer entries, equal for equal
     texts and different for different ones.
@@ -68,8 +68,8 @@ def _verified(recipes: DataFrame, cut: DataFrame, shared: DataFrame) -> DataFram
     named = named.select("id", "sha", "pos", F.xxhash64("chunk").alias("h"), F.sha2("chunk", 256).alias("full"))
     hit = named.join(shared, "h", "left_semi").select("sha").distinct()
     redone = named.join(hit, "sha", "left_semi").groupBy("sha", "id", "pos").agg(F.first("h").alias("h"), F.first("full").alias("full"))
-    half = lambda at: F.xxhash64(F.substring("full", at, 32))
-    redone = redone.groupBy("sha", "id").agg(F.array_sort(F.collect_list(F.struct("pos", "h", half(1).alias("a"), half(33).alias("b")))).alias("r"))
+    half = lambda at: F.conv(F.substring("full", at, 15), 16, 10).cast("bigint")
+    redone = redone.groupBy("sha", "id").agg(F.array_sort(F.collect_list(F.struct("pos", "h", half(1).alias("a"), half(16).alias("b")))).alias("r"))
     redone = redone.select("sha", "id", F.flatten(F.transform("r", lambda x: F.array(x.h, x.a, x.b))).alias("longer"))
     # rows that repeat both id and text keep one entry each
     both = recipes.join(redone, (recipes.sha == redone.sha) & recipes.id.eqNullSafe(redone.id), "left")
