@@ -34,6 +34,15 @@ def test_no_dropout_is_the_models_own_segmentation():
         assert list(np.frombuffer(own.encode(text), "<u4")) == model.encode(text)
 
 
+def test_both_agendas_agree():
+    for dropout in (0.0, 0.3, 0.9):
+        own = sentencepiece_codec.Codec(MODEL, dropout, 4, 2)
+        for text in texts():
+            for part in own.cut.findall(" " + text):
+                symbols = part.replace(" ", sentencepiece_codec.SPACE)
+                assert own._listed(list(symbols), own.keys[0]) == own._heaped(list(symbols), own.keys[0])
+
+
 @pytest.mark.parametrize("dropout", [0.0, 0.1, 0.5, 1.0])
 def test_dropout_is_lossless_and_varies(dropout):
     own = sentencepiece_codec.Codec(MODEL, dropout, 1, 2)
