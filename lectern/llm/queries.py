@@ -78,6 +78,37 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_sentencepiece_dropout, op2_simhash_near_dedup, op3_toxicity, op4_best_fit_packing, op5_suffix_array_dedup, op6_exact_dedup, op7_language_id, op8_warc, op9_url_filters, op10_nearest_neighbours)}
 
 ORACLE = {
+    "op9_url_filters": r"""
+        WITH u AS (
+            SELECT page_id, coalesce(url, '') AS url,
+                translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+        fixed(says, rule, h, p) AS (VALUES ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'),
+            ('block', 'example.com/de/', 'example.com', '/de/'), ('allow', 'org/fr/', 'org', '/fr/')),
+        f AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(says, length(rule)) AS says FROM u, fixed
+            WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id),
+        t AS (SELECT u.page_id, host, path, f.rule, f.says, list_sort(list_distinct(list_concat(
+                list_transform(regexp_extract_all(url, '^([A-Za-z]+)://', 1), lambda x: 's:' || x),
+                list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'h:' || x),
+                list_transform(list_filter(string_split_regex(regexp_replace(regexp_replace(path, '\.[A-Za-z0-9]{1,5}$', ''), '[0-9]+', '#', 'g'), '[/_.-]+'),
+                    lambda x: x <> ''), lambda x: 'p:' || x),
+                list_transform(regexp_extract_all(path, '\.([A-Za-z0-9]{1,5})$', 1), lambda x: 'e:' || x),
+                list_transform(regexp_extract_all(regexp_extract(url, '\?([^#]*)', 1), '(?:^|&)([^=&]+)', 1), lambda x: 'q:' || x)))) AS tokens
+            FROM u LEFT JOIN f USING (page_id)),
+        one AS (SELECT page_id, says, unnest(tokens) AS a FROM t WHERE says IS NOT NULL),
+        two AS (SELECT x.page_id, x.says, x.a, y.a AS b FROM one x JOIN one y ON x.page_id = y.page_id AND x.a < y.a),
+        three AS (SELECT x.page_id, x.says, x.a, x.b, y.a AS c FROM two x JOIN one y ON x.page_id = y.page_id AND x.b < y.a),
+        sets AS (SELECT [a] AS s, says FROM one UNION ALL SELECT [a, b], says FROM two UNION ALL SELECT [a, b, c], says FROM three),
+        n AS (SELECT count(*) AS n FROM t WHERE says IS NOT NULL),
+        counted AS (SELECT s, says, count(*) AS hits, sum(count(*)) OVER (PARTITION BY s) AS total FROM sets GROUP BY s, says),
+        rules AS (SELECT s, says, round(hits / total, 9) AS confidence, round(hits / n, 9) AS support FROM counted, n
+            WHERE hits >= ceil(0.01::DOUBLE * n) AND hits / total >= 0.8),
+        kept AS (SELECT * FROM rules r WHERE NOT EXISTS (SELECT 1 FROM rules g WHERE g.says = r.says AND len(g.s) < len(r.s)
+            AND list_has_all(r.s, g.s) AND g.confidence >= r.confidence)),
+        best AS (SELECT page_id, arg_min(kept.says, (-confidence, -support, array_to_string(s, ' '), kept.says)) AS says
+            FROM t JOIN kept ON list_has_all(tokens, s) WHERE t.says IS NULL GROUP BY page_id)
+        SELECT page_id, host, path, rule, coalesce(t.says, best.says, 'allow') AS verdict FROM t LEFT JOIN best USING (page_id)
+    """,
     "op8_warc": """
         WITH p AS (
             SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
