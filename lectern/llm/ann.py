@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, slices
 
 SAMPLE = 8192
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 4096
 CHUNK_QUERIES = 16384
 SLACK = 1e-9
 

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
+#: Bytes of text that Arrow stages take apart at a time.
+PORTION = 1 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -84,6 +86,19 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
             yield batch.slice(start, rows)
 
 
+def portions(texts: list[bytes | None], size: int = PORTION) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``size`` bytes together; a longer text is alone."""
+    start = total = 0
+    for i, text in enumerate(texts):
+        length = len(text or b"")
+        if i > start and total + length > size:
+            yield start, i
+            start, total = i, 0
+        total += length
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     """The strings of a column as bytes; null stays None."""
     return column.cast(pa.binary()).to_pylist()

@@ -21,7 +21,7 @@ GRAM = 3
 UNKNOWN = "und"
 #: How sharply the score prefers the nearest prototype.
 SHARPNESS = 24.0
-KEPT_GRAMS = 60_000
+KEPT_GRAMS = 32_768
 
 
 class Encoder:
@@ -31,7 +31,7 @@ class Encoder:
         self.dim, self.seed = dim, seed
         self.letters: dict[int, np.ndarray] = {}
         self.rows: dict[int, int] = {}
-        self.vectors = np.empty((1024, dim), dtype=np.float32)
+        self.vectors = np.empty((1024, dim), dtype=np.int8)
         self.alpha = np.array([chr(c).isalpha() for c in range(0x30000)])
 
     def letter(self, code: int) -> np.ndarray:
@@ -79,7 +79,7 @@ class Encoder:
                 extra = (0 if extra is None else extra) + weights[at] * self.bound(gram)
                 weights[at], row = 0, 0
             known.append(row)
-        out = weights @ self.vectors[known]
+        out = weights @ self.vectors[known].astype(np.float32)
         return out if extra is None else out + extra
 
 

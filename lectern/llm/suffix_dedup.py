@@ -24,13 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices
+from .common import PORTION, Scratch, portions, slices
 
 GRAM = 32
 RATE = 48
 FAR = 1 << 20
-#: Bytes of text hashed at a time; a longer text is hashed alone.
-PORTION = 1 << 20
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -86,19 +84,6 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _portions(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``PORTION`` bytes together."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        if i > start and size + len(text) > PORTION:
-            yield start, i
-            start = i
-            size = 0
-        size += len(text)
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def _lists(column: pa.Array) -> Iterator[np.ndarray | dict[str, np.ndarray]]:
     """The lists of a column as arrays, those of structs as an array for each field; null as empty."""
     starts, sizes, values = column.offsets.to_numpy()[:-1], column.value_lengths().fill_null(0).to_numpy(), column.values
@@ -113,7 +98,7 @@ def _anchor_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2048):
             texts = batch.column(1).to_pylist()
-            for low, high in _portions(texts):
+            for low, high in portions(texts):
                 part = texts[low:high]
                 ends = np.cumsum([0, *map(len, part)])
                 at, found = Rolling(b"".join(part)).anchors()
