@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions import routing, text
+from lectern.functions import routing, sql, text
 from lectern.operators import events, jsonrepair
 from lectern.plans.registry import query
 from lectern.sources import tables
@@ -137,3 +137,15 @@ def trace_lines(spark: SparkSession, folder: str) -> DataFrame:
     slow = F.when(F.col("value") > 50, F.lit(True))
     line = F.to_json(F.struct("event_id", F.col("event_type").alias("type"), slow.alias("slow")), {"ignoreNullFields": "true"})
     return tables.load(spark, folder, "events").select("event_id", line.alias("line"))
+
+
+@query(r"""SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) = text AS is_clean, CAST(len(list_filter(string_split_regex(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+'), lambda w: w <> '')) AS BIGINT) AS words,
+    CAST(length(text) // 4 AS BIGINT) AS tokens, md5(concat_ws(':', source, CAST(doc_id AS VARCHAR), 'text', substr(text, 1, 200))) AS chunk, substr(sha256(text), 1, 16) AS cached, least(pow(2.0, doc_id % 9), 60.0) AS wait_s FROM documents""")
+def sql_functions(spark: SparkSession, folder: str) -> DataFrame:
+    """A query in SQL that calls the library's functions."""
+    sql.register(spark)
+    return spark.sql(
+        """SELECT doc_id, clean_text(text) = text AS is_clean, CAST(size(text_tokens(text)) AS BIGINT) AS words, token_count(text) AS tokens,
+        chunk_key(source, CAST(doc_id AS STRING), 'text', text) AS chunk, cache_key(text, 16) AS cached, backoff_s(doc_id % 9) AS wait_s FROM {docs}""",
+        docs=tables.load(spark, folder, "documents"),
+    )

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import routing, text
+from lectern.functions.sql import Tools
 from lectern.operators import chunking, hybrid, jsonrepair, lexical, machines, records
 
 BODY = "Abstract\nWe test.\n\n1. Introduction\nWhy.\n\n2. Methodology\nHow.\n\n3. Results\nWhat.\n\n4. Conclusion\nSo.\n\nReferences\n[1] A."
@@ -112,3 +113,12 @@ def test_first_per_title(spark):
     rows = [("1", 1, " A "), ("2", 2, "a"), ("3", 3, ""), ("4", 4, "b")]
     got = records.first_per_title(spark.createDataFrame(rows, "paper_id string, arrival long, title string"))
     assert sorted(r.paper_id for r in got.collect()) == ["1", "4"]
+
+
+def test_tools(spark):
+    tools = Tools()
+    tools.register("first", lambda df, n=1: df.limit(n), "the first rows")
+    assert tools.invoke("first", spark.range(5), n=2).count() == 2
+    assert tools.described() == {"first": "the first rows"}
+    with pytest.raises(ValueError):
+        tools.invoke("other")
