@@ -19,12 +19,12 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
 
 
-def events(spark: SparkSession, folder: str, late: str = "2 hours") -> DataFrame:
-    """The event table as a stream by event time."""
+def events(spark: SparkSession, folder: str, late: str = "2 hours", files_per_batch: int = 1000) -> DataFrame:
+    """The event table as a stream by event time; events later than ``late`` may be left out of windows."""
     path = f"{folder}/events.parquet"
     schema = spark.read.parquet(path).schema
     # a pattern, as the stream source takes a plain path for a folder; it matches the one file or folder
-    stream = spark.readStream.schema(schema).parquet(path.removesuffix("t") + "[t]")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path.removesuffix("t") + "[t]")
     return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
