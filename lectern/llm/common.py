@@ -6,16 +6,20 @@ import atexit
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that Arrow stages take apart at a time.
-PORTION = 1 << 20
+PORTION = 1 << 18
+
+_held: dict[tuple, object] = {}
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -79,11 +83,23 @@ def id_crc32(column: Column) -> Column:
     return F.crc32(column.cast("string").cast("binary"))
 
 
+def held(key: tuple, make: Callable[[], T]) -> T:
+    """What ``make`` gives, kept in this Python worker for the tasks to come until another key is asked for.
+
+    One thing only is kept: a worker serves one operator after another, and their caches together would not fit.
+    """
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of at most ``rows`` rows, so that Python objects of one piece stay few."""
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def portions(texts: list[bytes | None], size: int = PORTION) -> Iterator[tuple[int, int]]:

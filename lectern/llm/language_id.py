@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import held, slices
 
 DIM = 512
 GRAM = 3
@@ -83,11 +83,8 @@ class Encoder:
         return out if extra is None else out + extra
 
 
-_encoders: dict[tuple[int, int], Encoder] = {}
-
-
 def _encoder(dim: int, seed: int) -> Encoder:
-    return _encoders.get((dim, seed)) or _encoders.setdefault((dim, seed), Encoder(dim, seed))
+    return held(("grams", dim, seed), lambda: Encoder(dim, seed))
 
 
 def fit(

@@ -285,7 +285,7 @@ def _window_rows(length: int):
     one. Windows that a document itself repeats are decided: their runs have no hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 128):
+        for batch in slices(batches, 32):
             cols: list[list[np.ndarray]] = [[], [], [], [], []]
             for key, text, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _lists(batch.column(2))):
                 sizes = cells["hi"] - cells["lo"] + 1
