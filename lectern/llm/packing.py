@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, crc32, portions, slices, utf8
+from .common import Scratch, crc32, held, portions, slices, utf8
 
 FAN_IN = 8
 
@@ -36,7 +36,7 @@ class WordIds:
     #: UTF-8 letters that the tokenizer only lower-cases, A-Z done, and a mark that may follow.
     PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,]?)")
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -145,15 +145,12 @@ class WordIds:
         return [b"".join(row) for row in found]
 
 
-_coders: dict[str, WordIds] = {}
-
-
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 0) -> DataFrame:
     """``id, piece, start, length, crc``: the pieces of each document's ids, its end id included. Null text is empty."""
     end, step = struct.pack("<I", end_id), 4 * size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coders.get(tokenizer) or _coders.setdefault(tokenizer, WordIds(tokenizer))
+        coder = held(("words", tokenizer), lambda: WordIds(tokenizer))
         for batch in slices(batches):
             texts = utf8(batch.column(1))
             for low, high in portions(texts):
