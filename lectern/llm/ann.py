@@ -170,9 +170,15 @@ def nearest(
     queries = index.where(F.pmod("id", F.lit(every)) == 0).select("id", "v")
     routed = scratch.save(queries.mapInArrow(route, "id long, v array<double>, block int, cells binary"), "routed")
     chunks = max(1, -(-queries.count() // CHUNK_QUERIES))
-    first_of = F.array(*map(F.lit, first.tolist()))[F.col("cell")]
-    parts_of = F.array(*map(F.lit, parts.tolist()))[F.col("cell")]
-    placed = index.withColumn("block", (first_of + F.pmod(F.xxhash64("id", F.lit(5)), parts_of)).cast("int"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each row's block; rows of a split cell are spread over its blocks by a hash of their id."""
+        for batch in slices(batches, 65536):
+            ids, cells = batch.column(0).to_numpy().astype(np.uint64), batch.column(2).to_numpy()
+            spread = (ids * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((first[cells] + spread % parts[cells]).astype(np.int32))], ["id", "v", "cell", "block"])
+
+    placed = index.mapInArrow(place, "id long, v array<double>, cell int, block int")
     placed = placed.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     routed = routed.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(9)), F.lit(chunks)).cast("int"))
 
