@@ -289,7 +289,7 @@ def _window_rows(length: int):
             cols: list[list[np.ndarray]] = [[], [], [], [], []]
             for key, text, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _lists(batch.column(2))):
                 sizes = cells["hi"] - cells["lo"] + 1
-                start = np.concatenate([np.arange(a, a + m) for a, m in zip(cells["lo"].tolist(), sizes.tolist())])
+                start = np.arange(sizes.sum()) + np.repeat(cells["lo"] - np.cumsum(sizes) + sizes, sizes)
                 times = np.repeat(cells["n"], sizes)
                 found, first, kind = np.unique(Rolling(text).hashes(start, start + length), return_index=True, return_inverse=True)
                 total = np.bincount(kind, times).astype(np.int64)
@@ -414,8 +414,9 @@ def _found(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, length
     cells = known.mapInArrow(_cell_rows(length), "k long, lo long, hi long, inner long, whole long")
     cells = scratch.save(cells, "cells")
 
-    kinds = cells.join(copies, "k", "left").groupBy("inner", "whole").agg(F.sum(F.coalesce("copies", F.lit(1))).alias("n"), F.min(F.struct("k", "lo", "hi")).alias("c"))
-    kinds = scratch.save(kinds.select("inner", "whole", "n", "c.*"), "kinds")
+    kinds = cells.join(copies, "k", "left").groupBy("inner", "whole").agg(F.sum(F.coalesce("copies", F.lit(1))).alias("n"), *(F.first(c).alias(c) for c in ("k", "lo", "hi")))
+    # any one cell stands for its kind; its columns come from one row, and the written table fixes which
+    kinds = scratch.save(kinds, "kinds")
     open_ = kinds.groupBy("inner").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 AND least = 1 AND inner <> 0").select("inner")
     tried = kinds.join(scratch.save(open_, "open"), "inner", "left_semi").unionByName(kinds.where("inner = 0"))
     tried = tried.groupBy("k").agg(F.collect_list(F.struct("lo", "hi", "n")).alias("cells"))
