@@ -5,8 +5,8 @@ repeats in two places is cut alike in both. Where an anchor's bytes are unique i
 between such anchors is sorted. There, the phrases between anchors are the letters of much shorter strings:
 
 - triples of phrases at positions 1 and 2 modulo 3 are sorted and named by rank,
-- names are recursed upon (triples of names, of names of names, ...) until they reach past the passage length,
-- the remaining positions are merged by their first phrases and the rank that follows them,
+- names are recursed upon (triples of names) until they reach over as many phrases as a passage has as a rule,
+- the remaining positions are merged by their first phrases and the rank that follows them, ties by the phrases themselves,
 - adjacent suffixes are compared: how many phrases they share says which windows can repeat at all.
 
 A check of whole windows follows. Windows that begin and end in the same gaps between anchors are one cell; cells with equal
@@ -29,6 +29,8 @@ from .common import PORTION, Scratch, portions, slices
 GRAM = 32
 RATE = 48
 FAR = 1 << 20
+#: Names that ranks reach over; what is equal so far is told apart by its names themselves when suffixes are sorted.
+DEPTH = 9
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -223,7 +225,7 @@ def shared_names(strings: DataFrame, scratch: Scratch) -> DataFrame:
     """``id, shared``: for each name of each string how many names its suffix shares with another one, at least up to the
     entry of ``needs`` there. ``strings`` has ``id, names, needs, copies``."""
     reach = strings.agg(F.max(F.array_max("needs"))).first()[0] or 0
-    ranked = sample_ranks(strings, scratch, reach)
+    ranked = sample_ranks(strings, scratch, min(reach, DEPTH))
 
     def rank(j: Column) -> Column:
         return _at("ranks", F.floor(j / 3) * 2 + j % 3 - 1)
@@ -242,7 +244,7 @@ def shared_names(strings: DataFrame, scratch: Scratch) -> DataFrame:
     orders = [F.when(F.col("kind") != other, F.struct(*(v.alias(k) for k, v in key.items()))) for key, other in zip(keys, (2, 1, 0))]
     merged = rows.select("id", "j", "prefix", F.explode(F.filter(F.array(*orders), lambda o: o.isNotNull())).alias("o"))
     merged = scratch.save(merged.select("o.*", "id", "j", "prefix"), "suffixes")
-    order = ["tag", "x", "y", "z", "id", "j"]
+    order = ["tag", "x", "y", "z", "prefix", "id", "j"]
     best = merged.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_compared, "id long, j int, shared int")
     best = scratch.save(best.groupBy("id").agg(F.collect_list(F.struct("j", "shared")).alias("shared")), "shared")
     scratch.drop(merged)
