@@ -103,3 +103,15 @@ def choice(task: Column, tokens: Column, spent: Column, budget: Column, text_com
     lifts = ~tight & (text_complexity == "high") & (tier == "fast_cheap") & (spent + cost(F.lit("balanced"), tokens) < budget)
     lifts = lifts if hint is None else lifts & hint.isNull()
     return F.when(lifts, "balanced").otherwise(tier)
+
+
+def provider_choice(task: Column, spent: Column, budget: Column, hint: Column, max_latency: Column) -> Column:
+    """The tier a single provider takes: task rule, cheapest from 80 % of the budget on, hints, one step down if slow.
+
+    Unlike ``choice`` a low hint always takes the cheapest tier, and the base latency alone is held against the limit.
+    """
+    tight = F.coalesce(F.when(budget > 0, spent / budget) >= 0.8, F.lit(False))
+    tier = F.when(tight, "fast_cheap").otherwise(looked_up(task, TASKS, "balanced"))
+    tier = F.when(F.coalesce(hint == "high", F.lit(False)) & ~tight, "powerful").when(F.coalesce(hint == "low", F.lit(False)), "fast_cheap").otherwise(tier)
+    slow = F.coalesce((max_latency > 0) & (looked_up(tier, LATENCY, LATENCY["balanced"]) > max_latency), F.lit(False))
+    return F.when(slow & (tier == "powerful"), "balanced").when(slow & (tier == "balanced"), "fast_cheap").otherwise(tier)

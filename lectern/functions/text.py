@@ -89,3 +89,18 @@ def shortened(prompt: Column, share: float = 0.5, longest: int = 20_000, marker:
     half = F.floor(F.floor(F.length(prompt) * share) / 2).cast("int")
     cut = F.concat(F.substring(prompt, F.lit(1), half), F.lit(marker), F.right(prompt, half))
     return F.when(F.length(prompt) <= longest, prompt).otherwise(cut)
+
+
+def as_list(record: Column, key: str) -> Column:
+    """Field ``key`` of a JSON object as a list of strings: lists stay, other values are lists of one, empty ones and none are empty."""
+    parsed = F.try_parse_json(record)
+    kind = F.coalesce(F.schema_of_variant(F.variant_get(parsed, f"$.{key}", "variant")), F.lit("VOID"))
+    one = F.try_variant_get(parsed, f"$.{key}", "string")
+    falsy = (one == "") | ((kind == "BIGINT") & (one == "0")) | ((kind == "BOOLEAN") & (one == "false")) | (kind == "OBJECT<>")
+    many = F.try_variant_get(parsed, f"$.{key}", "array<string>")
+    return F.when(kind.startswith("ARRAY"), many).when(one.isNull() | falsy, F.array().cast("array<string>")).otherwise(F.array(one))
+
+
+def clamped(score: Column, default: int = 50) -> Column:
+    """A score from 0 to 100; null takes the default."""
+    return F.greatest(F.lit(0), F.least(F.lit(100), F.coalesce(score.cast("int"), F.lit(default))))

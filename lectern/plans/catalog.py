@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.plans import analytics, projects, retrieval, reviews, scalars, state, streams  # noqa: F401  they register
+from lectern.plans import analytics, projects, records, retrieval, reviews, scalars, state, streams  # noqa: F401  they register
 from lectern.plans.registry import ORACLE, QUERIES
 
 FLAGSHIP = "hybrid_rrf"

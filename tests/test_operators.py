@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from lectern.functions import routing, text
 from lectern.functions.sql import Tools
-from lectern.operators import chunking, hybrid, jsonrepair, lexical, machines, records
+from lectern.operators import chunking, events, hybrid, jsonrepair, lexical, machines, records
+from lectern.sources import feeds
 
 BODY = "Abstract\nWe test.\n\n1. Introduction\nWhy.\n\n2. Methodology\nHow.\n\n3. Results\nWhat.\n\n4. Conclusion\nSo.\n\nReferences\n[1] A."
 
@@ -122,3 +123,31 @@ def test_tools(spark):
     assert tools.described() == {"first": "the first rows"}
     with pytest.raises(ValueError):
         tools.invoke("other")
+
+
+def test_feeds_leave_out_what_is_broken(spark):
+    entry = "<entry><title> A  &amp; b\n</title><summary>s</summary><id>1</id><author><name>N</name></author><author/></entry>"
+    answers = [(1, f'<feed xmlns="http://www.w3.org/2005/Atom">{entry}<entry><title>no id</title><summary>s</summary></entry></feed>'), (2, "<feed><entry>"), (3, None), (4, "")]
+    found = feeds.atom(spark.createDataFrame(answers, "n int, a string"), "a", "atom", "n").collect()
+    assert [tuple(r) for r in found] == [(1, "A & b", "s", ["N"], "1", "atom")]
+    answers = [(1, '{"data": [{"title": "t", "abstract": "a", "url": "u", "authors": [{"name": "N"}, {}]}, {"title": "", "abstract": "a", "url": "u"}]}'), (2, "{"), (3, None)]
+    found = feeds.page(spark.createDataFrame(answers, "n int, a string"), "a", "json", "n").collect()
+    assert [tuple(r) for r in found] == [(1, "t", "a", ["N"], "u", "json")]
+
+
+def test_answers_as_lists(spark):
+    answers = ['{"f": ["a", "b"]}', '{"f": "[x"}', '{"f": 0}', '{"f": "0"}', '{"f": false}', '{"f": {}}', '{"f": null}', "{}", "no json", None]
+    rows = spark.createDataFrame([(i, a) for i, a in enumerate(answers)], "i int, a string")
+    got = [r[0] for r in rows.orderBy("i").select(text.as_list(F.col("a"), "f")).collect()]
+    assert got == [["a", "b"], ["[x"], [], ["0"], [], [], [], [], [], []]
+
+
+def test_provider_choice_and_counters(spark):
+    asked = [("synthesis", 0.0, 1.0, None, None), ("synthesis", 0.8, 1.0, "high", None), ("format_output", 0.0, 0.0, "high", 1000), ("other", 0.1, 1.0, "low", None), ("other", 0.1, 1.0, None, 499)]
+    rows = spark.createDataFrame(asked, "task string, spent double, budget double, hint string, latency int").coalesce(1)
+    got = [r[0] for r in rows.select(routing.provider_choice(*(F.col(c) for c in rows.columns))).collect()]
+    assert got == ["powerful", "fast_cheap", "balanced", "fast_cheap", "fast_cheap"]
+
+    steps = [("p", 1, "paper_analyzed", None, None, 5.0), ("p", 2, "paper_analyzed", 7, 9, None), ("p", 3, "paper_analyzed", None, None, None), ("p", 4, "paper_found", None, 0, None), ("q", 1, "error", None, None, None), ("q", 2, "completed", None, None, None)]
+    seen = events.counters(spark.createDataFrame(steps, "k string, at int, type string, current int, total int, progress double"), "k", ["at"])
+    assert sorted(tuple(r) for r in seen.collect()) == [("p", 8, 9, 5.0), ("q", 0, None, 100.0)]
