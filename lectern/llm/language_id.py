@@ -32,7 +32,7 @@ class Encoder:
         self.letters: dict[int, np.ndarray] = {}
         self.rows: dict[int, int] = {}
         self.vectors = np.empty((1024, dim), dtype=np.int8)
-        self.alpha = np.array([chr(c).isalpha() for c in range(0x30000)])
+        self.alpha = np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
 
     def letter(self, code: int) -> np.ndarray:
         if code not in self.letters:
@@ -50,7 +50,7 @@ class Encoder:
     def grams(self, text: str) -> np.ndarray:
         """Codes of all letter n-grams; runs of other characters count as one space, at both ends as well."""
         codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
-        is_letter = self.alpha[np.minimum(codes, len(self.alpha) - 1)]
+        is_letter = self.alpha[codes]
         if not is_letter.any():
             return codes[:0]
         codes = np.concatenate([[0], np.where(is_letter, codes, 0), [0]])

@@ -140,6 +140,11 @@ def test_languages(spark):
     assert not {500, 501, 502} & {r.doc_id for r in kept.collect()}
 
 
+def test_letters_of_all_planes():
+    coder = language_id.Encoder()
+    assert len(coder.grams("\U00031350 \U0010ffff")) == 1 and not len(coder.grams("\U0010ffff 12 \ud800"))
+
+
 def test_languages_without_training(spark):
     assert language_id.fit(wide(spark, [])) == {}
     assert language_id.fit(wide(spark, [(1, "abc", None)])) == {}
