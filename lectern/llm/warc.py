@@ -179,12 +179,13 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         captures.select("capture_id", "main.type", "main.refers_to", "main.digest", "main.payload_bytes", "main.payload_digest", F.element_at("metadata.page_key", 1).cast(kind).alias("page"), F.size("requests").cast("long").alias("requests")),
         "captures",
     )
-    known = flat.where("type = 'response'").select(F.col("capture_id").alias("refers_to"), F.col("page").alias("ref_page"), F.col("payload_bytes").alias("ref_bytes"))
-    out = flat.join(known, "refers_to", "left")
+    known = flat.where("type = 'response'").select(F.col("capture_id").alias("at"), F.col("page").alias("ref_page"), F.col("payload_bytes").alias("ref_bytes"))
+    # responses meet themselves: with a null key they would all go to one task
+    out = flat.withColumn("at", F.coalesce("refers_to", "capture_id")).join(known, "at", "left")
     copies = pages.groupBy("page_id", "url", F.sha1(F.coalesce("html", F.lit(""))).alias("sha")).count().where("count > 1")
     out = out.select(
         F.col("page").alias(id_col), F.coalesce("payload_bytes", "ref_bytes").alias("payload_bytes"), F.coalesce("payload_digest", "digest").alias("payload_digest"),
-        F.col("type").alias("record_type"), F.col("ref_page").alias("refers_to"), "requests", "capture_id",
+        F.col("type").alias("record_type"), F.when(F.col("type") == "revisit", F.col("ref_page")).alias("refers_to"), "requests", "capture_id",
     )
     if not copies.isEmpty():
         naming = F.udf(lambda p, u, s, n: record_id("response", p, u, s, n))
