@@ -178,3 +178,34 @@ def collection_info(spark: SparkSession, folder: str) -> DataFrame:
 def account_names(spark: SparkSession, folder: str) -> DataFrame:
     address = F.concat(F.lower("name"), F.lit("@mail.example"))
     return tables.users(spark, folder).select("user_id", F.split_part(address, F.lit("@"), F.lit(1)).alias("account"))
+
+
+@query(with_views("""SELECT project_id, count(*) AS papers, arg_min(paper, (line, paper)) FILTER (methodology = 'R') AS first_returned FROM refs GROUP BY project_id""", "refs"))
+def first_match(spark: SparkSession, folder: str) -> DataFrame:
+    """The first child of a project that meets a condition, null where none does; a struct's smallest needs no list of children."""
+    hit = F.when(F.col("methodology") == "R", F.struct("line", "paper"))
+    return tables.references(spark, folder).groupBy("project_id").agg(F.count(F.lit(1)).alias("papers"), F.min(hit)["paper"].alias("first_returned"))
+
+
+#: Context windows, in tokens, of the models that the catalog query lists.
+CONTEXTS = {"m-large": 131_072, "m-mid": 32_768, "m-small": 8_192, "m-wide": 131_072}
+
+
+@query("""WITH m(model, context) AS (VALUES ('m-large', 131072), ('m-mid', 32768), ('m-small', 8192), ('m-wide', 131072)), n AS (SELECT length(text) // 4 AS tokens FROM conversations)
+    SELECT model, context, row_number() OVER (ORDER BY context DESC, model) AS place, CAST((SELECT count(*) FILTER (tokens <= 0.9 * context) FROM n) AS BIGINT) AS prompts FROM m""")
+def model_catalog(spark: SparkSession, folder: str) -> DataFrame:
+    """Models by falling context window, with the number of prompts that have room in nine tenths of it."""
+    tokens = text.n_tokens(F.col("prompt"))
+    counted = tables.prompts(spark, folder).agg(*(F.count_if(tokens <= 0.9 * size).alias(name) for name, size in CONTEXTS.items()))
+    rows = counted.select(F.inline(F.array(*(F.struct(F.lit(m).alias("model"), F.lit(s).alias("context"), F.col(f"`{m}`").alias("prompts")) for m, s in CONTEXTS.items()))))
+    # one row for each model of the catalog
+    place = F.row_number().over(Window.orderBy(F.desc("context"), "model"))
+    return rows.select("model", "context", place.cast("bigint").alias("place"), "prompts")
+
+
+@query("""SELECT split_part(k, ':', 1) AS tier, count(DISTINCT k) AS keys FROM (SELECT event_type || ':' || user_id AS k FROM events) WHERE NOT starts_with(k, 'view:') GROUP BY ALL""")
+def cache_clear_tier(spark: SparkSession, folder: str) -> DataFrame:
+    """The keys of each cache tier that are left when one tier is cleared by its prefix."""
+    key = F.concat_ws(":", "event_type", F.col("user_id").cast("string"))
+    keys = tables.load(spark, folder, "events").select(key.alias("k")).where(~F.col("k").startswith("view:")).distinct()
+    return keys.groupBy(F.split_part("k", F.lit(":"), F.lit(1)).alias("tier")).agg(F.count(F.lit(1)).alias("keys"))
