@@ -25,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return sentencepiece_codec.encode(docs, tokenizer_path(PIECE_MODEL), dropout=0.1, seed=20, with_ids=False)
+    return sentencepiece_codec.encode(docs, tokenizer_path(PIECE_MODEL), dropout=0.1, seed=20)
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

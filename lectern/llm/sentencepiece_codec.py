@@ -2,8 +2,11 @@
 
 A text is cut where no piece of the model can reach across: before every run of spaces, and, if the vocabulary allows, before
 a full stop or comma after a letter and around line ends. In each part, candidate merges wait in an agenda by score; one that comes up
-is skipped if a keyed hash of seed, variant, place and piece says so. The hash makes a segmentation repeatable anywhere, and
-another seed or variant gives another one. All of them decode to the same text.
+is skipped if a keyed hash of seed, document, place in the text and piece says so. The hash makes a segmentation repeatable
+anywhere, and another seed, document or place gives another one. All of them decode to the same text.
+
+What is kept of a part is the order of its candidates, not a draw: a ``Course`` holds the candidates that come up and the ids if none of
+them is skipped, and leads to the course after each skip. Every occurrence in a text draws each of its candidates anew.
 """
 
 from __future__ import annotations
@@ -27,15 +30,38 @@ AT_MARKS = re.compile(r"\n| *[^ \n]*?[A-Za-zÀ-ɏ](?=[.,])| *[^ \n]+| +")
 #: A piece that AT_MARKS would cut.
 CROSSES = re.compile(r"[A-Za-zÀ-ɏ][.,]|.\n|\n.", re.S)
 
+_ODD, _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _mixed(number: int, place: int) -> int:
+    return number * 0x9E3779B97F4A7C15 + place * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF
+
+
+def _part_keys(key: int, n: int) -> np.ndarray:
+    """A key for each of ``n`` parts of a text."""
+    keys = np.arange(1, n + 1, dtype=np.uint64) * _ODD + np.uint64(key)
+    keys = (keys ^ (keys >> np.uint64(33))) * _MULTIPLIER
+    return keys ^ (keys >> np.uint64(29))
+
+
+class Course:
+    """The candidates of a part from some skip on, as mixed numbers, and its ids if none of these is skipped."""
+
+    __slots__ = ("skips", "mixes", "ids", "after")
+
+    def __init__(self, skips: tuple[int, ...], mixes: bytes, ids: bytes):
+        self.skips, self.mixes, self.ids = skips, mixes, ids
+        self.after: dict[int, Course] | None = None
+
 
 class Codec:
-    """Encodes and decodes with one model; segmentations of at most ``most`` parts a generation and variant are kept."""
+    """Encodes and decodes with one model; the courses of at most about ``most`` parts and skips a generation are kept."""
 
     LONGEST = 48
     LISTED = 24
     NONE = float("inf")
 
-    def __init__(self, path: str, dropout: float, seed: int, variants: int, most: int = 120_000):
+    def __init__(self, path: str, dropout: float, seed: int, variants: int, most: int = 400_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -58,13 +84,18 @@ class Codec:
         self.cut = AT_SPACES if any(map(CROSSES.search, self.ids)) else AT_MARKS
         self.limit = int(dropout * 2**32)
         self.keys = [xxhash.xxh64_intdigest(struct.pack("<qq", seed, v)) for v in range(variants)]
-        self.variants, self.most = variants, most
-        self.young: list[dict[str, bytes]] = [{} for _ in range(variants)]
-        self.old: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        self.most, self.made, self.base = most, 0, 0
+        self.young: dict[str, Course] = {}
+        self.old: dict[str, Course] = {}
+        self.asked: list[int] | None = None
+        self.told: tuple[int, ...] = ()
 
     def _skipped(self, number: int, place: int, key: int) -> bool:
         """Whether the candidate for piece ``number`` at ``place`` is skipped: a keyed hash is below the limit."""
-        mixed = (key ^ (number * 0x9E3779B97F4A7C15 + place * 0xC2B2AE3D27D4EB4F)) & 0xFFFFFFFFFFFFFFFF
+        if self.asked is not None:  # a course is laid out: only the told candidates are skipped
+            self.asked.append(_mixed(number, self.base + place))
+            return len(self.asked) - 1 in self.told
+        mixed = key ^ _mixed(number, self.base + place)
         return ((mixed ^ (mixed >> 31)) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF) >> 32 < self.limit
 
     def segment(self, part: str, key: int) -> list[str]:
@@ -124,38 +155,81 @@ class Codec:
 
     def _part_ids(self, part: str, key: int) -> bytes:
         out: list[int] = []
+        self.base = 0
         for section in re.split(f"({SPACE})", part) if SPACE in part else (part,):
             if section == SPACE:  # the character itself, not a space: by its bytes
                 out += [self.byte_ids[b] for b in SPACE.encode()]
+                self.base += 1
                 continue
             for piece in self.segment(section.replace(" ", SPACE), key) if section else ():
                 if piece in self.ids:
                     out.append(self.ids[piece])
                 else:
                     out += [self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")]
+            self.base += len(section)
+        self.base = 0
         return struct.pack(f"<{len(out)}I", *out)
 
-    def _from(self, parts: list[str], variant: int) -> list[bytes]:
-        young, old, key = self.young[variant], self.old[variant], self.keys[variant]
-        once: dict[str, bytes] = {}
-        for part in set(parts).difference(young):
-            ids = old.get(part)
-            if ids is None:
-                ids = self._part_ids(part, key)
-            (young if len(part) <= self.LONGEST else once)[part] = ids
-        out = [young[p] if p in young else once[p] for p in parts] if once else [young[p] for p in parts]
-        if len(young) > self.most:
-            self.young[variant], self.old[variant] = {}, young
-        return out
-
-    def encode(self, text: str, start: int = 0) -> bytes:
-        """The ids of ``text`` as little-endian 32-bit bytes. Its n-th part takes variant ``start + n``."""
+    def _course(self, part: str, skips: tuple[int, ...] = ()) -> Course:
+        """The course of ``part`` when the candidates that come up at the places of ``skips`` are skipped, after the last of them."""
+        self.asked, self.told = [], skips
+        ids = self._part_ids(part, 0)
+        asked, self.asked = self.asked, None
+        self.made += 1
+        rest = asked[skips[-1] + 1 :] if skips else asked
+        return Course(skips, struct.pack(f"<{len(rest)}Q", *rest), ids)
+
+    def _known(self, parts: set[str]) -> dict[str, Course]:
+        """The first course of each part. One taken over from the generation before starts without those after its skips."""
+        if self.made > self.most:
+            self.young, self.old, self.made = {}, self.young, 0
+        young, old = self.young, self.old
+        for part in parts.difference(young):
+            course = old.get(part)
+            if course is None:
+                course = self._course(part)
+            else:
+                course.after = None
+                self.made += 1
+            young[part] = course
+        return young
+
+    def encode(self, text: str, document: int = 0, variant: int = 0) -> bytes:
+        """The ids of ``text`` as little-endian 32-bit bytes.
+
+        Its n-th part draws by a hash of seed, ``variant``, ``document`` and n. Parts over LONGEST are segmented without a course.
+        """
         if not text:
             return b""
         parts = self.cut.findall(" " + text)
-        out: list[bytes] = [b""] * len(parts)
-        for v in range(min(self.variants, len(parts))):
-            out[v :: self.variants] = self._from(parts[v :: self.variants], (start + v) % self.variants)
+        keys = _part_keys(xxhash.xxh64_intdigest(struct.pack("<Qq", self.keys[variant], document)), len(parts))
+        known = self._known({p for p in parts if len(p) <= self.LONGEST})
+        courses = [known[p] if len(p) <= self.LONGEST else None for p in parts]
+        out = [self._part_ids(parts[n], int(keys[n])) if c is None else c.ids for n, c in enumerate(courses)]
+        at = [n for n, c in enumerate(courses) if c is not None and c.mixes]
+        while at:
+            now = [courses[n].mixes for n in at]
+            sizes = np.array([len(m) for m in now]) // 8
+            starts = np.cumsum(sizes) - sizes
+            mixed = np.frombuffer(b"".join(now), "<u8") ^ np.repeat(keys[at], sizes)
+            hits = np.flatnonzero(((mixed ^ (mixed >> np.uint64(31))) * _MULTIPLIER) >> np.uint64(32) < self.limit)
+            owner = np.searchsorted(starts, hits, "right") - 1
+            owner, first = np.unique(owner, return_index=True)
+            rest = []
+            for k, i in zip(owner.tolist(), (hits[first] - starts[owner]).tolist()):
+                n = at[k]
+                course = courses[n]
+                if course.after is None:
+                    course.after = {}
+                after = course.after.get(i)
+                if after is None:
+                    passed = course.skips[-1] + 1 if course.skips else 0
+                    after = self._course(parts[n], (*course.skips, passed + i))
+                    course.after[i] = after
+                courses[n], out[n] = after, after.ids
+                if after.mixes:
+                    rest.append(n)
+            at = rest
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
@@ -165,30 +239,30 @@ class Codec:
         return data.removeprefix(b" ").decode("utf-8", "replace")
 
 
-def codec(path: str, dropout: float = 0.1, seed: int = 0, variants: int = 2) -> Codec:
-    key = (path, dropout, seed, variants)
+def codec(path: str, dropout: float = 0.1, seed: int = 0) -> Codec:
+    key = (path, dropout, seed, 1)
     return held(("pieces", *key), lambda: Codec(*key))
 
 
 def encode(
-    docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 0, variants: int = 2, id_col: str = "doc_id", text_col: str = "text",
+    docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 0, id_col: str = "doc_id", text_col: str = "text",
     with_ids: bool = True,
 ) -> DataFrame:
     """id, ``n_tokens``, ``n_bytes``, ``ids_crc32``, ``lossless`` and (unless ``with_ids`` is off) ``ids`` for each row.
 
     ``model`` is the path of a merge-type (BPE) model with byte fallback that every executor can read. ``dropout`` is the
-    share of candidate merges that are skipped; 0 gives the model's own segmentation. A document starts at a variant taken
-    from seed and id. ``lossless`` says that the ids decode to the text. Defined cases: null and empty texts have no token; rows that repeat are
+    share of candidate merges that are skipped; 0 gives the model's own segmentation. Each merge of each word draws by seed, id
+    and place in the text. ``lossless`` says that the ids decode to the text. Defined cases: null and empty texts have no token; rows that repeat are
     encoded alike; null ids count as one id; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(model, dropout, seed, variants)
+        own = codec(model, dropout, seed)
         for batch in slices(batches, 256):
             cols: tuple[list, ...] = ([], [], [], [], [])
-            for text, start in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for text, document in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 text = text or ""
-                ids = own.encode(text, start)
+                ids = own.encode(text, document)
                 row = (len(ids) // 4, len(text.encode("utf-8", "surrogatepass")), crc32(ids), own.decode(ids) == text, np.frombuffer(ids, "<u4") if with_ids else None)
                 for col, x in zip(cols, row):
                     col.append(x)
@@ -200,8 +274,8 @@ def encode(
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    start = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(variants))
-    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), start.alias("start"))
+    document = F.xxhash64(F.col(id_col), F.lit(seed))
+    read = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), document.alias("document"))
     schema = f"id {kind}, n_tokens long, n_bytes long, ids_crc32 long, lossless boolean" + (", ids array<int>" if with_ids else "")
     return read.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
