@@ -5,8 +5,8 @@ a full stop or comma after a letter and around line ends. In each part, candidat
 is skipped if a keyed hash of seed, document, place in the text and piece says so. The hash makes a segmentation repeatable
 anywhere, and another seed, document or place gives another one. All of them decode to the same text.
 
-What is kept of a part is the order of its candidates, not a draw: a ``Course`` holds the candidates that come up and the ids if none of
-them is skipped, and leads to the course after each skip. Every occurrence in a text draws each of its candidates anew.
+Parts of one length go through their agendas side by side: a column of candidates for each part, of which every step takes the
+best, draws, and merges or skips. Nothing is kept from one part to the next, so each occurrence of a word draws anew.
 """
 
 from __future__ import annotations
@@ -29,48 +29,90 @@ AT_SPACES = re.compile(" *[^ ]+| +")
 AT_MARKS = re.compile(r"\n| *[^ \n]*?[A-Za-zÀ-ɏ](?=[.,])| *[^ \n]+| +")
 #: A piece that AT_MARKS would cut.
 CROSSES = re.compile(r"[A-Za-zÀ-ɏ][.,]|.\n|\n.", re.S)
+#: Before a run of spaces: every part ends there.
+RUN = re.compile("(?<=[^ ]) ")
+#: Characters that are coded together, and those of a long text that are cut at a time.
+BLOCK = 1 << 17
 
 _ODD, _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+_PLACES = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _mixed(number: int, place: int) -> int:
     return number * 0x9E3779B97F4A7C15 + place * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF
 
 
-def _part_keys(key: int, n: int) -> np.ndarray:
-    """A key for each of ``n`` parts of a text."""
-    keys = np.arange(1, n + 1, dtype=np.uint64) * _ODD + np.uint64(key)
+def _part_keys(key: int, n: int, first: int = 0) -> np.ndarray:
+    """A key for each of the ``n`` parts of a text from part ``first`` on."""
+    keys = np.arange(first + 1, first + n + 1, dtype=np.uint64) * _ODD + np.uint64(key)
     keys = (keys ^ (keys >> np.uint64(33))) * _MULTIPLIER
     return keys ^ (keys >> np.uint64(29))
 
 
-class Course:
-    """The candidates of a part from some skip on, as mixed numbers, and its ids if none of these is skipped."""
+class Merges:
+    """Which two symbols merge: rank and number of the piece that they make. A table in which a pair has one of two places.
+
+    A symbol is the number of a piece, or ``size`` and the code of a character that is no piece.
+    """
+
+    NONE = 1 << 30
+    PAD = (1 << 21) - 1
+
+    def __init__(self, pieces: dict[str, int], ranks: dict[str, float], size: int):
+        order = {r: n for n, r in enumerate(sorted(set(ranks.values())))}
+        symbol = {**{c: size + ord(c) for p in pieces for c in p}, **pieces}
+        pairs = {}
+        for piece, number in pieces.items():
+            for i in range(1, len(piece)):
+                if piece[:i] in symbol and piece[i:] in symbol:
+                    pairs[symbol[piece[:i]] << 21 | symbol[piece[i:]]] = (order[ranks[piece]], number)
+        self.shift = np.uint64(64 - max(4, (3 * len(pairs)).bit_length()))
+        places = [x.tolist() for x in self._places(np.array(list(pairs), dtype=np.uint64))]
+        where = dict(zip(pairs, zip(*places)))
+        table: dict[int, int] = {}
+        for pair, (at, _) in where.items():
+            for _ in range(500):
+                pair, table[at] = table.get(at), pair
+                if pair is None:
+                    break
+                at = sum(where[pair]) - at  # whoever stood there goes to its other place
+            else:
+                raise RuntimeError("no table of merges found")
+        size = 1 << int(np.uint64(64) - self.shift)
+        self.pairs, self.rank, self.piece = np.full(size, 2**63, np.uint64), np.full(size, self.NONE, np.int32), np.zeros(size, np.int32)
+        for at, pair in table.items():
+            self.pairs[at], (self.rank[at], self.piece[at]) = pair, pairs[pair]
+        self.rank[self.rank < self.NONE] <<= 6
 
-    __slots__ = ("skips", "mixes", "ids", "after")
+    def _places(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first = (pairs * _ODD) >> self.shift
+        return first.astype(np.int64), ((pairs ^ (pairs >> np.uint64(17))) * _MULTIPLIER >> self.shift).astype(np.int64)
 
-    def __init__(self, skips: tuple[int, ...], mixes: bytes, ids: bytes):
-        self.skips, self.mixes, self.ids = skips, mixes, ids
-        self.after: dict[int, Course] | None = None
+    def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rank, shifted by six bits, and the piece of each pair; the rank NONE and any piece for pairs that don't merge."""
+        pairs = left.astype(np.uint64) << np.uint64(21) | right.astype(np.uint64)
+        first, second = self._places(pairs)
+        at = np.where(self.pairs[first] == pairs, first, second)
+        return np.where(self.pairs[at] == pairs, self.rank[at], self.NONE), self.piece[at]
 
 
 class Codec:
-    """Encodes and decodes with one model; the courses of at most about ``most`` parts and skips a generation are kept."""
+    """Encodes and decodes with one model."""
 
     LONGEST = 48
     LISTED = 24
     NONE = float("inf")
 
-    def __init__(self, path: str, dropout: float, seed: int, variants: int, most: int = 400_000):
+    def __init__(self, path: str, dropout: float, seed: int):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        size = model.get_piece_size()
+        self.size = model.get_piece_size()
         self.ranks: dict[str, float] = {}
         self.ids: dict[str, int] = {}
         self.output: list[bytes] = []
         self.byte_ids = [0] * 256
-        for i in range(size):
+        for i in range(self.size):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
                 value = int(piece[3:5], 16)
@@ -83,29 +125,30 @@ class Codec:
                 self.output.append(piece.replace(SPACE, " ").encode())
         self.cut = AT_SPACES if any(map(CROSSES.search, self.ids)) else AT_MARKS
         self.limit = int(dropout * 2**32)
-        self.keys = [xxhash.xxh64_intdigest(struct.pack("<qq", seed, v)) for v in range(variants)]
-        self.most, self.made, self.base = most, 0, 0
-        self.young: dict[str, Course] = {}
-        self.old: dict[str, Course] = {}
-        self.asked: list[int] | None = None
-        self.told: tuple[int, ...] = ()
+        self.seed = seed
+        self.merges = Merges(self.ids, self.ranks, self.size)
+        self.symbols = np.arange(self.size, self.size + 0x110000, dtype=np.int32)
+        for piece, i in self.ids.items():
+            if len(piece) == 1:
+                self.symbols[ord(piece)] = i
+        self.symbols[ord(" ")] = self.symbols[ord(SPACE)]
+
+    def key(self, document: int) -> int:
+        return xxhash.xxh64_intdigest(struct.pack("<qq", self.seed, document))
 
     def _skipped(self, number: int, place: int, key: int) -> bool:
         """Whether the candidate for piece ``number`` at ``place`` is skipped: a keyed hash is below the limit."""
-        if self.asked is not None:  # a course is laid out: only the told candidates are skipped
-            self.asked.append(_mixed(number, self.base + place))
-            return len(self.asked) - 1 in self.told
-        mixed = key ^ _mixed(number, self.base + place)
+        mixed = key ^ _mixed(number, place)
         return ((mixed ^ (mixed >> 31)) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF) >> 32 < self.limit
 
-    def segment(self, part: str, key: int) -> list[str]:
+    def segment(self, part: str, key: int, base: int = 0) -> list[str]:
         """The pieces of one part: the best candidate of the agenda first, equal ones from the left, skipped ones never again.
 
-        The agenda is a list for parts of ordinary length and a heap for longer ones.
+        The agenda is a list for parts of ordinary length and a heap for longer ones. ``base`` is the part's first place.
         """
-        return self._listed(list(part), key) if len(part) <= self.LISTED else self._heaped(list(part), key)
+        return self._listed(list(part), key, base) if len(part) <= self.LISTED else self._heaped(list(part), key, base)
 
-    def _listed(self, symbols: list[str], key: int) -> list[str]:
+    def _listed(self, symbols: list[str], key: int, base: int = 0) -> list[str]:
         get, limit, none = self.ranks.get, self.limit, self.NONE
         agenda = [get(a + b, none) for a, b in zip(symbols, symbols[1:])]
         places = list(range(len(symbols)))
@@ -114,7 +157,7 @@ class Codec:
             if best == none:
                 break
             i = agenda.index(best)
-            if limit and self._skipped(self.ids[symbols[i] + symbols[i + 1]], places[i], key):
+            if limit and self._skipped(self.ids[symbols[i] + symbols[i + 1]], base + places[i], key):
                 agenda[i] = none
                 continue
             symbols[i] += symbols[i + 1]
@@ -125,7 +168,7 @@ class Codec:
                 agenda[i - 1] = get(symbols[i - 1] + symbols[i], none)
         return symbols
 
-    def _heaped(self, symbols: list[str], key: int) -> list[str]:
+    def _heaped(self, symbols: list[str], key: int, base: int = 0) -> list[str]:
         """Symbols are a linked list; an agenda entry is stale if a side has changed since."""
         get, limit, n = self.ranks.get, self.limit, len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -142,7 +185,7 @@ class Codec:
             j = after[i]
             if not symbols[i] or j >= n or len(symbols[i]) + len(symbols[j]) != len(piece):
                 continue
-            if limit and self._skipped(self.ids[piece], i, key):
+            if limit and self._skipped(self.ids[piece], base + i, key):
                 continue
             symbols[i], symbols[j] = piece, ""
             k = after[i] = after[j]
@@ -154,83 +197,152 @@ class Codec:
         return [s for s in symbols if s]
 
     def _part_ids(self, part: str, key: int) -> bytes:
+        """The ids of one part, by itself."""
         out: list[int] = []
-        self.base = 0
+        base = 0
         for section in re.split(f"({SPACE})", part) if SPACE in part else (part,):
             if section == SPACE:  # the character itself, not a space: by its bytes
                 out += [self.byte_ids[b] for b in SPACE.encode()]
-                self.base += 1
+                base += 1
                 continue
-            for piece in self.segment(section.replace(" ", SPACE), key) if section else ():
+            for piece in self.segment(section.replace(" ", SPACE), key, base) if section else ():
                 if piece in self.ids:
                     out.append(self.ids[piece])
                 else:
                     out += [self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")]
-            self.base += len(section)
-        self.base = 0
+            base += len(section)
         return struct.pack(f"<{len(out)}I", *out)
 
-    def _course(self, part: str, skips: tuple[int, ...] = ()) -> Course:
-        """The course of ``part`` when the candidates that come up at the places of ``skips`` are skipped, after the last of them."""
-        self.asked, self.told = [], skips
-        ids = self._part_ids(part, 0)
-        asked, self.asked = self.asked, None
-        self.made += 1
-        rest = asked[skips[-1] + 1 :] if skips else asked
-        return Course(skips, struct.pack(f"<{len(rest)}Q", *rest), ids)
-
-    def _known(self, parts: set[str]) -> dict[str, Course]:
-        """The first course of each part. One taken over from the generation before starts without those after its skips."""
-        if self.made > self.most:
-            self.young, self.old, self.made = {}, self.young, 0
-        young, old = self.young, self.old
-        for part in parts.difference(young):
-            course = old.get(part)
-            if course is None:
-                course = self._course(part)
-            else:
-                course.after = None
-                self.made += 1
-            young[part] = course
-        return young
-
-    def encode(self, text: str, document: int = 0, variant: int = 0) -> bytes:
-        """The ids of ``text`` as little-endian 32-bit bytes.
-
-        Its n-th part draws by a hash of seed, ``variant``, ``document`` and n. Parts over LONGEST are segmented without a course.
+    def _agendas(self, symbols: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The symbols of parts, one in each column, after all merges: a merged one stands where it begins, -1 where it goes on."""
+        width, n = symbols.shape
+        done, columns = symbols, np.arange(n)
+        agenda, piece = self.merges.find(symbols[:-1], symbols[1:])
+        agenda |= np.arange(width - 1, dtype=agenda.dtype)[:, None]
+        after = np.repeat(np.arange(1, width + 1)[:, None], n, axis=1)
+        before = np.repeat(np.arange(-1, width - 1)[:, None], n, axis=1)
+        none, limit = Merges.NONE, np.uint64(self.limit)
+        symbols = symbols.copy()
+        while True:
+            best = agenda.min(axis=0)
+            at = np.flatnonzero(best < none)
+            if 2 * len(at) < len(columns):  # parts without a candidate leave
+                done[:, columns] = symbols
+                if not len(at):
+                    return done
+                columns, keys, best = columns[at], keys[at], best[at]
+                symbols, agenda, piece, after, before = (x[:, at] for x in (symbols, agenda, piece, after, before))
+                at = np.arange(len(at))
+            i = best[at] & 63
+            number = piece[i, at]
+            if limit:
+                mixed = keys[at] ^ (number.astype(np.uint64) * _ODD + i.astype(np.uint64) * _PLACES)
+                skipped = ((mixed ^ (mixed >> np.uint64(31))) * _MULTIPLIER) >> np.uint64(32) < limit
+                agenda[i[skipped], at[skipped]] = none
+                i, at, number = i[~skipped], at[~skipped], number[~skipped]
+            j = after[i, at]
+            k = after[j, at]
+            symbols[i, at], symbols[j, at] = number, -1
+            after[i, at] = k
+            inside = j < width - 1
+            agenda[j[inside], at[inside]] = none
+            more = k < width
+            agenda[i[~more], at[~more]] = none
+            left, right, column = i[more], k[more], at[more]
+            before[right, column] = left
+            rank, made = self.merges.find(number[more], symbols[right, column])
+            agenda[left, column], piece[left, column] = rank | left, made
+            left = before[i, at]
+            more = left >= 0
+            left, column = left[more], at[more]
+            rank, made = self.merges.find(symbols[left, column], number[more])
+            agenda[left, column], piece[left, column] = rank | left, made
+
+    def _block(self, texts: list[str], keys: list[int], firsts: list[int]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """The ids of all texts in a row, where each text's end, and how many parts each had; ``firsts``: the number of its first part."""
+        parts = [self.cut.findall(t) for t in texts]
+        counts = [len(p) for p in parts]
+        sizes = np.fromiter((len(p) for own in parts for p in own), dtype=np.int64, count=sum(counts))
+        starts = np.cumsum(sizes) - sizes
+        drawn = np.concatenate([_part_keys(*x) for x in zip(keys, counts, firsts)])
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+        symbols = self.symbols[codes]
+        alone = sizes > self.LONGEST
+        if SPACE in self.ids and len(odd := np.flatnonzero(codes == ord(SPACE))):
+            alone[np.searchsorted(starts, odd, "right") - 1] = True
+        classes = np.where(alone | (sizes < 2), 0, np.where(sizes > 12, (sizes + 7) // 8 * 8, sizes))
+        order = np.argsort(classes, kind="stable")
+        edges = np.flatnonzero(np.diff(classes[order], prepend=-1))
+        for rows in np.split(order, edges[1:]):
+            if width := int(classes[rows[0]]):
+                place = np.arange(width)[:, None]
+                inside = place < sizes[rows]
+                at = np.where(inside, starts[rows] + place, 0)
+                made = self._agendas(np.where(inside, symbols[at], Merges.PAD), drawn[rows])
+                symbols[at[inside]] = made[inside]
+        widths = (symbols >= 0).astype(np.int64)
+        strange = np.flatnonzero(symbols >= self.size)
+        widths[strange] = 1 + (codes[strange] > 0x7F) + (codes[strange] > 0x7FF) + (codes[strange] > 0xFFFF)
+        single = {}
+        for n in np.flatnonzero(alone).tolist():
+            text = np.ascontiguousarray(codes[starts[n] : starts[n] + sizes[n]]).tobytes().decode("utf-32-le", "surrogatepass")
+            single[int(starts[n])] = ids = np.frombuffer(self._part_ids(text, int(drawn[n])), "<u4")
+            widths[starts[n] : starts[n] + sizes[n]] = 0
+            widths[starts[n]] = len(ids)
+        ends = np.cumsum(widths)
+        out = np.zeros(int(ends[-1]) if len(ends) else 0, dtype=np.uint32)
+        plain = np.flatnonzero(widths == 1)
+        out[ends[plain] - 1] = symbols[plain]
+        for at in strange.tolist():
+            if widths[at] and at not in single:
+                data = chr(codes[at]).encode("utf-8", "surrogatepass")
+                out[ends[at] - len(data) : ends[at]] = [self.byte_ids[b] for b in data]
+        for at, ids in single.items():
+            out[ends[at] - len(ids) : ends[at]] = ids
+        last = np.cumsum([len(t) for t in texts]) - 1
+        return out, ends[last], counts
+
+    def encode_all(self, texts: list[str], documents: list[int]) -> list[np.ndarray]:
+        """The ids of each text. Its n-th part draws by a hash of seed, document and n.
+
+        Texts are coded together up to about BLOCK characters; a longer one is cut before runs of spaces.
         """
-        if not text:
-            return b""
-        parts = self.cut.findall(" " + text)
-        keys = _part_keys(xxhash.xxh64_intdigest(struct.pack("<Qq", self.keys[variant], document)), len(parts))
-        known = self._known({p for p in parts if len(p) <= self.LONGEST})
-        courses = [known[p] if len(p) <= self.LONGEST else None for p in parts]
-        out = [self._part_ids(parts[n], int(keys[n])) if c is None else c.ids for n, c in enumerate(courses)]
-        at = [n for n, c in enumerate(courses) if c is not None and c.mixes]
-        while at:
-            now = [courses[n].mixes for n in at]
-            sizes = np.array([len(m) for m in now]) // 8
-            starts = np.cumsum(sizes) - sizes
-            mixed = np.frombuffer(b"".join(now), "<u8") ^ np.repeat(keys[at], sizes)
-            hits = np.flatnonzero(((mixed ^ (mixed >> np.uint64(31))) * _MULTIPLIER) >> np.uint64(32) < self.limit)
-            owner = np.searchsorted(starts, hits, "right") - 1
-            owner, first = np.unique(owner, return_index=True)
-            rest = []
-            for k, i in zip(owner.tolist(), (hits[first] - starts[owner]).tolist()):
-                n = at[k]
-                course = courses[n]
-                if course.after is None:
-                    course.after = {}
-                after = course.after.get(i)
-                if after is None:
-                    passed = course.skips[-1] + 1 if course.skips else 0
-                    after = self._course(parts[n], (*course.skips, passed + i))
-                    course.after[i] = after
-                courses[n], out[n] = after, after.ids
-                if after.mixes:
-                    rest.append(n)
-            at = rest
-        return b"".join(out)
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        waiting: list[tuple[int, str]] = []
+
+        def code() -> None:
+            if waiting:
+                ids, ends, _ = self._block([t for _, t in waiting], [self.key(documents[n]) for n, _ in waiting], [0] * len(waiting))
+                for (n, _), own in zip(waiting, np.split(ids, ends[:-1])):
+                    out[n].append(own)
+                waiting.clear()
+
+        total = 0
+        for n, text in enumerate(texts):
+            if not text:
+                continue
+            text = " " + text
+            if total + len(text) > BLOCK:
+                code()
+                total = 0
+            if len(text) <= BLOCK:
+                waiting.append((n, text))
+                total += len(text)
+                continue
+            at = first = 0
+            while at < len(text):
+                stop = RUN.search(text, at + BLOCK)
+                end = stop.start() if stop else len(text)
+                ids, _, counts = self._block([text[at:end]], [self.key(documents[n])], [first])
+                out[n].append(ids)
+                at, first = end, first + counts[0]
+        code()
+        none = np.zeros(0, np.uint32)
+        return [np.concatenate(x) if len(x) > 1 else x[0] if x else none for x in out]
+
+    def encode(self, text: str, document: int = 0) -> bytes:
+        """The ids of ``text`` as little-endian 32-bit bytes."""
+        return self.encode_all([text], [document])[0].astype("<u4").tobytes()
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; the space that encoding puts first goes."""
@@ -240,7 +352,7 @@ class Codec:
 
 
 def codec(path: str, dropout: float = 0.1, seed: int = 0) -> Codec:
-    key = (path, dropout, seed, 1)
+    key = (path, dropout, seed)
     return held(("pieces", *key), lambda: Codec(*key))
 
 
@@ -259,17 +371,19 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model, dropout, seed)
         for batch in slices(batches, 256):
-            cols: tuple[list, ...] = ([], [], [], [], [])
-            for text, document in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                text = text or ""
-                ids = own.encode(text, document)
-                row = (len(ids) // 4, len(text.encode("utf-8", "surrogatepass")), crc32(ids), own.decode(ids) == text, np.frombuffer(ids, "<u4") if with_ids else None)
-                for col, x in zip(cols, row):
-                    col.append(x)
-            arrays = [batch.column(0), *map(pa.array, cols[:3], (pa.int64(),) * 3), pa.array(cols[3], pa.bool_())]
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            coded = own.encode_all(texts, batch.column(2).to_pylist())
+            sums, same = [], []
+            for text, ids in zip(texts, coded):
+                data = ids.astype("<u4").tobytes()
+                sums.append(crc32(data)), same.append(own.decode(data) == text)
+            sizes = [len(x) for x in coded]
+            lengths = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
+            arrays = [batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, lengths, sums)), pa.array(same, pa.bool_())]
             names = ["id", "n_tokens", "n_bytes", "ids_crc32", "lossless"]
             if with_ids:
-                arrays.append(pa.array([x.astype(np.int32) for x in cols[4]], pa.list_(pa.int32())))
+                ends = np.cumsum([0, *sizes]).astype(np.int32)
+                arrays.append(pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int32), *coded]).astype(np.int32)))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names)
 

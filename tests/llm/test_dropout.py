@@ -18,34 +18,35 @@ def codings(own, documents, times):
 
 
 def test_a_repeated_word_varies_by_place_and_document():
-    own = sentencepiece_codec.Codec(MODEL, 0.1, 0, 1)
+    own = sentencepiece_codec.Codec(MODEL, 0.1, 0)
     alone = {own.encode(WORD[1:], d) for d in range(300)}
     assert len(alone) > 4
     text = (WORD * 300)[1:]
     halves = own.encode(text, 1), own.encode(text, 2)
     assert halves[0] != halves[1] and own.decode(halves[0]) == own.decode(halves[1]) == text
-    plain = np.frombuffer(sentencepiece_codec.Codec(MODEL, 0.0, 0, 1).encode(WORD[1:]), "<u4")
+    plain = np.frombuffer(sentencepiece_codec.Codec(MODEL, 0.0, 0).encode(WORD[1:]), "<u4")
     count = 300 * len(plain)
     assert len(halves[0]) // 4 > count
     assert len(codings(own, 10, 30)) > 4
 
 
-@pytest.mark.parametrize("dropout", [0.1, 0.5, 1.0])
-@pytest.mark.parametrize("most", [3, 120_000])
-def test_courses_equal_the_agenda_with_every_draw(dropout, most):
-    own, other = (sentencepiece_codec.Codec(MODEL, dropout, 7, 1, most) for _ in range(2))
-    for document, text in enumerate([*texts(), "▁ literal▁literal▁ ▁", "x" * 500, (WORD * 50)[1:]]):
-        for _ in range(2):
-            got = own.encode(text, document)
-            parts = other.cut.findall(" " + text) if text else []
-            key = sentencepiece_codec.xxhash.xxh64_intdigest(sentencepiece_codec.struct.pack("<Qq", other.keys[0], document))
-            keys = sentencepiece_codec._part_keys(key, len(parts))
-            assert got == b"".join(other._part_ids(p, int(k)) for p, k in zip(parts, keys))
-            assert own.decode(got) == text
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.5, 1.0])
+@pytest.mark.parametrize("block", [50, 1 << 17])
+def test_side_by_side_agendas_equal_the_plain_one(monkeypatch, dropout, block):
+    """Every part of every text, long ones cut at spaces included, has the ids that the plain agenda gives it with the same draws."""
+    monkeypatch.setattr(sentencepiece_codec, "BLOCK", block)
+    own = sentencepiece_codec.Codec(MODEL, dropout, 7)
+    some = [*texts(), "▁ literal▁literal▁ ▁", "x" * 500, (WORD * 50)[1:], "日本語𝔘🤖" * 9, " " * 70, "a " * 200]
+    for document, (text, got) in enumerate(zip(some, own.encode_all(some, list(range(len(some)))))):
+        parts = own.cut.findall(" " + text) if text else []
+        keys = sentencepiece_codec._part_keys(own.key(document), len(parts))
+        assert got.tobytes() == b"".join(own._part_ids(p, int(k)) for p, k in zip(parts, keys))
+        assert own.decode(got.tobytes()) == text
+    assert own.encode_all([], []) == []
 
 
 def test_share_of_skipped_candidates():
-    own = sentencepiece_codec.Codec(MODEL, 0.1, 3, 1)
+    own = sentencepiece_codec.Codec(MODEL, 0.1, 3)
     keys = sentencepiece_codec._part_keys(5, 20_000)
     assert 0.09 < np.mean([own._skipped(4711, 2, int(k)) for k in keys]) < 0.11
 
