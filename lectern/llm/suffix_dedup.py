@@ -11,7 +11,8 @@ between such anchors is sorted. There, the phrases between anchors are the lette
 
 A check of whole windows follows. Windows that begin and end in the same gaps between anchors are one cell; cells with equal
 bytes repeat as a whole, and of the others only those that share all inner phrases are compared window by window.
-Windows are compared by 64-bit hashes of their bytes.
+Rolling hashes of 64 bits only choose what is compared, where a collision costs work; cells and windows are held equal by
+128 bits of BLAKE2b over their bytes, so that texts built to collide lose nothing.
 """
 
 from __future__ import annotations
@@ -76,6 +77,21 @@ class Rolling:
         return at, found[at]
 
 
+def _digests(text: bytes, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """128 bits of BLAKE2b of each range of ``text``, as two longs a row."""
+    made = b"".join([hashlib.blake2b(text[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), stop.tolist())])
+    return np.frombuffer(made, np.int64).reshape(-1, 2)
+
+
+def _kinds(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each different digest, and for each row which of them it has."""
+    order = np.lexsort((digests[:, 1], digests[:, 0]))
+    new = np.concatenate([[True], (np.diff(digests[order], axis=0) != 0).any(axis=1)])[: len(order)]
+    kind = np.empty(len(order), np.int64)
+    kind[order] = np.cumsum(new) - 1
+    return order[new], kind
+
+
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends (exclusive) of the runs of true flags."""
     edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
@@ -256,13 +272,14 @@ def _cell_rows(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
-            cols: list[list] = [[], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], []]
             for key, text, low, high, known, copied in zip(*(c.to_pylist() for c in batch.columns)):
                 shared = {x["s"]: x["shared"] for x in known or []}
                 for a, stop, rolling, at in _regions(text, low, high, length):
                     most = np.full(len(at) + 1, FAR if copied else 0)
                     for x in shared.get(a) or []:
-                        most[x["j"]] = max(most[x["j"]], x["shared"])
+                        if x["j"] < len(most):  # else a string of equal hash
+                            most[x["j"]] = max(most[x["j"]], x["shared"])
                     start = np.arange(a, stop - length + 1)
                     first, last = np.searchsorted(at, start), np.searchsorted(at, start + length - GRAM, "right") - 1
                     begins = np.flatnonzero(np.concatenate([[True], (np.diff(first) != 0) | (np.diff(last) != 0)]))
@@ -275,25 +292,27 @@ def _cell_rows(length: int):
                     if some.any():
                         names[some] = rolling.hashes(at[first[some]], at[last[some]] + GRAM) | _U(1)
                     cols[0].append(np.full(len(lo), key)), cols[1].append(lo), cols[2].append(hi)
-                    cols[3].append(names.view(np.int64)), cols[4].append(rolling.hashes(lo, hi + length).view(np.int64))
+                    digests = _digests(text, lo, hi + length)
+                    cols[3].append(names.view(np.int64)), cols[4].append(digests[:, 0]), cols[5].append(digests[:, 1])
             arrays = [pa.array(np.concatenate(c) if c else [], pa.int64()) for c in cols]
-            yield pa.RecordBatch.from_arrays(arrays, ["k", "lo", "hi", "inner", "whole"])
+            yield pa.RecordBatch.from_arrays(arrays, ["k", "lo", "hi", "inner", "whole", "whole2"])
 
     return run
 
 
 def _window_rows(length: int):
-    """The different windows of the given cells, once for each document: hash ``w``, how often it stands there ``n``, and the place of a lone
-    one. Windows that a document itself repeats are decided: their runs have no hash."""
+    """The different windows of the given cells, once for each document: digest ``w, w2``, how often it stands there ``n``, and the place of a
+    lone one. Windows that a document itself repeats are decided: their runs have no digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 32):
-            cols: list[list[np.ndarray]] = [[], [], [], [], []]
+            cols: list[list[np.ndarray]] = [[], [], [], [], [], []]
             for key, text, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _lists(batch.column(2))):
                 sizes = cells["hi"] - cells["lo"] + 1
                 start = np.arange(sizes.sum()) + np.repeat(cells["lo"] - np.cumsum(sizes) + sizes, sizes)
                 times = np.repeat(cells["n"], sizes)
-                found, first, kind = np.unique(Rolling(text).hashes(start, start + length), return_index=True, return_inverse=True)
+                digests = _digests(text, start, start + length)
+                first, kind = _kinds(digests)
                 total = np.bincount(kind, times).astype(np.int64)
                 known = (total[kind] > 1) & (times == 1)
                 flags = np.zeros(len(text) + 1, dtype=bool)
@@ -301,10 +320,11 @@ def _window_rows(length: int):
                 low, high = _runs(flags)
                 none = np.full(len(low), 0, np.int64)
                 alone = np.where(total == 1, start[first], -1)
-                for col, x in zip(cols, (np.full(len(found) + len(low), key), np.concatenate([found.view(np.int64), none]), np.concatenate([total, none]), np.concatenate([alone, low]), np.concatenate([alone, high - 1]))):
+                made = (np.full(len(first) + len(low), key), *(np.concatenate([digests[first, i], none]) for i in (0, 1)), np.concatenate([total, none]), np.concatenate([alone, low]), np.concatenate([alone, high - 1]))
+                for col, x in zip(cols, made):
                     col.append(x)
             arrays = [pa.array(np.concatenate(c) if c else [], pa.int64()) for c in cols]
-            yield pa.RecordBatch.from_arrays(arrays, ["k", "w", "n", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays(arrays, ["k", "w", "w2", "n", "lo", "hi"])
 
     return run
 
@@ -413,21 +433,21 @@ def _found(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, length
     per_doc = named.select("k", "s", "id").join(own, "id").groupBy("k").agg(F.collect_list(F.struct("s", "shared")).alias("known"))
     per_doc = scratch.save(per_doc, "known")
     known = alive.join(per_doc, "k", "left").join(copies, "k", "left").select("k", "text", "low", "high", "known", F.col("copies").isNotNull().alias("copied"))
-    cells = known.mapInArrow(_cell_rows(length), "k long, lo long, hi long, inner long, whole long")
+    cells = known.mapInArrow(_cell_rows(length), "k long, lo long, hi long, inner long, whole long, whole2 long")
     cells = scratch.save(cells, "cells")
 
-    kinds = cells.join(copies, "k", "left").groupBy("inner", "whole").agg(F.sum(F.coalesce("copies", F.lit(1))).alias("n"), *(F.first(c).alias(c) for c in ("k", "lo", "hi")))
+    kinds = cells.join(copies, "k", "left").groupBy("inner", "whole", "whole2").agg(F.sum(F.coalesce("copies", F.lit(1))).alias("n"), *(F.first(c).alias(c) for c in ("k", "lo", "hi")))
     # any one cell stands for its kind; its columns come from one row, and the written table fixes which
     kinds = scratch.save(kinds, "kinds")
     open_ = kinds.groupBy("inner").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 AND least = 1 AND inner <> 0").select("inner")
     tried = kinds.join(scratch.save(open_, "open"), "inner", "left_semi").unionByName(kinds.where("inner = 0"))
     tried = tried.groupBy("k").agg(F.collect_list(F.struct("lo", "hi", "n")).alias("cells"))
-    windows = alive.select("k", "text").join(scratch.save(tried, "tried"), "k").mapInArrow(_window_rows(length), "k long, w long, n long, lo long, hi long")
+    windows = alive.select("k", "text").join(scratch.save(tried, "tried"), "k").mapInArrow(_window_rows(length), "k long, w long, w2 long, n long, lo long, hi long")
     windows = scratch.save(windows, "windows")
     hashed = windows.where("n > 0")
-    twice = scratch.save(hashed.groupBy("w").agg(F.sum("n").alias("n")).where("n > 1").select("w"), "twice")
-    single = hashed.where("lo >= 0").join(twice, "w", "left_semi").select("k", "lo", "hi").unionByName(windows.where("n = 0").select("k", "lo", "hi"))
-    whole = cells.join(scratch.save(kinds.where("n > 1").select("inner", "whole"), "often"), ["inner", "whole"], "left_semi").select("k", "lo", "hi")
+    twice = scratch.save(hashed.groupBy("w", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w", "w2"), "twice")
+    single = hashed.where("lo >= 0").join(twice, ["w", "w2"], "left_semi").select("k", "lo", "hi").unionByName(windows.where("n = 0").select("k", "lo", "hi"))
+    whole = cells.join(scratch.save(kinds.where("n > 1").select("inner", "whole", "whole2"), "often"), ["inner", "whole", "whole2"], "left_semi").select("k", "lo", "hi")
     runs = scratch.save(single.unionByName(whole).groupBy("k").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "runs")
     scratch.drop(windows, twice, cells)
     kept = alive.select("k", "text").join(runs, "k").mapInArrow(_kept(length), "k long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,stop:bigint>>")

@@ -1,9 +1,11 @@
 """Exact, near and passage dedup against brute force."""
 
 import hashlib
+import itertools
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -188,6 +190,60 @@ def test_passages_of_little(spark):
         suffix_dedup.repeated_passages(wide(spark, []), length=10)
 
 
+def collided():
+    """Two different 400-byte texts of equal polynomial hash modulo 2**64: the Thue-Morse sequence over two words, and its complement.
+
+    The words' own hashes agree in their low 28 bits, and the sequence doubles the power of two in the difference again and again.
+    """
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+    words_ = np.stack(np.meshgrid(*[letters] * 4, indexing="ij"), -1).reshape(-1, 4)
+    powers, _ = suffix_dedup._power_tables(4)
+    low = (suffix_dedup._VALUES[words_] * powers[:4]).sum(axis=1, dtype=np.uint64) & np.uint64(2**28 - 1)
+    order = np.argsort(low, kind="stable")
+    edges = "a" * 144, "bc" * 72, "edge" * 36
+    for edge, at in itertools.product(edges, np.flatnonzero(np.diff(low[order]) == 0).tolist()):
+        a, b = (words_[order[at + i]].tobytes().decode() for i in (0, 1))
+        pair = [edge[:70] + "".join(y if bin(i).count("1") % 2 else x for i in range(64)) + edge[70:] for x, y in ((a, b), (b, a))]
+        made = [suffix_dedup.Rolling(t.encode()) for t in pair]
+        # an anchor would tell them apart before whole windows are compared
+        if len({int(x.hashes(np.zeros(1, int), np.full(1, 400))[0]) for x in made}) == 1 and not any(len(x.anchors()[0]) for x in made):
+            return pair
+    raise AssertionError("no pair found")
+
+
+def test_texts_of_equal_rolling_hash_stay(spark):
+    pair = collided()
+    assert pair[0] != pair[1] and {len(t) for t in pair} == {400}
+    rows = [(i, t, "en") for i, t in enumerate(pair)]
+    assert [r.n_removed for r in suffix_dedup.repeated_passages(wide(spark, rows)).collect()] == [0, 0]
+
+
+def test_only_the_digest_makes_windows_equal(spark, monkeypatch):
+    """With rolling hashes of four values nothing but equal bytes is removed."""
+    rows = [r for r in repeated() if len(r[1] or "") < 3000][:60]
+    real = suffix_dedup.Rolling.hashes
+
+    def fewer(make):
+        def outer(*args):
+            run = make(*args)
+
+            def inner(batches):
+                suffix_dedup.Rolling.hashes = lambda self, a, b: real(self, a, b) & np.uint64(3)
+                try:
+                    yield from run(batches)
+                finally:
+                    suffix_dedup.Rolling.hashes = real
+
+            return inner
+
+        return outer
+
+    for name in ("_name_rows", "_cell_rows", "_window_rows"):
+        monkeypatch.setattr(suffix_dedup, name, fewer(getattr(suffix_dedup, name)))
+    got = suffix_dedup.repeated_passages(wide(spark, rows)).drop("spans").collect()
+    assert sorted(map(tuple, got), key=key) == passages(rows)
+
+
 def test_passages_cut_from_texts(spark):
     text = "é" * 500
     rows = [(1, "start " + text + " end", "en"), (2, text, "en"), (3, None, None), (4, "alone", "en")]
