@@ -22,6 +22,11 @@ UNKNOWN = "und"
 #: How sharply the score prefers the nearest prototype.
 SHARPNESS = 24.0
 KEPT_GRAMS = 32_768
+#: A text of at least LEAST_GRAMS n-grams resembles no language if its best cosine is at most LEAST_SIGMAS standard deviations of what
+#: unrelated vectors have (one over the square root of the dimension).
+LEAST_GRAMS, LEAST_SIGMAS = 100, 2.25
+#: More different labels than there are languages: then they aren't languages.
+MOST_LANGS = 16_384
 
 
 class Encoder:
@@ -60,9 +65,8 @@ class Encoder:
             out |= codes[place : len(codes) - GRAM + 1 + place] << (21 * place)
         return out
 
-    def bundle(self, text: str) -> np.ndarray | None:
-        """The text's bundle, n-gram counts damped by their square root; None without a letter."""
-        grams = self.grams(text)
+    def bundle(self, grams: np.ndarray) -> np.ndarray | None:
+        """The bundle of a text's n-grams, their counts damped by the square root; None without any."""
         if not len(grams):
             return None
         distinct, counts = np.unique(grams, return_counts=True)
@@ -89,33 +93,37 @@ def _encoder(dim: int, seed: int) -> Encoder:
 
 def fit(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_lang: int = 3000,
-    max_langs: int = 256, dim: int = DIM, seed: int = 7,
+    dim: int = DIM, seed: int = 7,
 ) -> dict[str, np.ndarray]:
-    """Prototypes, by language, from about ``sample_per_lang`` rows of each of the ``max_langs`` most frequent languages.
+    """Prototypes, by language, from about ``sample_per_lang`` rows of each language.
 
-    The rows are chosen by a hash of their id, evenly over the table. Rows without a language are not used.
+    The rows are chosen by a hash of their id and text, evenly over the table, so rows that repeat an id or have none are chosen like others.
+    Rows without a language are not used. Over MOST_LANGS different labels are an error: a prototype of each goes to the driver.
     """
-    labelled = docs.where(F.col(lang_col).isNotNull())
-    sizes = labelled.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(max_langs).collect()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    labelled = rows.where("lang IS NOT NULL")
+    sizes = labelled.groupBy("lang").count().limit(MOST_LANGS + 1).collect()
+    if len(sizes) > MOST_LANGS:
+        raise ValueError(f"{lang_col} has over {MOST_LANGS} different labels")
     if not sizes:
         return {}
-    share = F.create_map(*(x for r in sizes for x in (F.lit(r[0]), F.lit(min(1.0, sample_per_lang / r["count"])))))
-    lot = F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = labelled.where(lot < F.coalesce(F.element_at(share, F.col(lang_col)), F.lit(0.0)))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, sample_per_lang / r["count"])) for r in sizes], "lang string, share double")
+    lot = F.pmod(F.xxhash64("id", "text", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    chosen = labelled.join(F.broadcast(shares), "lang").where(lot < F.col("share")).select("text", "lang")  # a row for each language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         coder = _encoder(dim, seed)
         for batch in slices(batches):
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if (v := coder.bundle(text or "")) is not None and (norm := np.linalg.norm(v)):
+                if (v := coder.bundle(coder.grams(text or ""))) is not None and (norm := np.linalg.norm(v)):
                     sums[lang] = sums.get(lang, 0) + (v / norm).astype(np.float64)
         for lang, v in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * dim), pa.array(range(dim), pa.int32()), pa.array(v)], ["lang", "dim", "value"])
 
-    parts = chosen.select(F.col(text_col).cast("string"), F.col(lang_col).cast("string")).mapInArrow(run, "lang string, dim int, value double")
+    parts = chosen.mapInArrow(run, "lang string, dim int, value double")
     out: dict[str, np.ndarray] = {}
-    for lang, at, value in parts.groupBy("lang", "dim").agg(F.sum("value")).collect():  # max_langs x dim rows at most
+    for lang, at, value in parts.groupBy("lang", "dim").agg(F.sum("value")).collect():  # dim rows a language
         out.setdefault(lang, np.zeros(dim))[at] = value
     return {k: v / (np.linalg.norm(v) or 1.0) for k, v in sorted(out.items())}
 
@@ -132,7 +140,7 @@ def predict(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            made = [judge(t) for t in batch.column(1).to_pylist()]
+            made = [judge(t)[:3] for t in batch.column(1).to_pylist()]
             arrays = [pa.array(x, t) for x, t in zip(zip(*made) if made else ([], [], []), (pa.string(), pa.float64(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["id", "lang_pred", "score", "cosine"])
 
@@ -142,20 +150,31 @@ def predict(
     return out.withColumnRenamed("id", id_col)
 
 
-def keep_known(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", dim: int = DIM, seed: int = 7) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language: a letter, and a positive cosine with a prototype."""
+def keep_known(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", lang_col: str = "lang", dim: int = DIM, seed: int = 7) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a language; a null language is filled in.
+
+    Rejected are texts that are null or have no letter, and texts of LEAST_GRAMS letter n-grams or more that resemble no known
+    language: their best cosine is hardly above chance. Shorter texts can't be told from chance so surely, and stay. Without
+    prototypes nothing is known and no row stays; rows that repeat are judged alike.
+    """
     judge = _judge(prototypes, dim, seed)
+    least = LEAST_SIGMAS / dim**0.5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            known = [cosine > 0 for _, _, cosine in map(judge, batch.column(text_col).to_pylist())]
+            made = [judge(t) for t in batch.column(text_col).to_pylist()]
+            known = [lang != UNKNOWN and (cosine > least or n < LEAST_GRAMS) for lang, _, cosine, n in made]
+            at = batch.schema.get_field_index(lang_col)
+            if at >= 0 and pa.types.is_string(batch.schema.field(at).type):
+                langs = [x if x is not None else lang for x, (lang, _, _, _) in zip(batch.column(at).to_pylist(), made)]
+                batch = batch.set_column(at, lang_col, pa.array(langs, batch.schema.field(at).type))
             yield batch.filter(pa.array(known, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def _judge(prototypes: dict[str, np.ndarray], dim: int, seed: int) -> Callable[[str | None], tuple[str, float, float]]:
-    """A function from a text to language, score and cosine."""
+def _judge(prototypes: dict[str, np.ndarray], dim: int, seed: int) -> Callable[[str | None], tuple[str, float, float, int]]:
+    """A function from a text to language, score, cosine and number of n-grams."""
     names = sorted(prototypes)
     matrix = np.array([prototypes[n] for n in names]).reshape(len(names), dim)
     # what all languages share says nothing about which it is
@@ -163,15 +182,17 @@ def _judge(prototypes: dict[str, np.ndarray], dim: int, seed: int) -> Callable[[
     centred = matrix - shared
     centred /= np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-12)
 
-    def judge(text: str | None) -> tuple[str, float, float]:
-        bundle = _encoder(dim, seed).bundle(text) if text and names else None
+    def judge(text: str | None) -> tuple[str, float, float, int]:
+        coder = _encoder(dim, seed)
+        grams = coder.grams(text or "")
+        bundle = coder.bundle(grams) if names else None
         norm = np.linalg.norm(bundle) if bundle is not None else 0
         if not norm:
-            return UNKNOWN, 0.0, 0.0
+            return UNKNOWN, 0.0, 0.0, len(grams)
         unit = bundle / norm
         away = unit - shared * (shared @ unit) / max(shared @ shared, 1e-12)
         cos = centred @ (away / max(np.linalg.norm(away), 1e-12))
         best = int(np.argmax(cos))
-        return names[best], float(1 / np.exp(SHARPNESS * (cos - cos[best])).sum()), float(cos[best])
+        return names[best], float(1 / np.exp(SHARPNESS * (cos - cos[best])).sum()), float(cos[best]), len(grams)
 
     return judge

@@ -45,7 +45,11 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
     if len(words) < width:
         return xxhash.xxh64_intdigest(b" ".join(words), seed)
     digest, join = xxhash.xxh64_intdigest, b" ".join
-    hashes = np.array([digest(join(s), seed) for s in zip(*(words[i:] for i in range(width)))], dtype="<u8")
+    return bits_of(np.array([digest(join(s), seed) for s in zip(*(words[i:] for i in range(width)))], dtype="<u8"))
+
+
+def bits_of(hashes: np.ndarray) -> int:
+    """The bits that over half of the 64-bit ``hashes`` have; zero without any."""
     octets = hashes.view(np.uint8).reshape(-1, 8) + np.arange(0, 2048, 256)
     counts = np.bincount(octets.ravel(), minlength=2048).reshape(8, 256) @ _BITS
     return int.from_bytes(np.packbits(counts.ravel() * 2 > len(hashes), bitorder="little").tobytes(), "little")

@@ -140,6 +140,60 @@ def test_languages(spark):
     assert not {500, 501, 502} & {r.doc_id for r in kept.collect()}
 
 
+def test_texts_like_no_language_are_rejected(spark):
+    rows = language_rows()
+    prototypes = language_id.fit(wide(spark, rows))
+    rng = random.Random(12)
+    noise = [(600 + i, "".join(rng.choice(list("漢字仮名交文書体語彙韻律")) for _ in range(400)), None) for i in range(20)]
+    own = [(700, "the and with that " * 30, None), (701, "漢字", None), (702, "漢字", "xx")]
+    kept = {r.doc_id: r.lang for r in language_id.keep_known(wide(spark, rows + noise + own), prototypes).collect()}
+    assert {i for i, _, _ in rows + own} <= set(kept) and len(set(kept) & {i for i, _, _ in noise}) <= 4
+    assert kept[700] == "en" and kept[701] in prototypes and kept[702] == "xx"
+    assert language_id.keep_known(wide(spark, rows), {}).count() == 0
+
+
+def plainly(text, dim, vector):
+    """The bundle of a text from its letters, gram by gram."""
+    letters = [" ", *"".join(c if c.isalpha() else " " for c in text.lower()), " "]
+    letters = [c for n, c in enumerate(letters) if not n or c != " " or letters[n - 1] != " "]
+    counts = Counter(zip(letters, letters[1:], letters[2:])) if any(c != " " for c in letters) else {}
+    out = np.zeros(dim)
+    for gram, n in counts.items():
+        bound = np.ones(dim)
+        for place, letter in enumerate(gram):
+            bound = bound * np.roll(vector(0 if letter == " " else ord(letter)), place)
+        out += n**0.5 * bound
+    return out
+
+
+def test_languages_against_plain_bundles_and_cosines(spark):
+    """Prototypes and predictions recomputed without the operator's tables; rows that repeat an id and rows without one are fitted too."""
+    rows = [(i // 2 if i % 3 else None, t, g) for i, t, g in language_rows()]
+    docs = wide(spark, [*rows, (9, "", "en"), (9, None, "de"), (None, "12 !", "en")])
+    got = language_id.fit(docs)
+    vector, dim = language_id.Encoder().letter, language_id.DIM
+    sums = {}
+    for _, text, lang in rows:
+        own = plainly(text, dim, vector)
+        sums[lang] = sums.get(lang, 0) + own / np.linalg.norm(own)
+    want = {k: v / np.linalg.norm(v) for k, v in sums.items()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-4) for k in want)
+    shared = np.mean(list(want.values()), axis=0)
+    asked = [(i, t, None) for i, (_, t, _) in enumerate(rows)] + [(900, "Été des à", None)]
+    made = {r.doc_id: r for r in language_id.predict(wide(spark, asked), got).collect()}
+    for i, text, _ in asked:
+        own = plainly(text, dim, vector)
+        own = own - shared * (own @ shared) / (shared @ shared)
+        cos = {k: own @ (v - shared) / np.linalg.norm(own) / np.linalg.norm(v - shared) for k, v in want.items()}
+        assert abs(made[i].cosine - max(cos.values())) < 1e-3 and cos[made[i].lang_pred] > max(cos.values()) - 1e-3
+
+
+def test_too_many_labels_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGS", 2)
+    with pytest.raises(ValueError):
+        language_id.fit(wide(spark, language_rows()))
+
+
 def test_letters_of_all_planes():
     coder = language_id.Encoder()
     assert len(coder.grams("\U00031350 \U0010ffff")) == 1 and not len(coder.grams("\U0010ffff 12 \ud800"))

@@ -15,7 +15,8 @@ import corpus_pipeline  # noqa: E402
 from lectern.llm import ann, queries, url_filter, warc  # noqa: E402
 from lectern.llm.common import Scratch  # noqa: E402
 from tests.compare import connection, rows as sorted_rows  # noqa: E402
-from tests.llm.test_dedup import brute_print, components, passages  # noqa: E402
+from tests.llm.test_dedup import passages  # noqa: E402
+from tests.llm.test_near_copies import brute  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -205,9 +206,9 @@ def test_pipeline(spark):
                 last[low] = max(last.get(low, i), i)
             assert {i for i, _, _ in rows} == set(last.values())
         elif name == "simhash_near_dedup":
-            assert {i for i, _, _ in rows} == set(components([(i, brute_print(t)) for i, t, _ in before]))
+            assert {i for i, _, _ in rows} == set(brute(before))
         elif name == "suffix_array_dedup":
-            removed = {i: n for i, _, n, _, _ in passages(before)}
+            removed = {i: n for i, _, n, _, _ in passages(before, corpus_pipeline.PASSAGE_BYTES)}
             assert Counter(i for i, _, _ in rows) == Counter(i for i, _, _ in before)
             was = {i: len(t.encode()) for i, t, _ in before}
             assert all(0 <= len(t.encode()) - (was[i] - removed[i]) <= 6 * 10 for i, t, _ in rows)
