@@ -36,13 +36,14 @@ class Scratch:
     """Tables written to the shared checkpoint folder between the steps of one operator.
 
     Written tables cut the lineage: a lost executor costs the running tasks, not the steps before.
-    Superseded tables go with ``drop``; the rest when the driver's Python ends.
+    Superseded tables go with ``drop`` and ``only``; the rest when the driver's Python ends.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.path = f"{checkpoint_dir(spark).rstrip('/')}/lectern-{label}-{uuid.uuid4().hex[:12]}"
         self.made = 0
+        self.tables: list[str] = []
         atexit.register(self._remove, self.path)
 
     def _remove(self, path: str) -> None:
@@ -61,14 +62,24 @@ class Scratch:
         """``df`` as a written table."""
         folder = self.folder(name)
         df.write.parquet(folder)
+        self.tables.append(folder)
         out = self.spark.read.schema(df.schema).parquet(folder)
         out._scratch = folder
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
+            self.tables.remove(table._scratch)
             self._remove(table._scratch)
 
+    def only(self, *tables: DataFrame) -> None:
+        """Drop all tables but these."""
+        left = [t._scratch for t in tables]
+        for folder in self.tables:
+            if folder not in left:
+                self._remove(folder)
+        self.tables = left
+
 
 def ascii_lower(text: Column) -> Column:
     """``text`` with A-Z lower-cased and nothing else changed.

@@ -23,16 +23,16 @@ def chunk_list(text: Column, min_chars: int = 512, max_chars: int = 4096) -> Col
 
 
 def exact_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 512, max_chars: int = 4096
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 512, max_chars: int = 4096, scratch: Scratch | None = None
 ) -> DataFrame:
     """One row per input row: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``, ``text_hash``.
 
     Texts are equal when identical after lower-casing A-Z only; null counts as empty. Of a group the row with the
-    largest id stays. ``text_hash`` is the XXH64 of the text as it was, which tells rows of one id apart. Defined cases: null ids sort below all others, and a group of null ids only keeps them all
-    under a null ``keep_id``; rows that repeat an id count singly, and all rows with the largest id stay; an empty
+    largest id stays. ``text_hash`` is the XXH64 of the text as it was, which tells rows of one id apart. ``scratch`` gets the tables
+    between the steps. Defined cases: null ids sort below all others, and a group of null ids only keeps them all under a null ``keep_id``; rows that repeat an id count singly, and all rows with the largest id stay; an empty
     table gives an empty result; other columns of ``docs`` are not read.
     """
-    scratch = Scratch(docs.sparkSession, "exact")
+    scratch = scratch or Scratch(docs.sparkSession, "exact")
     text = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
     lowered = docs.select(F.col(id_col).alias("id"), text.alias("body"), F.xxhash64(text_col).alias("was"))
     cut = lowered.select("id", "was", chunk_list(F.col("body"), min_chars, max_chars).alias("chunks"), F.sha2("body", 256).alias("sha"))

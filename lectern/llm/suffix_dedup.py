@@ -198,13 +198,16 @@ def sample_ranks(strings: DataFrame, scratch: Scratch, reach: int) -> DataFrame:
         F.filter(F.sequence(F.lit(0), F.size("names") - 1), lambda j: j % 3 != 0),
         lambda j: F.struct(j.alias("j"), _at("names", j).alias("a"), _at("names", j + 1).alias("b"), _at("names", j + 2).alias("c")),
     )
-    rows, covered, stride = strings.select("id", F.inline(triple)), 3, 2
+    rows, covered, stride, last = strings.select("id", F.inline(triple)), 3, 2, None
     while True:
         rows = scratch.save(rows, "triples")
         ranked = _ranked(rows, scratch, ["a", "b", "c"])
         named = rows.join(ranked, ["a", "b", "c"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("j", "name"))).alias("r"))
         level = scratch.save(named.select("id", F.transform("r", lambda x: x["name"]).alias("ranks"), F.transform("r", lambda x: x["j"]).alias("places")), "level")
         scratch.drop(rows)
+        if last is not None:
+            scratch.drop(last)
+        last = level
         if covered >= reach or ranked.count() == level.agg(F.sum(F.size("ranks"))).first()[0]:
             return strings.join(level.select("id", "ranks"), "id", "left")
         # the name at place j + covered stands ``stride`` entries on, as two of three places are sampled
@@ -435,6 +438,7 @@ def _found(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, length
     known = alive.join(per_doc, "k", "left").join(copies, "k", "left").select("k", "text", "low", "high", "known", F.col("copies").isNotNull().alias("copied"))
     cells = known.mapInArrow(_cell_rows(length), "k long, lo long, hi long, inner long, whole long, whole2 long")
     cells = scratch.save(cells, "cells")
+    scratch.only(rows, copies, alive, cells)
 
     kinds = cells.join(copies, "k", "left").groupBy("inner", "whole", "whole2").agg(F.sum(F.coalesce("copies", F.lit(1))).alias("n"), *(F.first(c).alias(c) for c in ("k", "lo", "hi")))
     # any one cell stands for its kind; its columns come from one row, and the written table fixes which
@@ -451,4 +455,6 @@ def _found(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, length
     runs = scratch.save(single.unionByName(whole).groupBy("k").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "runs")
     scratch.drop(windows, twice, cells)
     kept = alive.select("k", "text").join(runs, "k").mapInArrow(_kept(length), "k long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,stop:bigint>>")
-    return rows, scratch.save(kept, "kept")
+    kept = scratch.save(kept, "kept")
+    scratch.only(rows, kept)
+    return rows, kept
