@@ -1,6 +1,6 @@
 """Removal of repeated passages by a distributed difference-cover suffix sort.
 
-Texts are cut at anchors, places where a hash of the next ``GRAM`` bytes is among the smallest of ``RATE`` equal parts: what
+Texts are cut at anchors, places where a hash of the next ``GRAM`` bytes is in the smallest of ``RATE`` equal parts: what
 repeats in two places is cut alike in both. Where an anchor's bytes are unique in the corpus nothing repeats, so only what lies
 between such anchors is sorted. There, the phrases between anchors are the letters of much shorter strings:
 
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import PORTION, Scratch, portions, slices
 
 GRAM = 32
+#: The share of places that are anchors is one in RATE, or in an eighth of a shorter length: a window holds about seven.
 RATE = 48
 FAR = 1 << 20
 #: Names that ranks reach over; what is equal so far is told apart by its names themselves when suffixes are sorted.
@@ -68,12 +69,12 @@ class Rolling:
     def hashes(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return _mixed((self.sums[stop] - self.sums[start]) * self.inverse[start])
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Places of anchors, and the hashes of their bytes."""
+    def anchors(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of anchors for windows of ``length`` bytes, and the hashes of their bytes."""
         if self.n < GRAM:
             return np.zeros(0, np.int64), np.zeros(0, _U)
         found = _mixed((self.sums[GRAM:] - self.sums[:-GRAM]) * self.inverse[: self.n - GRAM + 1])
-        at = np.flatnonzero(found < _U(2**64 // RATE))
+        at = np.flatnonzero(found < _U(2**64 // max(2, min(RATE, length // 8))))
         return at, found[at]
 
 
@@ -119,7 +120,7 @@ def _anchor_rows(length: int):
             for low, high in portions(texts):
                 part = texts[low:high]
                 ends = np.cumsum([0, *map(len, part)])
-                at, found = Rolling(b"".join(part)).anchors()
+                at, found = Rolling(b"".join(part)).anchors(length)
                 row = np.searchsorted(ends, at, "right") - 1
                 ok = (at + GRAM <= ends[row + 1]) & (ends[row + 1] - ends[row] >= length)
                 row, at, found = row[ok], at[ok], found[ok]
@@ -137,7 +138,7 @@ def _alive_runs(length: int):
             for row, (text, repeated) in enumerate(zip(batch.column(1).to_pylist(), _lists(batch.column(2)))):
                 if text is None or len(text) < length:
                     continue
-                at, _ = Rolling(text).anchors()
+                at, _ = Rolling(text).anchors(length)
                 lone = at[~np.isin(at, repeated)]
                 starts = len(text) - length + 1
                 change = np.bincount(np.maximum(lone - (length - GRAM), 0), minlength=len(text) + 1) - np.bincount(lone + 1, minlength=len(text) + 1)
@@ -153,7 +154,7 @@ def _alive_runs(length: int):
 def _regions(text: bytes, low: list[int], high: list[int], length: int) -> Iterator[tuple[int, int, Rolling, np.ndarray]]:
     """For each run of starts: its bytes' start and end, the document's hashes, and the anchors within."""
     rolling = Rolling(text)
-    at, _ = rolling.anchors()
+    at, _ = rolling.anchors(length)
     for a, b in zip(low, high):
         stop = b + length - 1
         yield a, stop, rolling, at[(at >= a) & (at + GRAM <= stop)]

@@ -177,10 +177,11 @@ def repeated():
     return rows
 
 
-def test_passages(spark):
+@pytest.mark.parametrize("length", [400, 240])
+def test_passages(spark, length):
     rows = repeated()
-    got = suffix_dedup.repeated_passages(wide(spark, rows)).drop("spans").collect()
-    assert sorted(map(tuple, got), key=key) == passages(rows)
+    got = suffix_dedup.repeated_passages(wide(spark, rows), length=length).drop("spans").collect()
+    assert sorted(map(tuple, got), key=key) == passages(rows, length)
 
 
 def test_passages_of_little(spark):
@@ -206,7 +207,7 @@ def collided():
         pair = [edge[:70] + "".join(y if bin(i).count("1") % 2 else x for i in range(64)) + edge[70:] for x, y in ((a, b), (b, a))]
         made = [suffix_dedup.Rolling(t.encode()) for t in pair]
         # an anchor would tell them apart before whole windows are compared
-        if len({int(x.hashes(np.zeros(1, int), np.full(1, 400))[0]) for x in made}) == 1 and not any(len(x.anchors()[0]) for x in made):
+        if len({int(x.hashes(np.zeros(1, int), np.full(1, 400))[0]) for x in made}) == 1 and not any(len(x.anchors(400)[0]) for x in made):
             return pair
     raise AssertionError("no pair found")
 
