@@ -10,17 +10,17 @@ from pyspark.sql import functions as F
 RRF_K = 60
 
 
-def fused(rankings: dict[str, tuple[DataFrame, float]], id_col: str = "id") -> DataFrame:
-    """``id``, each ranking's score (0 where absent) and ``rrf_score``, the weighted sum of 1 / (60 + rank).
+def fused(rankings: dict[str, tuple[DataFrame, float]], *keys: str) -> DataFrame:
+    """``keys, id``, each ranking's score (0 where absent) and ``rrf_score``, the weighted sum of 1 / (60 + rank).
 
-    rankings: name to a table of ``id, score, rank`` and its weight.
+    rankings: name to a table of ``keys, id, score, rank`` and its weight; ``keys`` tell queries apart.
     """
     rows = [
-        df.select(F.col(id_col).alias("id"), F.lit(name).alias("list"), "score", (weight / (RRF_K + F.col("rank"))).alias("part"))
+        df.select(*keys, "id", F.lit(name).alias("list"), "score", (weight / (RRF_K + F.col("rank"))).alias("part"))
         for name, (df, weight) in rankings.items()
     ]
     scores = [F.coalesce(F.max(F.when(F.col("list") == n, F.col("score"))), F.lit(0.0)).alias(f"{n}_score") for n in rankings]
-    return reduce(DataFrame.unionByName, rows).groupBy("id").agg(*scores, F.round(F.sum("part"), 6).alias("rrf_score"))
+    return reduce(DataFrame.unionByName, rows).groupBy(*keys, "id").agg(*scores, F.round(F.sum("part"), 6).alias("rrf_score"))
 
 
 def heuristic_score(query: str, content: Column, score: Column, weight: Column) -> Column:

@@ -19,8 +19,9 @@ def postings(docs: DataFrame, id_col: str, text_col: str, *keys: str) -> DataFra
 
 
 def term_stats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``term, df, idf``: number of documents with the term, and its weight."""
-    found = postings(docs, id_col, text_col).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    """``term, df, idf``: number of documents with the term, and its weight. Only partial counts are shuffled; rows are documents."""
+    words = docs.select(F.explode(F.array_distinct(text.tokens(F.col(text_col)))).alias("term"))
+    found = words.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     size = docs.agg(F.count(F.lit(1)).alias("n"))
     return found.crossJoin(F.broadcast(size)).select("term", "df", _idf().alias("idf"))
 

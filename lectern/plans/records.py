@@ -145,16 +145,17 @@ def provider_choice(spark: SparkSession, folder: str) -> DataFrame:
     return tables.prompts(spark, folder).select("conv_id", "turn", routing.provider_choice(task, F.col("turn"), F.lit(10.0), hint, limit).alias("tier"))
 
 
-@query("""WITH s AS (SELECT e.vec_id AS doc_id, round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))
+@query("""WITH s AS (SELECT q.vec_id AS question, e.vec_id AS doc_id, round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))
         / sqrt(list_sum(list_transform(e.embedding, lambda x: x::DOUBLE * x)) * list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x))), 6) AS similarity
-        FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 1) q)
-    SELECT doc_id, source, similarity FROM s JOIN documents USING (doc_id) ORDER BY similarity DESC, doc_id LIMIT 25""")
+        FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY similarity DESC, e.vec_id) <= 25)
+    SELECT question, doc_id, source, similarity FROM s JOIN documents USING (doc_id)""")
 def ranked_papers(spark: SparkSession, folder: str) -> DataFrame:
-    """The 25 papers nearest to a question's vector; the question is vector 1. Only the scan's narrow columns meet."""
+    """The 25 vectors nearest to each question's, as far as they are papers; every fiftieth vector is a question."""
     known = tables.load(spark, folder, "embeddings")
-    question = known.where("vec_id = 1").select(F.lit(1).alias("query_id"), F.col("embedding").alias("query"))
-    near = vectors.compared(known, question).select(F.col("vec_id").alias("doc_id"), F.col("score").alias("similarity"))
-    return tables.load(spark, folder, "documents").select("doc_id", "source").join(near, "doc_id").orderBy(F.desc("similarity"), "doc_id").limit(25)
+    questions = known.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    near = vectors.nearest(known.select(F.col("vec_id").alias("id"), "embedding"), questions, 25)
+    near = near.select(F.col("query_id").alias("question"), F.col("id").alias("doc_id"), F.col("score").alias("similarity"))
+    return tables.load(spark, folder, "documents").select("doc_id", "source").join(near, "doc_id")
 
 
 @query(with_views("""SELECT project_id, string_agg(methodology || ' ' || year || ';' || methodology, ';' ORDER BY line, methodology || ' ' || year) AS limitations FROM refs GROUP BY project_id""", "refs"))

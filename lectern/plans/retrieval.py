@@ -26,8 +26,9 @@ COSINE = """round(list_inner_product(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[]
     * list_inner_product(CAST({1} AS DOUBLE[]), CAST({1} AS DOUBLE[]))), 6)"""
 
 
-def _query_vector(spark: SparkSession, folder: str, *ids: int) -> DataFrame:
-    chosen = tables.load(spark, folder, "embeddings").where(F.col("vec_id").isin(*ids))
+def _questions(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector whose number is divisible by 50, as a query."""
+    chosen = tables.load(spark, folder, "embeddings").where("vec_id % 50 = 0")
     return chosen.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
@@ -63,39 +64,40 @@ def bm25_per_source(spark: SparkSession, folder: str) -> DataFrame:
     return lexical.top(scored, 5, "project_id")
 
 
-@query(f"""SELECT e.vec_id AS id, {COSINE.format("e.embedding", "q.embedding")} AS score, row_number() OVER (ORDER BY score DESC, e.vec_id) AS rank
-    FROM embeddings e, embeddings q WHERE q.vec_id = 0 ORDER BY score DESC, e.vec_id LIMIT 10""")
+SCORED = f"""scored AS (SELECT q.vec_id AS query_id, e.vec_id AS id, e.label, {COSINE.format("e.embedding", "q.embedding")} AS score
+    FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0)"""
+
+
+@query(f"""WITH {SCORED} SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored QUALIFY rank <= 10""")
 def knn_topk(spark: SparkSession, folder: str) -> DataFrame:
-    found = vectors.compared(_vectors(spark, folder), _query_vector(spark, folder, 0)).select("id", "score")
-    return lexical.top(found, 10)
+    return vectors.nearest(_vectors(spark, folder), _questions(spark, folder), 10)
 
 
-@query(f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, CAST(e.label AS BIGINT) AS kind, {COSINE.format("e.embedding", "q.embedding")} AS score
-    FROM embeddings e, embeddings q WHERE q.vec_id IN (0, 7) AND e.label IN (1, 3, 5)),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE score >= 0.05)
-    SELECT * FROM r WHERE rank <= 10""")
+@query(f"""WITH {SCORED} SELECT query_id, id, CAST(label AS BIGINT) AS kind, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
+    FROM scored WHERE label IN (1, 3, 5) AND score >= 0.05 QUALIFY rank <= 10""")
 def knn_filtered(spark: SparkSession, folder: str) -> DataFrame:
     kinds = _vectors(spark, folder).where(F.col("kind").isin(1, 3, 5))
-    found = vectors.compared(kinds, _query_vector(spark, folder, 0, 7), least=0.05)
-    return lexical.top(found.select("query_id", "id", "kind", "score"), 10, "query_id")
+    found = vectors.nearest(kinds, _questions(spark, folder), 10, least=0.05)
+    return found.join(kinds.select("id", "kind"), "id").select("query_id", "id", "kind", "score", "rank")
 
 
-@query(f"""WITH s AS (SELECT e.vec_id AS id, 1 + e.label / 10 AS weight, {COSINE.format("e.embedding", "q.embedding")} AS score
-    FROM embeddings e, embeddings q WHERE q.vec_id = 0 ORDER BY score DESC, id LIMIT 20)
-    SELECT id, round(score * weight, 6) AS weighted, row_number() OVER (ORDER BY round(score * weight, 6) DESC, id) AS rank FROM s
-    ORDER BY weighted DESC, id LIMIT 10""")
+@query(f"""WITH {SCORED}, s AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 20)
+    SELECT query_id, id, round(score * (1 + label / 10), 6) AS weighted, row_number() OVER (PARTITION BY query_id ORDER BY round(score * (1 + label / 10), 6) DESC, id) AS rank
+    FROM s QUALIFY rank <= 10""")
 def knn_weighted(spark: SparkSession, folder: str) -> DataFrame:
-    found = vectors.compared(_vectors(spark, folder), _query_vector(spark, folder, 0)).orderBy(F.desc("score"), "id").limit(20)
-    weighted = found.select("id", F.round(F.col("score") * F.col("weight"), 6).alias("weighted"))
-    return lexical.top(weighted, 10, score="weighted")
+    known = _vectors(spark, folder)
+    found = vectors.nearest(known, _questions(spark, folder), 20).drop("rank").join(known.select("id", "weight"), "id")
+    weighted = found.select("query_id", "id", F.round(F.col("score") * F.col("weight"), 6).alias("weighted"))
+    return lexical.top(weighted, 10, "query_id", score="weighted")
 
 
-HYBRID = f"""{BM25},
-    lex AS (SELECT CAST(id AS BIGINT) AS id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM bm25 ORDER BY score DESC, id LIMIT 20),
-    vs AS (SELECT e.vec_id AS id, {COSINE.format("e.embedding", "q.embedding")} AS score FROM embeddings e, embeddings q WHERE q.vec_id = 0),
-    vec AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM vs ORDER BY score DESC, id LIMIT 20),
-    f AS (SELECT coalesce(lex.id, vec.id) AS id, coalesce(vec.score, 0.0) AS vector_score, coalesce(lex.score, 0.0) AS bm25_score,
-        round(coalesce({{0}} / (60 + vec.rank), 0) + coalesce({{1}} / (60 + lex.rank), 0), 6) AS rrf_score FROM lex FULL JOIN vec ON lex.id = vec.id)"""
+HYBRID = f"""{BM25}, {SCORED},
+    best AS (SELECT CAST(id AS BIGINT) AS id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM bm25 ORDER BY score DESC, id LIMIT 20),
+    lex AS (SELECT vec_id AS query_id, best.* FROM best, embeddings WHERE vec_id % 50 = 0),
+    vec AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored QUALIFY rank <= 20),
+    f AS (SELECT coalesce(lex.query_id, vec.query_id) AS query_id, coalesce(lex.id, vec.id) AS id, coalesce(vec.score, 0.0) AS vector_score, coalesce(lex.score, 0.0) AS bm25_score,
+        round(coalesce({{0}} / (60 + vec.rank), 0) + coalesce({{1}} / (60 + lex.rank), 0), 6) AS rrf_score FROM lex FULL JOIN vec ON lex.query_id = vec.query_id AND lex.id = vec.id)"""
+FIRST_TEN = "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, id) AS rank FROM f QUALIFY rank <= 10"
 
 
 def _hybrid_sql(vector_weight: str, bm25_weight: str) -> str:
@@ -103,37 +105,41 @@ def _hybrid_sql(vector_weight: str, bm25_weight: str) -> str:
 
 
 def _fusion(spark: SparkSession, folder: str, vector_weight: float, bm25_weight: float) -> DataFrame:
-    """Rankings of twice the wanted length, fused. Documents and vectors share their numbers."""
-    lexical_top = lexical.top(lexical.bm25(tables.papers(spark, folder), QUESTION), 20).withColumn("id", F.col("id").cast("bigint"))
-    vector_top = lexical.top(vectors.compared(_vectors(spark, folder), _query_vector(spark, folder, 0)).select("id", "score"), 20)
-    return hybrid.fused({"vector": (vector_top, vector_weight), "bm25": (lexical_top, bm25_weight)})
+    """Rankings of twice the wanted length, fused for each query vector; the question's words are the same. Documents and vectors share their numbers."""
+    asked = _questions(spark, folder)
+    best = lexical.top(lexical.bm25(tables.papers(spark, folder), QUESTION), 20)
+    # one row: the list of twenty
+    listed = best.agg(F.collect_list(F.struct(F.col("id").cast("bigint").alias("id"), "score", "rank")).alias("best"))
+    lexical_top = asked.select("query_id").crossJoin(F.broadcast(listed)).select("query_id", F.inline("best"))
+    vector_top = vectors.nearest(_vectors(spark, folder), asked, 20)
+    return hybrid.fused({"vector": (vector_top, vector_weight), "bm25": (lexical_top, bm25_weight)}, "query_id")
 
 
-@query(with_views(f"WITH {_hybrid_sql('1.0', '1.0')} SELECT *, row_number() OVER (ORDER BY rrf_score DESC, id) AS rank FROM f ORDER BY rrf_score DESC, id LIMIT 10", "papers"))
+@query(with_views(f"WITH {_hybrid_sql('1.0', '1.0')} {FIRST_TEN}", "papers"))
 def hybrid_rrf(spark: SparkSession, folder: str) -> DataFrame:
-    return lexical.top(_fusion(spark, folder, 1.0, 1.0), 10, score="rrf_score")
+    return lexical.top(_fusion(spark, folder, 1.0, 1.0), 10, "query_id", score="rrf_score")
 
 
-@query(with_views(f"WITH {_hybrid_sql('0.7', '0.3')} SELECT *, row_number() OVER (ORDER BY rrf_score DESC, id) AS rank FROM f ORDER BY rrf_score DESC, id LIMIT 10", "papers"))
+@query(with_views(f"WITH {_hybrid_sql('0.7', '0.3')} {FIRST_TEN}", "papers"))
 def hybrid_weighted_rrf(spark: SparkSession, folder: str) -> DataFrame:
-    return lexical.top(_fusion(spark, folder, 0.7, 0.3), 10, score="rrf_score")
+    return lexical.top(_fusion(spark, folder, 0.7, 0.3), 10, "query_id", score="rrf_score")
 
 
 @query(with_views(f"""WITH {_hybrid_sql('1.0', '1.0')},
     c AS (SELECT f.*, lower(abstract) AS low FROM f JOIN papers ON papers.arrival = f.id),
-    h AS (SELECT id, rrf_score, round(least(1.0, rrf_score * 0.6 + (CAST(contains(low, 'the') AS INT) + CAST(contains(low, 'with') AS INT)
+    h AS (SELECT query_id, id, rrf_score, round(least(1.0, rrf_score * 0.6 + (CAST(contains(low, 'the') AS INT) + CAST(contains(low, 'with') AS INT)
         + CAST(contains(low, 'from') AS INT) + CAST(contains(low, 'which') AS INT)) / 4 * 0.25 + 0.1
         + CASE WHEN contains(low, 'the with from which with') THEN 0.1 ELSE 0.0 END * 0.05), 6) AS rerank_score FROM c)
-    SELECT *, round(rrf_score * 0.4 + rerank_score * 0.6, 6) AS final_score, row_number() OVER (ORDER BY round(rrf_score * 0.4 + rerank_score * 0.6, 6) DESC, id) AS rank
-    FROM h ORDER BY final_score DESC, id LIMIT 10""", "papers"))
+    SELECT *, round(rrf_score * 0.4 + rerank_score * 0.6, 6) AS final_score, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score * 0.4 + rerank_score * 0.6, 6) DESC, id) AS rank
+    FROM h QUALIFY rank <= 10""", "papers"))
 def heuristic_rerank(spark: SparkSession, folder: str) -> DataFrame:
-    found = _fusion(spark, folder, 1.0, 1.0).select("id", "rrf_score")
+    found = _fusion(spark, folder, 1.0, 1.0).select("query_id", "id", "rrf_score")
     docs = tables.papers(spark, folder).select(F.col("arrival").alias("id"), "abstract")
-    scored = docs.join(F.broadcast(found), "id")  # forty rows at most
+    scored = docs.join(found, "id")
     again = hybrid.heuristic_score(QUESTION, F.col("abstract"), F.col("rrf_score"), F.lit(1.0))
-    scored = scored.select("id", "rrf_score", F.round(again, 6).alias("rerank_score"))
+    scored = scored.select("query_id", "id", "rrf_score", F.round(again, 6).alias("rerank_score"))
     scored = scored.withColumn("final_score", F.round(hybrid.combined(F.col("rrf_score"), F.col("rerank_score")), 6))
-    return lexical.top(scored, 10, score="final_score")
+    return lexical.top(scored, 10, "query_id", score="final_score")
 
 
 @query(r"""WITH a AS (SELECT conv_id, turn, string_split(trim(CASE WHEN turn % 3 = 0 THEN '0.9' || chr(10) || 'bad' || chr(10) || '2' ELSE CAST(length(text) / 1000.0 AS VARCHAR) END), chr(10)) AS l FROM conversations)
@@ -145,15 +151,13 @@ def rerank_parse_scores(spark: SparkSession, folder: str) -> DataFrame:
     return scores.withColumn("place", F.col("place").cast("bigint"))
 
 
-@query(f"""WITH s AS (SELECT e.vec_id AS id, e.label AS paper, {COSINE.format("e.embedding", "q.embedding")} AS score
-    FROM embeddings e, embeddings q WHERE q.vec_id = 3 AND e.vec_id <> 3),
-    b AS (SELECT *, row_number() OVER (PARTITION BY paper ORDER BY score DESC, id) AS p FROM s)
-    SELECT id, CAST(paper AS BIGINT) AS paper, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM b WHERE p = 1 ORDER BY score DESC, id LIMIT 5""")
+@query(f"""WITH {SCORED}, b AS (SELECT query_id, id, CAST(label AS BIGINT) AS paper, score FROM scored WHERE id <> query_id
+        QUALIFY row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, id) = 1)
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM b QUALIFY rank <= 5""")
 def similar_docs(spark: SparkSession, folder: str) -> DataFrame:
-    """The best chunk of each of the five papers nearest to chunk 3, its own left out; labels stand for papers."""
-    found = vectors.compared(_vectors(spark, folder), _query_vector(spark, folder, 3)).where("id <> query_id")
-    best = hybrid.best_per(found.select("id", F.col("kind").alias("paper"), "score"), "paper", "score", "id")
-    return lexical.top(best, 5)
+    """The best chunk of each of the five papers nearest to each query's, its own left out; labels stand for papers."""
+    chunks = _vectors(spark, folder).withColumnRenamed("kind", "paper")
+    return vectors.nearest(chunks, _questions(spark, folder), 5, per="paper", others_only=True)
 
 
 @query(with_views(f"""WITH {BM25},

@@ -9,9 +9,14 @@ from lectern.plans.registry import query
 from lectern.streaming import streams
 
 
+def _all_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event counts, however many batches and in whatever order their files come."""
+    return streams.events(spark, folder, late=streams.span(spark, folder))
+
+
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS calls, round(sum(value), 6) AS value FROM events GROUP BY ALL")
 def stream_usage_daily(spark: SparkSession, folder: str) -> DataFrame:
-    rows = streams.usage_by_day(streams.events(spark, folder)).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "calls", "value")
+    rows = streams.usage_by_day(_all_events(spark, folder)).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "calls", "value")
     return streams.drained(rows, "update", ["day", "event_type"])
 
 
@@ -20,22 +25,26 @@ def stream_usage_daily(spark: SparkSession, folder: str) -> DataFrame:
     o AS (SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS writes, round(sum(value), 6) AS spent, max(ts) + INTERVAL 2 DAY AS closes FROM s GROUP BY user_id, n)
     SELECT user_id, start_us, writes, spent FROM o WHERE closes <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)""")
 def stream_session_spend(spark: SparkSession, folder: str) -> DataFrame:
-    """Closed sessions only: those that ended before the watermark."""
-    rows = streams.spending_sessions(streams.events(spark, folder))
-    return streams.drained(rows.select("user_id", F.unix_micros("w.start").alias("start_us"), "writes", "spent"))
+    """Closed sessions only: those that ended two hours before the last event."""
+    rows = streams.spending_sessions(_all_events(spark, folder))
+    ends = streams.drained(rows.select("user_id", F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), "writes", "spent"), "complete")
+    last = spark.read.parquet(f"{folder}/events.parquet").agg(F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("last_us"))
+    # one row: the time of the last event
+    closed = ends.crossJoin(F.broadcast(last)).where(F.col("end_us") <= F.col("last_us") - 7_200_000_000)
+    return closed.select("user_id", "start_us", "writes", "spent")
 
 
 @query("""WITH s AS (SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) - k * 3600000000 AS start_us, event_type FROM events, range(0, 2) t(k))
     SELECT start_us, event_type, count(*) AS calls FROM s GROUP BY ALL""")
 def stream_trailing_rate(spark: SparkSession, folder: str) -> DataFrame:
-    rows = streams.trailing_rate(streams.events(spark, folder)).select(F.unix_micros("w.start").alias("start_us"), "event_type", "calls")
+    rows = streams.trailing_rate(_all_events(spark, folder)).select(F.unix_micros("w.start").alias("start_us"), "event_type", "calls")
     return streams.drained(rows, "update", ["start_us", "event_type"])
 
 
 @query("SELECT event_id, user_id FROM events")
 def stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Messages delivered twice, kept once."""
-    stream = streams.events(spark, folder)
+    stream = _all_events(spark, folder)
     twice = stream.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
     return streams.drained(streams.once(twice, "event_id").select("event_id", "user_id"))
 
@@ -54,4 +63,5 @@ def stream_fanout(spark: SparkSession, folder: str) -> DataFrame:
     UNION ALL SELECT e.user_id, e.n, CASE WHEN e.us < r.expires THEN r.expires ELSE e.us + 172800000000 END, e.us < r.expires FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
     SELECT user_id, CAST(count(*) FILTER (hit) AS BIGINT) AS hits, CAST(count(*) FILTER (NOT hit) AS BIGINT) AS misses FROM r GROUP BY user_id""")
 def stream_ttl_cache(spark: SparkSession, folder: str) -> DataFrame:
-    return streams.drained(streams.cache_hits(streams.events(spark, folder), 172_800), "update", ["user_id"])
+    """The cache depends on the order of events, so all present files are one batch, sorted by time within a key."""
+    return streams.drained(streams.cache_hits(streams.events(spark, folder, files_per_batch=None), 172_800), "update", ["user_id"])

@@ -15,12 +15,12 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def papers(spark: SparkSession, folder: str) -> DataFrame:
-    """``documents`` as papers; the document number is the order of arrival."""
+    """``documents`` as papers: the first line is the title and the whole text the abstract; the document number is the order of arrival."""
     return load(spark, folder, "documents").select(
         F.col("doc_id").cast("string").alias("paper_id"),
         F.col("doc_id").alias("arrival"),
-        F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"),
-        F.substring("text", 1, 2000).alias("abstract"),
+        F.substring_index("text", "\n", 1).alias("title"),
+        F.col("text").alias("abstract"),
         F.col("text").alias("full_text"),
         "source",
         F.col("source").alias("project_id"),
@@ -74,8 +74,8 @@ def prompts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 VIEWS = {
-    "papers": """SELECT CAST(doc_id AS VARCHAR) AS paper_id, doc_id AS arrival, substr(split_part(text, chr(10), 1), 1, 80) AS title,
-        substr(text, 1, 2000) AS abstract, text AS full_text, source, source AS project_id FROM documents""",
+    "papers": """SELECT CAST(doc_id AS VARCHAR) AS paper_id, doc_id AS arrival, split_part(text, chr(10), 1) AS title,
+        text AS abstract, text AS full_text, source, source AS project_id FROM documents""",
     "calls": """SELECT event_id, user_id, ts AS created_at, event_type AS agent_type, 'm' || CAST(event_id % 3 AS VARCHAR) AS model,
         CAST(json_extract_string(props, '$.k') AS BIGINT) AS total_tokens, value / 1000 AS cost_usd,
         CAST(floor(value * 10) AS BIGINT) AS latency_ms, event_type <> 'error' AS success FROM events""",

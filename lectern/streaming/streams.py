@@ -19,12 +19,30 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
 
 
-def events(spark: SparkSession, folder: str, late: str = "2 hours", files_per_batch: int = 1000) -> DataFrame:
-    """The event table as a stream by event time; events later than ``late`` may be left out of windows."""
+#: Files of a batch, unless told otherwise.
+FILES_PER_BATCH = 1000
+
+
+def span(spark: SparkSession, folder: str) -> str:
+    """How far the event table's times reach: with this lateness no event of it is late, in whatever order its files come."""
+    ts = F.col("ts").cast("timestamp")
+    first, last = spark.read.parquet(f"{folder}/events.parquet").agg(F.unix_seconds(F.min(ts)), F.unix_seconds(F.max(ts))).first()
+    return f"{(last or 0) - (first or 0) + 3600} seconds"
+
+
+def events(spark: SparkSession, folder: str, late: str = "2 hours", files_per_batch: int | None = 0) -> DataFrame:
+    """The event table as a stream by event time; events later than ``late`` may be left out of windows.
+
+    ``files_per_batch`` None makes all present files one batch, for operators that need their events in time order.
+    """
+    files_per_batch = FILES_PER_BATCH if files_per_batch == 0 else files_per_batch
     path = f"{folder}/events.parquet"
     schema = spark.read.parquet(path).schema
     # a pattern, as the stream source takes a plain path for a folder; it matches the one file or folder
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path.removesuffix("t") + "[t]")
+    reader = spark.readStream.schema(schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    stream = reader.parquet(path.removesuffix("t") + "[t]")
     return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
@@ -32,7 +50,7 @@ def drained(stream: DataFrame, mode: str = "append", key: list[str] | None = Non
     """All output of ``stream`` after its present input, as a table.
 
     Appended rows go to Parquet as they are. In update mode each batch is written under its number, and the latest row of each
-    ``key`` is the result.
+    ``key`` is the result. In complete mode each batch replaces the one before.
     """
     spark, path = stream.sparkSession, shared_folder(stream.sparkSession)
     if mode == "append":
@@ -40,6 +58,11 @@ def drained(stream: DataFrame, mode: str = "append", key: list[str] | None = Non
         query.awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
+    if mode == "complete":
+        query = stream.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/out")).outputMode(mode)
+        query.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/out/{number}")
 

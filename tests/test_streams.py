@@ -7,7 +7,9 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.plans import catalog
 from lectern.streaming import streams
+from tests.compare import connection, rows
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -60,3 +62,24 @@ def test_sessions_close(spark, folder):
     sessions = streams.spending_sessions(streams.events(spark, folder, late="1 hour", files_per_batch=1), "12 hours")
     got = {(r.user_id, r.writes, r.spent) for r in streams.drained(sessions.select("user_id", "writes", "spent")).collect()}
     assert (7, 4, 8.0) in got  # a session is open for late events until its gap has passed
+
+
+STREAMS = ("stream_usage_daily", "stream_session_spend", "stream_trailing_rate", "stream_dedup", "stream_ttl_cache")
+
+
+@pytest.mark.parametrize("name", STREAMS)
+def test_all_events_count_in_whatever_order_files_come(spark, tmp_path, monkeypatch, name):
+    """Six files over mixed spans of time, a file a batch, against the SQL."""
+    monkeypatch.setattr(streams, "FILES_PER_BATCH", 1)
+    table = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    os.makedirs(tmp_path / "events.parquet")
+    for n, k in enumerate((3, 5, 0, 4, 1, 2)):
+        part = str(tmp_path / f"part{n}")
+        days = F.floor(F.dayofyear("ts") / 5)
+        table.where(F.pmod(days, F.lit(6)) == k).coalesce(1).write.parquet(part)
+        file = next(f for f in os.listdir(part) if f.endswith(".parquet"))
+        os.rename(f"{part}/{file}", tmp_path / "events.parquet" / f"{n}.parquet")
+        os.utime(tmp_path / "events.parquet" / f"{n}.parquet", (time.time() + n, time.time() + n))
+    got = catalog.QUERIES[name](spark, str(tmp_path))
+    want = connection("/root/testdata/sf0.001").sql(catalog.ORACLE[name])
+    assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(want.columns, want.fetchall())
