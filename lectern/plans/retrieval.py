@@ -82,12 +82,13 @@ def knn_filtered(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""WITH {SCORED}, s AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 20)
-    SELECT query_id, id, round(score * (1 + label / 10), 6) AS weighted, row_number() OVER (PARTITION BY query_id ORDER BY round(score * (1 + label / 10), 6) DESC, id) AS rank
+    SELECT query_id, id, round(score * (1 + label / 10), 7) AS weighted, row_number() OVER (PARTITION BY query_id ORDER BY round(score * (1 + label / 10), 7) DESC, id) AS rank
     FROM s QUALIFY rank <= 10""")
 def knn_weighted(spark: SparkSession, folder: str) -> DataFrame:
     known = _vectors(spark, folder)
     found = vectors.nearest(known, _questions(spark, folder), 20).drop("rank").join(known.select("id", "weight"), "id")
-    weighted = found.select("query_id", "id", F.round(F.col("score") * F.col("weight"), 6).alias("weighted"))
+    # six decimals times one: rounding to seven meets no tie
+    weighted = found.select("query_id", "id", F.round(F.col("score") * F.col("weight"), 7).alias("weighted"))
     return lexical.top(weighted, 10, "query_id", score="weighted")
 
 
