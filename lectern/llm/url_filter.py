@@ -55,36 +55,69 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
 
 def mine(
     labelled: DataFrame, scratch: Scratch, min_support: float = 0.01, min_confidence: float = 0.8, longest: int = 3,
-    max_rules: int = 2000, sample_rows: int = 200_000, id_col: str = "page_id",
+    sample_rows: int = 200_000, id_col: str = "page_id",
 ) -> DataFrame:
     """``rule_id, antecedent, verdict, confidence, support, need`` mined from rows of ``tokens`` and ``verdict``.
 
-    Fitted on about ``sample_rows`` rows, chosen by a hash of the id. Pruned by support and confidence; a rule also goes
-    when a rule on part of its tokens with the same verdict is at least as sure. At most ``max_rules`` rules, the surest, stay.
+    FP-growth finds the candidates, sets of at most ``longest`` tokens, in about ``sample_rows`` rows, chosen by a hash of the id, with four
+    fifths of the support asked for. Support and confidence are then counted over all rows, so verdicts don't hang on the sample.
+    A rule also goes when a rule on part of its tokens with the same verdict is at least as sure.
     """
-    n = labelled.count()
-    share = min(1.0, sample_rows / n) if n else 1.0
-    lot = F.pmod(F.xxhash64(id_col, F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    baskets = labelled.where(lot < share) if share < 1 else labelled
-    baskets = scratch.save(baskets.select(F.array_append("tokens", F.concat(F.lit(LABEL), "verdict")).alias("items")), "baskets")
     schema = "rule_id long, antecedent array<string>, verdict string, confidence double, support double, need int"
-    if not n or baskets.isEmpty():
+    n = labelled.count()
+    if not n:
         return labelled.sparkSession.createDataFrame([], schema)
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    is_label = F.element_at("consequent", 1).startswith(LABEL) & ~F.exists("antecedent", lambda x: x.startswith(LABEL))
-    rules = model.associationRules.where(is_label & (F.size("antecedent") <= longest))
-    rules = rules.select(
-        F.array_sort("antecedent").alias("antecedent"), F.substring(F.element_at("consequent", 1), len(LABEL) + 1, 99).alias("verdict"),
-        F.round("confidence", 9).alias("confidence"), F.round("support", 9).alias("support"), F.size("antecedent").alias("need"),
-    )
+    lot = F.pmod(F.xxhash64(id_col, F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
+    share = min(1.0, sample_rows / n)
+    candidates = _candidates(labelled.where(lot < share) if share < 1 else labelled, scratch, 0.8 * min_support, longest)
+    rules = _counted(labelled, candidates, scratch).where((F.col("hits") >= F.ceil(F.lit(min_support) * n)) & (F.col("hits") / F.col("total") >= min_confidence))
+    rules = rules.select("antecedent", "verdict", F.round(F.col("hits") / F.col("total"), 9).alias("confidence"), F.round(F.col("hits") / n, 9).alias("support"), F.size("antecedent").alias("need"))
     rules = scratch.save(rules, "rules")
     less = rules.where("need > 1").select("antecedent", "verdict", "confidence", F.explode(_parts("antecedent", longest)).alias("part"))
     general = rules.select(F.col("antecedent").alias("part"), "verdict", F.col("confidence").alias("surer"))
     covered = less.join(general, ["part", "verdict"]).where("surer >= confidence").select("antecedent", "verdict").distinct()
     kept = rules.join(covered, ["antecedent", "verdict"], "left_anti")
-    kept = kept.orderBy(F.desc("confidence"), F.desc("support"), F.concat_ws(" ", "antecedent"), "verdict").limit(max_rules)
     # xxhash64 names a rule by its content, so a task that runs again gives the same name
-    return scratch.save(kept.select(F.xxhash64("antecedent", "verdict").alias("rule_id"), *kept.columns), "kept")
+    return scratch.save(kept.select(F.xxhash64("antecedent", "verdict").alias("rule_id"), "antecedent", "verdict", "confidence", "support", "need"), "kept")
+
+
+#: Frequent tokens of a basket that FP-growth gets at a time: it makes all subsets of what often occurs together. Longer baskets come as
+#: all unions of three of their parts of PART tokens; every set of three tokens is in one of these.
+BASKET, PART = 12, 4
+
+
+def _candidates(sample: DataFrame, scratch: Scratch, least: float, longest: int) -> DataFrame:
+    """``antecedent``: sets of at most ``longest`` tokens that occur with a verdict in a share of ``least`` of the sample, and some more.
+
+    Parts of long baskets may count a set more than once, which only adds candidates.
+    """
+    sample = scratch.save(sample.select("tokens", "verdict"), "sample")
+    n = sample.count()
+    if not n:
+        return sample.sparkSession.createDataFrame([], "antecedent array<string>")
+    # at most (tokens of a URL) / least tokens are frequent: one row of a bounded array
+    often = sample.select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") >= least * n).agg(F.collect_list("t").alias("often"))
+    basket = sample.crossJoin(F.broadcast(often)).select(F.array_intersect("tokens", "often").alias("b"), "verdict")
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("b") - 1) / PART).cast("int")), lambda i: F.slice("b", i * PART + 1, PART))
+    threes = F.flatten(F.transform(
+        "parts", lambda x, i: F.flatten(F.transform(F.slice("parts", i + 2, F.size("parts")), lambda y, j: F.transform(F.slice("parts", i + j + 3, F.size("parts")), lambda z: F.concat(x, y, z))))
+    ))
+    split = basket.withColumn("parts", F.when(F.size("b") > BASKET, parts)).select("verdict", F.explode(F.when(F.size("b") > BASKET, threes).otherwise(F.array("b"))).alias("b"))
+    items = scratch.save(split.select(F.array_append("b", F.concat(F.lit(LABEL), "verdict")).alias("items")), "baskets")
+    model = FPGrowth(itemsCol="items", minSupport=max(1e-12, least * n / items.count())).fit(items)
+    sets = model.freqItemsets.where(F.size("items").between(2, longest + 1) & F.exists("items", lambda x: x.startswith(LABEL)))
+    return scratch.save(sets.select(F.array_sort(F.filter("items", lambda x: ~x.startswith(LABEL))).alias("antecedent")).where(F.size("antecedent") > 0).distinct(), "candidates")
+
+
+def _counted(labelled: DataFrame, candidates: DataFrame, scratch: Scratch) -> DataFrame:
+    """``antecedent, verdict, hits, total``: rows of ``labelled`` with all its tokens, of the verdict and in all. Equal rows are counted once, by number."""
+    rows = scratch.save(labelled.groupBy("tokens", "verdict").agg(F.count(F.lit(1)).alias("c")), "counted")
+    sets = scratch.save(rows.select("tokens", "verdict", "c", F.monotonically_increasing_id().alias("row")), "numbered")
+    index = candidates.select("antecedent", F.explode("antecedent").alias("token"))
+    met = sets.select("row", "verdict", "c", F.explode("tokens").alias("token")).join(index, "token")
+    whole = met.groupBy("row", "antecedent").agg(F.count(F.lit(1)).alias("n"), F.first("verdict").alias("verdict"), F.first("c").alias("c")).where(F.col("n") == F.size("antecedent"))
+    hits = scratch.save(whole.groupBy("antecedent", "verdict").agg(F.sum("c").alias("hits")), "hits")
+    return hits.join(hits.groupBy("antecedent").agg(F.sum("hits").alias("total")), "antecedent")
 
 
 def _parts(column: str, longest: int) -> Column:

@@ -117,6 +117,28 @@ def test_url_rules(spark):
         assert r.verdict == verdict, (by_url, r)
 
 
+@pytest.mark.parametrize("sample_rows", [10_000, 260])
+def test_rules_of_long_baskets_against_all_combinations(spark, sample_rows):
+    """Thirty tokens that always come together, and others: the rules of all sets of up to three tokens, counted over all rows."""
+    rng = random.Random(14)
+    together = [f"p:t{i:02}" for i in range(30)]
+    rows = []
+    for i in range(300):
+        own = rng.sample([f"p:w{j}" for j in range(6)], 3)
+        rows.append((i, sorted(own + (together if i % 3 == 0 else rng.sample(together, 2))), "block" if "p:w1" in own or i % 9 == 0 else "allow"))
+    table = spark.createDataFrame(rows, "page_id long, tokens array<string>, verdict string")
+    counts, totals = Counter(), Counter()
+    for _, tokens, verdict in rows:
+        for size in (1, 2, 3):
+            for found in combinations(tokens, size):
+                counts[found, verdict] += 1
+                totals[found] += 1
+    want = {(s, v): (round(c / totals[s], 9), round(c / 300, 9)) for (s, v), c in counts.items() if c >= 30 and c / totals[s] >= 0.8}
+    want = {(s, v): x for (s, v), x in want.items() if not any(x[0] <= want.get((part, v), (-1,))[0] for n in range(1, len(s)) for part in combinations(s, n))}
+    got = url_filter.mine(table, Scratch(spark, "test"), min_support=0.1, sample_rows=sample_rows).collect()
+    assert {(tuple(r.antecedent), r.verdict): (r.confidence, r.support) for r in got} == want
+
+
 def test_url_filter_empty(spark):
     assert url_filter.judge(pages(spark, [])).count() == 0
     assert url_filter.judge(pages(spark, [(1, "http://a.com/x", None)])).first()["verdict"] == "allow"
