@@ -167,7 +167,7 @@ def fit(
 ) -> Index:
     """An index of about ``max_examples`` labelled rows, chosen by a hash of their id.
 
-    Features are kept if ``least_docs`` examples have them and their label rate is ``least_z`` standard errors from the
+    Document frequencies are those of all of ``docs``. Features are kept if ``least_docs`` examples have them and their label rate is ``least_z`` standard errors from the
     mean, the ``max_terms`` most telling at most. Rows with a null label or id are not used; of several labels of an id the largest counts.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id"))
@@ -204,8 +204,8 @@ def fit(
     counted = texts.select("text", "y").mapInArrow(count, "term string, n long, y long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
     z = (F.col("y") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
     telling = counted.where(F.col("n") >= least_docs).withColumn("z", F.abs(z)).where(F.col("z") >= least_z)
-    terms = [(r["term"], float(np.log((1 + n) / (1 + r["n"])) + 1)) for r in telling.orderBy(F.desc("z"), "term").limit(max_terms).collect()]
-    terms.append((OTHER, 1.0))
+    names = [r["term"] for r in telling.orderBy(F.desc("z"), "term").limit(max_terms).collect()]
+    terms = _weighted(docs.select(F.col(text_col).cast("string").alias("text")), names)
     vocabulary = Vocabulary(terms)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,6 +231,24 @@ def fit(
     return index
 
 
+def _weighted(texts: DataFrame, names: list[str]) -> list[tuple[str, float]]:
+    """Features with their inverse document frequency over all ``texts``, ``OTHER`` last with weight one."""
+    vocabulary = Vocabulary([(t, 1.0) for t in [*names, OTHER]])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, rows = np.zeros(len(names) + 1, np.int64), 0
+        for batch in slices(batches):
+            rows += batch.num_rows
+            for text in batch.column(0).to_pylist():
+                seen[vocabulary.sparse(text or "")[0]] += 1
+        seen[-1] = rows  # OTHER's place holds the number of texts
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(seen)), pa.int32()), pa.array(seen)], ["term", "n"])
+
+    found = dict(texts.mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n")).collect())  # max_terms rows
+    n = found.get(len(names), 0)
+    return [*((t, float(np.log((1 + n) / (1 + found.get(i, 0))) + 1)) for i, t in enumerate(names)), (OTHER, 1.0)]
+
+
 def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ``score`` (0 to 1), ``evidence`` (ids of the nearest examples, nearest first, five at most) for each row.
 
