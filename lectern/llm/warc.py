@@ -15,7 +15,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, slices
@@ -33,6 +33,12 @@ def record_id(*parts: object) -> str:
     return f"<urn:uuid:{uuid.UUID(bytes=digest)}>"
 
 
+def _record_ids(kind: str, *columns: str) -> Column:
+    """``record_id`` of each row, as a column."""
+    text = F.concat_ws("\x1f", F.lit(kind), *(F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in columns))
+    return F.regexp_replace(F.md5(text.cast("binary")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "<urn:uuid:$1-$2-$3-$4-$5>")
+
+
 def _record(kind: str, name: str, uri: str | None, mime: str, block: str, **more: str | None) -> str:
     """A record without the separator that ends it."""
     lines = [VERSION, f"WARC-Type: {kind}", f"WARC-Record-ID: {name}", f"WARC-Date: {DATE}"]
@@ -188,8 +194,7 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         F.col("type").alias("record_type"), F.when(F.col("type") == "revisit", F.col("ref_page")).alias("refers_to"), "requests", "capture_id",
     )
     if not copies.isEmpty():
-        naming = F.udf(lambda p, u, s, n: record_id("response", p, u, s, n))
         sized = pages.groupBy("page_id", "url", F.sha1(F.coalesce("html", F.lit(""))).alias("sha"), F.octet_length(F.coalesce("html", F.lit(""))).cast("long").alias("size")).count().where("count > 1")
-        again = sized.select(naming("page_id", "url", "sha", "size").alias("capture_id"), F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("copy"))
+        again = sized.select(_record_ids("response", "page_id", "url", "sha", "size").alias("capture_id"), F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("copy"))
         out = out.join(again, "capture_id", "left")
     return out.select(id_col, "payload_bytes", "payload_digest", "record_type", "refers_to", "requests")
