@@ -20,7 +20,8 @@ from .common import Scratch, slices
 
 SAMPLE = 8192
 BLOCK_ROWS = 4096
-CHUNK_QUERIES = 16384
+#: Numbers in the queries that meet a block at a time: the index is copied once for each such chunk of queries.
+CHUNK_NUMBERS = 1 << 22
 SLACK = 1e-9
 
 
@@ -169,7 +170,7 @@ def nearest(
 
     queries = index.where(F.pmod("id", F.lit(every)) == 0).select("id", "v")
     routed = scratch.save(queries.mapInArrow(route, "id long, v array<double>, block int, cells binary"), "routed")
-    chunks = max(1, -(-queries.count() // CHUNK_QUERIES))
+    chunks = max(1, -(-queries.count() // max(1024, CHUNK_NUMBERS // dim)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each row's block; rows of a split cell are spread over its blocks by a hash of their id."""
