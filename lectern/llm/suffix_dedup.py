@@ -164,7 +164,7 @@ def _name_rows(length: int):
     """The phrases of each region as names, and how many of them a window that starts at an anchor can hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 256):
+        for batch in slices(batches, 64):
             keys, starts, names, needs = [], [], [], []
             for key, text, low, high in zip(*(c.to_pylist() for c in batch.columns)):
                 for a, _, rolling, at in _regions(text, low, high, length):
@@ -275,7 +275,7 @@ def _cell_rows(length: int):
     """The cells of windows whose inner phrases another suffix shares."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 256):
+        for batch in slices(batches, 64):
             cols: list[list] = [[], [], [], [], [], []]
             for key, text, low, high, known, copied in zip(*(c.to_pylist() for c in batch.columns)):
                 shared = {x["s"]: x["shared"] for x in known or []}
