@@ -113,6 +113,13 @@ def _lists(column: pa.Array) -> Iterator[np.ndarray | dict[str, np.ndarray]]:
     return (flat[a : a + m] for a, m in zip(starts.tolist(), sizes.tolist()))
 
 
+def _flat(column: pa.Array, *fields: str) -> tuple[list[np.ndarray], ...]:
+    """For each field of a column of lists of structs: the lists' arrays."""
+    starts, sizes = column.offsets.to_numpy()[:-1].tolist(), column.value_lengths().fill_null(0).to_numpy().tolist()
+    flat = [column.values.field(f).to_numpy(zero_copy_only=False) for f in fields]
+    return tuple([x[a : a + m] for a, m in zip(starts, sizes)] for x in flat)
+
+
 def _anchor_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2048):
@@ -277,18 +284,22 @@ def _cell_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 64):
             cols: list[list] = [[], [], [], [], [], []]
-            for key, text, low, high, known, copied in zip(*(c.to_pylist() for c in batch.columns)):
-                shared = {x["s"]: x["shared"] for x in known or []}
+            known, sizes = batch.column(4).flatten(), batch.column(4).value_lengths().fill_null(0).to_numpy()
+            string, places, counts = known.field("s").to_numpy(), *_flat(known.field("shared"), "j", "shared")
+            ends = np.cumsum(sizes)
+            for row, (key, text, low, high, copied) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5)))):
+                entry = {int(string[i]): i for i in range(ends[row] - sizes[row], ends[row])}
                 for a, stop, rolling, at in _regions(text, low, high, length):
                     most = np.full(len(at) + 1, FAR if copied else 0)
-                    for x in shared.get(a) or []:
-                        if x["j"] < len(most):  # else a string of equal hash
-                            most[x["j"]] = max(most[x["j"]], x["shared"])
-                    start = np.arange(a, stop - length + 1)
-                    first, last = np.searchsorted(at, start), np.searchsorted(at, start + length - GRAM, "right") - 1
-                    begins = np.flatnonzero(np.concatenate([[True], (np.diff(first) != 0) | (np.diff(last) != 0)]))
-                    lo, hi = start[begins], np.concatenate([start[begins[1:] - 1], start[-1:]])
-                    first, last = first[begins], last[begins]
+                    if a in entry:
+                        place, count = places[entry[a]], counts[entry[a]]
+                        ok = place < len(most)  # else a string of equal hash
+                        np.maximum.at(most, place[ok], count[ok])
+                    # a cell begins where a window loses its first anchor or wins a further one
+                    lo = np.unique(np.concatenate([[a], at + 1, at - (length - GRAM)]))
+                    lo = lo[(lo >= a) & (lo <= stop - length)]
+                    hi = np.append(lo[1:] - 1, stop - length)
+                    first, last = np.searchsorted(at, lo), np.searchsorted(at, lo + length - GRAM, "right") - 1
                     inner = last - first
                     ok = inner <= most[np.minimum(first, len(at))]
                     lo, hi, first, last, inner = lo[ok], hi[ok], first[ok], last[ok], inner[ok]
