@@ -18,6 +18,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that Arrow stages take apart at a time.
 PORTION = 1 << 18
+#: Lets shuffle files go when the query that made them ends, not when the driver's garbage collection gets to them.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _held: dict[tuple, object] = {}
 
@@ -59,9 +61,14 @@ class Scratch:
         return f"{self.path}/{self.made:03d}-{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        """``df`` as a written table."""
+        """``df`` as a written table. Its shuffles end with it: what follows reads the table."""
         folder = self.folder(name)
-        df.write.parquet(folder)
+        before = self.spark.conf.get(SHUFFLE_CLEANUP, "false")
+        self.spark.conf.set(SHUFFLE_CLEANUP, "true")
+        try:
+            df.write.parquet(folder)
+        finally:
+            self.spark.conf.set(SHUFFLE_CLEANUP, before)
         self.tables.append(folder)
         out = self.spark.read.schema(df.schema).parquet(folder)
         out._scratch = folder
