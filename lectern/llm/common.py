@@ -112,6 +112,11 @@ def held(key: tuple, make: Callable[[], T]) -> T:
     return _held[key]
 
 
+def release() -> None:
+    """Give up what ``held`` keeps here: a stage that needs none of it starts."""
+    _held.clear()
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of at most ``rows`` rows, so that Python objects of one piece stay few."""
     for batch in batches:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import PORTION, Scratch, portions, slices
+from .common import PORTION, Scratch, portions, release, slices
 
 GRAM = 32
 #: The share of places that are anchors is one in RATE, or in an eighth of a shorter length: a window holds about seven.
@@ -122,6 +122,7 @@ def _flat(column: pa.Array, *fields: str) -> tuple[list[np.ndarray], ...]:
 
 def _anchor_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in slices(batches, 2048):
             texts = batch.column(1).to_pylist()
             for low, high in portions(texts):
@@ -140,6 +141,7 @@ def _alive_runs(length: int):
     """Documents with windows that hold no unique anchor: text, and the runs of such windows' starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in slices(batches, 256):
             rows, lows, highs = [], [], []
             for row, (text, repeated) in enumerate(zip(batch.column(1).to_pylist(), _lists(batch.column(2)))):
