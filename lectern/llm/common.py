@@ -20,20 +20,30 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 PORTION = 1 << 18
 #: Lets shuffle files go when the query that made them ends, not when the driver's garbage collection gets to them.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of an Arrow batch between Spark and Python, where the session has Spark's default: whole texts are wide rows, which both sides hold.
+BATCH_ROWS, BATCH_SETTING, BATCH_DEFAULT = 1024, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 _held: dict[tuple, object] = {}
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; where none is named (tests), a new local one."""
+    """The shared folder that the cluster names; where none is named and driver and executors are one process (tests), a new local one."""
     known = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if known:
         return known
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("executors need a shared folder: set spark.checkpoint.dir")
     own = "file://" + tempfile.mkdtemp(prefix="lectern-checkpoint-")
     spark.sparkContext.setCheckpointDir(own)
     return own
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows at most, for the rest of the session; a number that its user has set stays."""
+    if spark.conf.get(BATCH_SETTING, BATCH_DEFAULT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+
+
 class Scratch:
     """Tables written to the shared checkpoint folder between the steps of one operator.
 
@@ -42,6 +52,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, label: str):
+        bounded_batches(spark)
         self.spark = spark
         self.path = f"{checkpoint_dir(spark).rstrip('/')}/lectern-{label}-{uuid.uuid4().hex[:12]}"
         self.made = 0

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, slices
+from .common import bounded_batches, held, slices
 
 DIM = 512
 GRAM = 3
@@ -100,6 +100,7 @@ def fit(
     The rows are chosen by a hash of their id and text, evenly over the table, so rows that repeat an id or have none are chosen like others.
     Rows without a language are not used. Over MOST_LANGS different labels are an error: a prototype of each goes to the driver.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     labelled = rows.where("lang IS NOT NULL")
     sizes = labelled.groupBy("lang").count().limit(MOST_LANGS + 1).collect()

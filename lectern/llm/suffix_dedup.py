@@ -31,6 +31,8 @@ GRAM = 32
 #: The share of places that are anchors is one in RATE, or in an eighth of a shorter length: a window holds about seven.
 RATE = 48
 FAR = 1 << 20
+#: Ranges of bytes that are digested at a time.
+BLOCK = 1 << 14
 #: Names that ranks reach over; what is equal so far is told apart by its names themselves when suffixes are sorted.
 DEPTH = 9
 
@@ -80,8 +82,12 @@ class Rolling:
 
 def _digests(text: bytes, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """128 bits of BLAKE2b of each range of ``text``, as two longs a row."""
-    made = b"".join([hashlib.blake2b(text[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), stop.tolist())])
-    return np.frombuffer(made, np.int64).reshape(-1, 2)
+    out = np.empty((len(start), 2), np.int64)
+    for at in range(0, len(start), BLOCK):
+        ranges = zip(start[at : at + BLOCK].tolist(), stop[at : at + BLOCK].tolist())
+        made = b"".join([hashlib.blake2b(text[a:b], digest_size=16).digest() for a, b in ranges])
+        out[at : at + BLOCK] = np.frombuffer(made, np.int64).reshape(-1, 2)
+    return out
 
 
 def _kinds(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -229,25 +235,39 @@ def sample_ranks(strings: DataFrame, scratch: Scratch, reach: int) -> DataFrame:
         rows, covered, stride = level.select("id", F.inline(deeper)), covered * 3, stride * 3
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many names each sorted suffix shares with the one before or after it. At the partition's ends: any number."""
-    got = list(batches)
-    table = pa.Table.from_batches(got) if got else None
-    if not table or not table.num_rows:
-        return
-    tag, prefix = table["tag"].to_numpy(), table["prefix"].combine_chunks()
+def _adjacent(rows: pa.RecordBatch) -> np.ndarray:
+    """How many names each sorted suffix but the last shares with the next one."""
+    tag, prefix = rows["tag"].to_numpy(), rows["prefix"]
     starts, sizes, flat = prefix.offsets.to_numpy()[:-1], prefix.value_lengths().to_numpy(), prefix.values.to_numpy()
-    shared = np.zeros(len(tag) + 1, np.int32)
-    shared[0] = shared[-1] = FAR
+    shared = np.zeros(max(len(tag) - 1, 0), np.int32)
     left = np.flatnonzero(tag[1:] == tag[:-1])
     depth = 0
     while len(left):
         left = left[np.minimum(sizes[left], sizes[left + 1]) > depth]
         left = left[flat[starts[left] + depth] == flat[starts[left + 1] + depth]]
-        shared[left + 1] += 1
+        shared[left] += 1
         depth += 1
-    best = np.maximum(shared[:-1], shared[1:])
-    yield from pa.table([table["id"], table["j"], pa.array(best)], names=["id", "j", "shared"]).to_batches(max_chunksize=65536)
+    return shared
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many names each sorted suffix shares with the one before or after it. At the partition's ends: any number.
+
+    A batch's last suffix waits for the next batch, so one batch is held at a time.
+    """
+
+    def known(rows: pa.RecordBatch, best: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([rows["id"], rows["j"], pa.array(best, pa.int32())], ["id", "j", "shared"])
+
+    last, before = None, FAR
+    for batch in batches:
+        rows = batch if last is None else pa.concat_batches([last, batch])
+        if rows.num_rows:
+            shared = np.concatenate([[before], _adjacent(rows)])
+            yield known(rows.slice(0, rows.num_rows - 1), np.maximum(shared[:-1], shared[1:]))
+            last, before = rows.slice(rows.num_rows - 1), shared[-1]
+    if last is not None:
+        yield known(last, np.array([FAR]))
 
 
 def shared_names(strings: DataFrame, scratch: Scratch) -> DataFrame:

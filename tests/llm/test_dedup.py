@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -267,3 +268,21 @@ def test_sample_ranks_are_the_suffix_order(spark):
     got.sort(key=lambda x: x[0])
     assert [s for _, s in got] == sorted(s for _, s in got)
     assert len({rank for rank, _ in got}) == len({tuple(s) for _, s in got})
+
+
+def test_comparison_spans_batches():
+    rng = random.Random(8)
+    rows = sorted((rng.randint(0, 2), [rng.randint(0, 2) for _ in range(rng.randint(0, 5))], i) for i in range(60))
+    made = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.list_(pa.int64()), pa.int64()))], ["tag", "prefix", "id"])
+    made = made.append_column("j", pa.array([0] * 60, pa.int32()))
+
+    def shared(a, b):
+        return len(list(itertools.takewhile(lambda p: p[0] == p[1], zip(a[1], b[1])))) if a[0] == b[0] else 0
+
+    near = [suffix_dedup.FAR, *map(shared, rows, rows[1:]), suffix_dedup.FAR]
+    right = [(row[2], max(pair)) for row, pair in zip(rows, zip(near, near[1:]))]
+    for size in (1, 7, 60):
+        batches = [made.slice(0, 0)] + [made.slice(at, size) for at in range(0, 60, size)]
+        out = [(r["id"], r["shared"]) for b in suffix_dedup._compared(iter(batches)) for r in b.to_pylist()]
+        assert out == right
+    assert not list(suffix_dedup._compared(iter([])))
