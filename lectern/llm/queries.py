@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, language_id, packing, sentencepiece_codec, simhash, suffix_dedup, toxicity, url_filter, warc
+from . import ann, exact_dedup, importance, language_id, packing, sentencepiece_codec, simhash, spelling, suffix_dedup, toxicity, url_filter, warc
 from .common import Scratch, id_crc32
 
 #: Where the public tokenizers' files are; every executor has the package.
@@ -75,9 +75,61 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece_dropout, op2_simhash_near_dedup, op3_toxicity, op4_best_fit_packing, op5_suffix_array_dedup, op6_exact_dedup, op7_language_id, op8_warc, op9_url_filters, op10_nearest_neighbours)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), damage=97)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece_dropout, op2_simhash_near_dedup, op3_toxicity, op4_best_fit_packing, op5_suffix_array_dedup, op6_exact_dedup, op7_language_id, op8_warc, op9_url_filters, op10_nearest_neighbours, op11_spelling_variants, op13_importance_resampling)}
+
+#: ``t``: the crc32 table, a number for each byte.
+_CRC_TABLE = """crc AS MATERIALIZED (SELECT list_transform(range(256), lambda i:
+            list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t)"""
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, strlen({0})), lambda i: ('0x' || substr(hex(encode({0})), 2 * i + 1, 2))::BIGINT)),
+            lambda a, y: xor(a >> 8, t[(xor(a, y) & 255) + 1])), 4294967295)"""
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_FEATURES = rf"regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE = {
+    "op11_spelling_variants": rf"""
+        WITH RECURSIVE {_CRC_TABLE},
+        runs AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents),
+        per AS (SELECT doc_id, run, count(*) AS c, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS tag FROM runs GROUP BY doc_id, run),
+        h AS (SELECT run, c, {_CRC.format("tag")} AS h FROM per, crc),
+        made AS (SELECT c, CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h),
+        words AS MATERIALIZED (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM made WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+        cut AS MATERIALIZED (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS k FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+        pairs AS (SELECT a.word AS u, b.word AS v FROM cut a JOIN cut b ON a.k = b.k AND a.i = b.i AND a.word <> b.word
+            UNION SELECT c.word, w.word FROM cut c JOIN words w ON c.k = w.word UNION SELECT w.word, c.word FROM cut c JOIN words w ON c.k = w.word),
+        near AS (SELECT u AS word, count(*) AS n_near, min({{'less': -n, 'v': v}}) AS best FROM pairs JOIN words ON v = word GROUP BY u),
+        known AS MATERIALIZED (SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.less >= 2 * n THEN best.v END AS form,
+            CASE WHEN -best.less >= 2 * n THEN -best.less END AS form_n FROM words LEFT JOIN near USING (word)),
+        chain AS (SELECT word, word AS place, 0 AS steps FROM known UNION ALL SELECT c.word, k.form, steps + 1 FROM chain c JOIN known k ON c.place = k.word WHERE k.form IS NOT NULL),
+        ends AS (SELECT word, arg_max(place, steps) AS root FROM chain GROUP BY word)
+        SELECT word, form, root, n, n_near, form_n FROM known JOIN ends USING (word)
+    """,
+    "op13_importance_resampling": rf"""
+        WITH {_CRC_TABLE},
+        d AS (SELECT doc_id, coalesce({_FEATURES}, []) AS w FROM documents),
+        sw AS (SELECT doc_id, unnest(w) AS word FROM d),
+        tw AS (SELECT unnest({_FEATURES}) AS word FROM benchmark),
+        vocab AS (SELECT DISTINCT word FROM (SELECT word FROM sw UNION ALL SELECT word FROM tw)),
+        v AS MATERIALIZED (SELECT word, {_CRC.format("word")} % 10000 AS b FROM vocab, crc),
+        s AS (SELECT b, count(*) AS s FROM sw JOIN v USING (word) GROUP BY b),
+        t AS (SELECT b, count(*) AS t FROM tw JOIN v USING (word) GROUP BY b),
+        total AS (SELECT (SELECT count(*) FROM sw) AS all_s, (SELECT count(*) FROM tw) AS all_t),
+        g AS (SELECT b, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (all_s + 10000) / ((s + 1)::DOUBLE * (all_t + 10000)))) AS BIGINT) AS gain
+            FROM s LEFT JOIN t USING (b), total),
+        sums AS (SELECT doc_id, CAST(sum(gain) AS BIGINT) AS weight FROM sw JOIN v USING (word) JOIN g USING (b) GROUP BY doc_id),
+        scored AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+                + CAST(floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+            FROM d LEFT JOIN sums USING (doc_id)),
+        enough AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+        SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM scored LEFT JOIN enough USING (doc_id)
+    """,
     "op9_url_filters": r"""
         WITH u AS (
             SELECT page_id, coalesce(url, '') AS url,
