@@ -1,218 +1,56 @@
 """Near copies by exact Jaccard similarity of word shingles, for the corpus pipeline.
 
-The first candidates are what SimHash links by its pivot distance tables (``simhash.links``) over fingerprints of these shingles:
-at most two of 64 bits apart. That finds the closest copies only. Further ones share a band of ``ROWS`` minimum hashes out of ``BANDS`` bands: two shingle sets of similarity s share one with
-probability 1 - (1 - s^5)^24, which is 0.99993 at s = 0.8 and more above. Every candidate pair is verified by the
-exact similarity of its sets, so no pair below it is linked. Bits of a fingerprint give no such key: at
-similarity 0.8 about one bit in seven differs, and a band of enough bits to be selective hardly ever agrees.
-
-Only components are wanted, so pairs are asked for in two goes. First every cell's members are compared with its hub, and
-SimHash's links are verified; that joins most of each group of copies. Then cells that still hold more than one component are gone through:
-those of up to ``CELL`` sets by all pairs across components, and members of larger ones meet again in the finer cells of
-each two bands together, likewise across components only; in a finer cell that is as crowded, only with its hub.
+The first candidates are what SimHash links by its pivot distance tables (``simhash.links``) over fingerprints of the shingles:
+at most two of 64 bits apart. That finds the closest copies only: at similarity 0.8 about one bit in seven differs. All other links come
+from the exact join of ``ngram_join``: with those candidates its hubs are compared, and then everything across components.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, release, slices, utf8
-from .components import connected_components
-from .simhash import bits_of, links as fingerprint_links
-
-BANDS = 24
-ROWS = 5
-CELL = 32
-#: Shingles whose hashes are multiplied out at a time.
-BLOCK = 4096
-
-_RNG = np.random.default_rng(21)
-_XOR = _RNG.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
-_ODD = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def shingles(text: bytes, width: int = 5, seed: int = 42) -> np.ndarray:
-    """Sorted different hashes of the ``width``-word shingles; words as in ``simhash.fingerprint``. Fewer words give one shingle of them all."""
-    words = text.lower().split()
-    digest, join = xxhash.xxh64_intdigest, b" ".join
-    if len(words) < width:
-        return np.array([digest(join(words), seed)] if words else [], dtype=np.uint64)
-    return np.unique(np.array([digest(join(s), seed) for s in zip(*(words[i:] for i in range(width)))], dtype=np.uint64))
-
-
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """A key for each band of minimum hashes; none for an empty set."""
-    if not len(hashes):
-        return hashes
-    least = np.full(BANDS * ROWS, 2**64 - 1, dtype=np.uint64)
-    for start in range(0, len(hashes), BLOCK):
-        np.minimum(least, ((hashes[start : start + BLOCK, None] ^ _XOR) * _ODD).min(axis=0), out=least)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX
-    for column in least.reshape(BANDS, ROWS).T:
-        key = (key ^ column) * _MIX
-        key ^= key >> np.uint64(31)
-    return key
-
-
-def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-
-
-def sketches(read: DataFrame, width: int = 5, seed: int = 42) -> DataFrame:
-    """``id, text_hash, fp, print, size, bands`` of each row; ``fp`` is a hash of the whole set, ``print`` its SimHash. Null text is empty."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        for batch in slices(batches):
-            sets = [shingles(t or b"", width, seed) for t in utf8(batch.column(2))]
-            fps = np.array([_named(s, seed) for s in sets], dtype=np.uint64).view(np.int64)
-            prints = np.array([bits_of(s) for s in sets], dtype=np.uint64).view(np.int64)
-            keys = pa.array([bands(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(fps), pa.array(prints), pa.array([len(s) for s in sets], pa.int64()), keys],
-                ["id", "text_hash", "fp", "print", "size", "bands"],
-            )
-
-    kind = read.schema["id"].dataType.simpleString()
-    return read.mapInArrow(run, f"id {kind}, text_hash long, fp long, print long, size long, bands array<long>")
-
-
-def _named(own: np.ndarray, seed: int) -> int:
-    return xxhash.xxh64_intdigest(own.tobytes(), seed)
-
-
-def shingle_sets(read: DataFrame, needed: DataFrame, width: int, seed: int) -> DataFrame:
-    """``fp, shingles`` of the rows ``needed`` names by ``id`` and ``text_hash``: only their texts are taken apart again."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = [shingles(t or b"", width, seed) for t in utf8(batch.column(0))]
-            fps = np.array([_named(s, seed) for s in sets], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(fps), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["fp", "shingles"])
+from .common import Scratch
+from .ngram_join import components, nodes_of, shared_sets
+from .simhash import links as fingerprint_links
 
-    asked = needed.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"))
-    met = read.join(asked, read["id"].eqNullSafe(asked["_id"]) & (read["text_hash"] == asked["_hash"]), "left_semi")
-    return met.select("text").mapInArrow(run, "fp long, shingles array<long>").dropDuplicates(["fp"])
 
-
-def _alike(a: Column, b: Column, similarity: float) -> Column:
-    """Whether sets of sizes ``a`` and ``b`` can be so similar."""
-    return F.least(a, b) / F.greatest(a, b) >= similarity
-
-
-def _shared(cells: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows ``fp, size, cell`` (and more) of cells of several members, with their number ``n``."""
-    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return scratch.save(cells.join(scratch.save(sizes, "sizes"), "cell"), "shared")
-
-
-def _stars(shared: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
-    """``u, v, other``: each member of a cell with the cell's hub; ``other`` is the hub's row.
-
-    A cell's hub is its member in most shared cells, of equal ones the smallest: cells of one group of copies have the same
-    few hubs, so their pairs are few.
-    """
-    degree = scratch.save(shared.groupBy("fp").agg(F.count(F.lit(1)).alias("degree")), "degree")
-    rest = [c for c in shared.columns if c not in ("cell", "n", "fp")]
-    hub = shared.join(degree, "fp").groupBy("cell").agg(F.min(F.struct((-F.col("degree")).alias("least"), "fp", *rest)).alias("hub"))
-    star = shared.join(scratch.save(hub, "hubs"), "cell").where("fp <> hub.fp").where(_alike(F.col("size"), F.col("hub.size"), similarity))
-    return star.withColumns({"u": F.least("fp", "hub.fp"), "v": F.greatest("fp", "hub.fp")})
-
-
-def _across(mixed: DataFrame, similarity: float) -> DataFrame:
-    """``u, v``: the pairs across components of cells of up to CELL members."""
-    light = mixed.where(F.col("n") <= CELL)
-    a, b = (light.select("cell", *(F.col(c).alias(f"{c}_{x}") for c in ("fp", "size", "label"))) for x in "uv")
-    pairs = a.join(b, "cell").where("fp_u < fp_v AND label_u <> label_v").where(_alike(F.col("size_u"), F.col("size_v"), similarity))
-    return pairs.select(F.col("fp_u").alias("u"), F.col("fp_v").alias("v"))
-
-
-def _mixed(cells: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows of cells that hold more than one component, with the number ``n`` of their members."""
-    several = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("cell", "n")
-    return scratch.save(cells.join(scratch.save(several, "several"), "cell"), "mixed")
-
-
-def _printed(nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """``u, v``: sets of one SimHash with the smallest of them, and the smallest ones of SimHashes that ``simhash.links`` links."""
-    first = scratch.save(nodes.groupBy("print").agg(F.min("fp").alias("first")), "prints")
-    same = nodes.join(first, "print").where("fp <> first").select(F.col("first").alias("u"), F.col("fp").alias("v"))
+def printed(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """``u, v``: sets of one SimHash with the first of them, and the first ones of SimHashes that ``simhash.links`` links."""
+    first = scratch.save(nodes.groupBy("print").agg(F.min("node").alias("first")), "prints")
+    same = nodes.join(first, "print").where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
     near = fingerprint_links(first.select(F.col("print").alias("fp")), scratch)
     ends = (first.select(F.col("print").alias(x), F.col("first").alias(f"first_{x}")) for x in "uv")
     return same.union(near.join(next(ends), "u").join(next(ends), "v").select(F.least("first_u", "first_v"), F.greatest("first_u", "first_v")))
 
 
-def _further(shared: DataFrame, labels: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
-    """``u, v``: candidates across components (``labels``: ``node, label``) of the cells of ``shared``."""
-    named = labels.select(F.col("node").alias("fp"), "label")
-    labelled = scratch.save(shared.drop("n").join(named, "fp", "left").withColumn("label", F.coalesce("label", "fp")), "labelled")
-    mixed = _mixed(labelled, scratch)
-    own = mixed.where(F.col("n") > CELL).groupBy("fp", "size", "label").agg(F.sort_array(F.collect_list("cell")).alias("c"))
-    two = F.flatten(F.transform("c", lambda x, i: F.transform(F.slice("c", i + 2, F.size("c")), lambda y: F.xxhash64(x, y))))
-    finer = _mixed(scratch.save(own.select("fp", "size", "label", F.explode(two).alias("cell")), "finer"), scratch)
-    crowded = _stars(finer.where(F.col("n") > CELL), similarity, scratch).where("label <> hub.label").select("u", "v")
-    return _across(mixed, similarity).union(_across(finer, similarity)).union(crowded)
-
-
-def verified(read: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float, scratch: Scratch, width: int, seed: int) -> DataFrame:
-    """``u, v``: the pairs of ``nodes`` whose sets have Jaccard ``similarity`` or more."""
-    pairs = scratch.save(pairs.select(F.col("u").alias("one"), F.col("v").alias("two")).distinct(), "pairs")
-    needed = pairs.select(F.col("one").alias("fp")).union(pairs.select("two")).distinct().join(nodes.select("fp", "low"), "fp").select("low.id", "low.text_hash")
-    sets = scratch.save(shingle_sets(read, scratch.save(needed, "needed"), width, seed), "sets")
-    a, b = (sets.select(F.col("fp").alias(x), F.col("shingles").alias(f"s_{x}")) for x in ("one", "two"))
-    both = pairs.join(a, "one").join(b, "two")
-    both = both.select("one", "two", (F.size("s_one") + F.size("s_two")).alias("sum"), F.size(F.array_intersect("s_one", "s_two")).alias("common"))
-    near = both.where(F.col("common") / (F.col("sum") - F.col("common")) >= similarity)
-    out = scratch.save(near.select(F.col("one").alias("u"), F.col("two").alias("v")), "links")
-    scratch.drop(pairs, sets)
-    return out
-
-
-def components(read: DataFrame, nodes: DataFrame, similarity: float, scratch: Scratch, width: int = 5, seed: int = 42) -> DataFrame:
-    """``fp, label``: the component of each set of ``nodes`` (``fp, low, print, size, bands``) that has company."""
-    shared = _shared(nodes.select("fp", "size", F.explode("bands").alias("cell")), scratch)
-    first = _stars(shared, similarity, scratch).select("u", "v").union(_printed(nodes, scratch))
-    links = verified(read, nodes, first, similarity, scratch, width, seed)
-    scratch.only(nodes, shared, links)
-    labels = connected_components(links, scratch)
-    links = verified(read, nodes, _further(shared, labels, similarity, scratch), similarity, scratch, width, seed)
-    # the second go joins whole components
-    known = labels.select("node", "label")
-    ends = [known.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in "uv"]
-    met = links.join(ends[0], "u", "left").join(ends[1], "v", "left").select(F.coalesce("label_u", "u").alias("u"), F.coalesce("label_v", "v").alias("v"))
-    higher = connected_components(scratch.save(met, "met"), scratch).select(F.col("node").alias("label"), F.col("label").alias("top"))
-    nodes = nodes.select("fp").join(known.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    return scratch.save(nodes.join(higher, "label", "left").select("fp", F.coalesce("top", "label").alias("label")), "components")
-
-
 def near_copies(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, seed: int = 42, scratch: Scratch | None = None
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, seed: int = 42, scratch: Scratch | None = None
 ) -> DataFrame:
     """One row per input row: id, ``component_id``, ``kept`` and ``text_hash`` (xxhash64 of the text).
 
-    ``component_id`` is the smallest id reachable over pairs of Jaccard ``similarity`` or more; the row that has it is kept, of several such
+    ``component_id`` is the smallest id reachable over pairs of Jaccard similarity ``percent`` or more; the row that has it is kept, of several such
     rows the one with the smallest text hash. Defined cases: null and empty texts have the empty set and link to one another only; rows that
     repeat in id and text are judged alike; null ids are never the smallest (of null ids only, the smallest text hash is kept);
     an empty table gives an empty result; other columns are not read.
     """
     scratch, own = scratch or Scratch(docs.sparkSession, "near"), Scratch(docs.sparkSession, "near-steps")
-    read = _read(docs, id_col, text_col)
-    rows = scratch.save(sketches(read, width, seed), "rows")
-    low = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("low")
-    # equal sets have equal sizes, bands and SimHashes
-    nodes = own.save(rows.groupBy("fp").agg(low, *(F.first(c).alias(c) for c in ("print", "size", "bands"))), "nodes")
-    labels = components(read, nodes, similarity, own, width, seed)
-    named = own.save(nodes.select("fp", "low").join(labels, "fp"), "named")
+    text = F.col(text_col).cast("string")
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash")).alias("key"), text.alias("text"))
+    rows = shared_sets(keyed, "key", "text", percent, scratch, width, seed, prints=True)
+    least = F.struct(F.col("id.id").isNull().alias("none"), F.col("id.id").alias("id"), F.col("id.text_hash").alias("text_hash"))
+    nodes = nodes_of(rows, own, F.min(least))
+    labels = components(nodes, percent, own, printed(nodes, own))
+    named = own.save(nodes.select("node", "fp", "low").join(labels, "node"), "named")
     lows = own.save(named.groupBy("label").agg(F.min("low").alias("least")), "lows")
     known = scratch.save(named.join(lows, "label").select("fp", "least"), "known")
     own.only()
-    kept = F.col("id").eqNullSafe(F.col("least.id")) & F.col("text_hash").eqNullSafe(F.col("least.text_hash"))
-    return rows.select("id", "text_hash", "fp").join(known, "fp").select(F.col("id").alias(id_col), F.col("least.id").alias("component_id"), kept.alias("kept"), "text_hash")
+    empty = rows.where("n = 0").agg(F.min(least).alias("least"))  # one row
+    out = [
+        rows.where("able").join(known, "fp").select("id", "least"),
+        rows.where("NOT able AND n > 0").select("id", least.alias("least")),
+        rows.where("n = 0").crossJoin(F.broadcast(empty)).select("id", "least"),
+    ]
+    kept = F.col("id.id").eqNullSafe(F.col("least.id")) & F.col("id.text_hash").eqNullSafe(F.col("least.text_hash"))
+    whole = out[0].union(out[1]).union(out[2])
+    return whole.select(F.col("id.id").alias(id_col), F.col("least.id").alias("component_id"), kept.alias("kept"), F.col("id.text_hash").alias("text_hash"))

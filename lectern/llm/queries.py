@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, importance, language_id, packing, sentencepiece_codec, simhash, spelling, suffix_dedup, toxicity, url_filter, warc
+from . import ann, exact_dedup, importance, language_id, ngram_join, packing, sentencepiece_codec, simhash, spelling, suffix_dedup, toxicity, url_filter, warc
 from .common import Scratch, id_crc32
 
 #: Where the public tokenizers' files are; every executor has the package.
@@ -79,11 +79,15 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"), damage=97)
 
 
+def op12_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece_dropout, op2_simhash_near_dedup, op3_toxicity, op4_best_fit_packing, op5_suffix_array_dedup, op6_exact_dedup, op7_language_id, op8_warc, op9_url_filters, op10_nearest_neighbours, op11_spelling_variants, op13_importance_resampling)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece_dropout, op2_simhash_near_dedup, op3_toxicity, op4_best_fit_packing, op5_suffix_array_dedup, op6_exact_dedup, op7_language_id, op8_warc, op9_url_filters, op10_nearest_neighbours, op11_spelling_variants, op12_ngram_jaccard, op13_importance_resampling)}
 
 #: ``t``: the crc32 table, a number for each byte.
 _CRC_TABLE = """crc AS MATERIALIZED (SELECT list_transform(range(256), lambda i:
@@ -111,6 +115,20 @@ ORACLE = {
         ends AS (SELECT word, arg_max(place, steps) AS root FROM chain GROUP BY word)
         SELECT word, form, root, n, n_near, form_n FROM known JOIN ends USING (word)
     """,
+    "op12_ngram_jaccard": rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER.format("text")}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+        sets AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS s FROM d),
+        nodes AS MATERIALIZED (SELECT min(doc_id) AS node, len(s) AS n, s FROM sets WHERE len(s) > 0 GROUP BY s),
+        grams AS (SELECT node, n, unnest(s) AS g FROM nodes),
+        pairs AS (SELECT a.node AS u, b.node AS v, a.n AS nu, b.n AS nv, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.node < b.node GROUP BY ALL),
+        links AS MATERIALIZED (SELECT u, v FROM pairs WHERE 100 * c >= 80 * (nu + nv - c)),
+        ways AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
+        reach AS (SELECT node, node AS other FROM nodes UNION SELECT r.node, w.v FROM reach r JOIN ways w ON r.other = w.u),
+        tops AS (SELECT node, min(other) AS top FROM reach GROUP BY node)
+        SELECT doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(top, doc_id) AS component_id
+        FROM sets LEFT JOIN nodes ON sets.s = nodes.s LEFT JOIN tops USING (node)
+    """,
     "op13_importance_resampling": rf"""
         WITH {_CRC_TABLE},
         d AS (SELECT doc_id, coalesce({_FEATURES}, []) AS w FROM documents),

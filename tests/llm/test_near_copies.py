@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from lectern.llm import near_copies
+from lectern.llm import near_copies, ngram_join
 from tests.llm.data import awkward, wide, words
 from tests.llm.test_dedup import key
 
@@ -47,9 +47,9 @@ def crowded():
     return rows
 
 
-@pytest.mark.parametrize("cell", [2, 32])
-def test_near_copies(spark, monkeypatch, cell):
-    monkeypatch.setattr(near_copies, "CELL", cell)
+@pytest.mark.parametrize("block", [100, 1 << 16])
+def test_near_copies(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
     rows = crowded()
     got = near_copies.near_copies(wide(spark, rows)).select("doc_id", "component_id").collect()
     want = [(i, c) for (i, _, _), c in zip(rows, brute(rows))]
