@@ -32,8 +32,37 @@ def test_references_and_prefix(spark):
 
 def test_tail_merge():
     body = "x" * 300
-    assert chunking.windows(body, 2048, 200, 400, repeat_tail=True) == [(body + " " + body[-200:], 0, 300)]
     assert chunking.windows(body, 2048, 200, 400) == [(body, 0, 300)]
+    # windows of 100 with an overlap of 10: what is left after the second, 15 characters and the overlap, is under 30 and joins it
+    assert [w[1:] for w in chunking.windows("x" * 205, 100, 10, 30)] == [(0, 100), (90, 205)]
+    assert [w[1:] for w in chunking.windows("x" * 211, 100, 10, 30)] == [(0, 100), (90, 190), (180, 211)]
+
+
+def test_windows_end_with_sentences():
+    """Full size at 100, a fifth around it: the last end of a sentence from 82 to 120 counts."""
+    ends = lambda body: [w[1:] for w in chunking.windows(body, 100, 10, 20)]
+    at = lambda *places: "".join(". " if i + 2 in places else "" if i + 1 in places else "x" for i in range(200))
+    assert ends(at(81)) == [(0, 100), (90, 190), (180, 200)]
+    assert ends(at(82))[0] == (0, 82) and ends(at(82, 90))[0] == (0, 90) and ends(at(90, 120))[0] == (0, 120) and ends(at(121))[0] == (0, 100)
+    assert chunking.windows("", 100, 10, 20) == []
+
+
+def test_chunk_table(spark):
+    """Every column of a paper with a title, an abstract of one piece and a body of two windows and a skipped list of references."""
+    method = "Methods\n" + "We count words. " * 14  # 232 characters, 231 trimmed
+    rows = [("p1", "T", "Short.", "Before.\n" + method + "\nReferences\n[1] A."), (None, "", "", "no headers"), ("p3", None, None, None)]
+    out = chunking.chunks(spark.createDataFrame(rows, "paper_id string, title string, abstract string, full_text string"), 40, 10, 5)
+    body = method.strip()
+    cut = max(i + 2 for i in range(128, 191) if body[i : i + 2] == ". ")
+    want = [
+        ("p1", "title", 0, "Title: T", 2, 2.0, 0, 0),
+        ("p1", "abstract", 1, "Abstract: Short.", 4, 1.8, 0, 0),
+        ("p1", "general", 2, "[T] Before.", 2, 1.0, 0, 7),
+        ("p1", "methodology", 3, "[T] " + body[:cut].strip(), (cut + 3) // 4, 1.2, 0, cut),
+        ("p1", "methodology", 4, "[T] " + body[cut - 20 :].strip(), (4 + len(body[cut - 20 :].strip())) // 4, 1.2, cut - 20, 231),
+        ("unknown", "general", 0, "no headers", 2, 1.0, 0, 10),
+    ]
+    assert sorted(map(tuple, out.collect())) == sorted(want)
 
 
 def test_windows_cover_text():
