@@ -12,12 +12,6 @@ from lectern.functions import text
 K1, B = 1.5, 0.75
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str, *keys: str) -> DataFrame:
-    """``keys, id, term, tf``: the inverted index."""
-    words = docs.select(*keys, F.col(id_col).alias("id"), F.explode(text.tokens(F.col(text_col))).alias("term"))
-    return words.groupBy(*keys, "id", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def term_stats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``term, df, idf``: number of documents with the term, and its weight. Only partial counts are shuffled; rows are documents."""
     words = docs.select(F.explode(F.array_distinct(text.tokens(F.col(text_col)))).alias("term"))

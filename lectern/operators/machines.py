@@ -98,22 +98,6 @@ class Progress:
         return round(min(sum(weights.get(s, 0) for s in self.done) + running, 100.0), 4)
 
 
-class Bins:
-    """Bins of items in order; an item over the limit has a bin of its own."""
-
-    def __init__(self):
-        self.bin, self.size = -1, None
-
-    def step(self, length: int, limit: int) -> tuple[int, bool]:
-        if length > limit:
-            self.bin, self.size = self.bin + 1, None
-            return self.bin, True
-        if self.size is None or self.size + length > limit:
-            self.bin, self.size = self.bin + 1, 0
-        self.size += length
-        return self.bin, False
-
-
 def trailing(rows: DataFrame, key: str, micros: str, tie: str, span_s: int, amount: str) -> DataFrame:
     """``calls_before`` and ``amount_before``: of the same key within ``span_s`` seconds before each row, itself left out.
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators import ordered
+
 
 def first_per_title(papers: DataFrame, order: str = "arrival") -> DataFrame:
     """The first arrival of each title, compared trimmed and lower-cased; empty titles go.
@@ -21,8 +23,8 @@ def first_per_title(papers: DataFrame, order: str = "arrival") -> DataFrame:
 
 def numbered(papers: DataFrame, key: str, order: str = "arrival", prefix: str = "paper_") -> DataFrame:
     """``id``: the place in order of arrival within the key, from 0."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
-    return papers.withColumn("id", F.concat(F.lit(prefix), place.cast("string")))
+    placed = ordered.numbered(papers, key, order)
+    return placed.withColumn("id", F.concat(F.lit(prefix), F.col("number").cast("string"))).drop("number")
 
 
 def federated(papers: DataFrame, terms: tuple[str, ...], per_source: int, most: int) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.operators import lexical
+from lectern.operators import ordered
+from lectern.operators.search_index import SearchIndex
+from lectern.sources import shared
 from lectern.sources.providers import TextProvider
 
 THRESHOLD = 60.0
@@ -34,25 +36,31 @@ def fits_one_pass(text: Column) -> Column:
     return (F.length(text) <= SINGLE_CHARS) & (F.floor(F.length(text) / 4) <= SINGLE_TOKENS)
 
 
-def combined(parts: DataFrame, key: str, order: str, text: str, limit: int, writer: TextProvider, rounds: int = 4) -> DataFrame:
-    """Map-reduce summary: parts of each key are joined in bins of ``limit`` characters and summarised, round by round, until one is left.
+def combined(parts: DataFrame, key: str, order: str, text: str, limit: int, writer: TextProvider) -> DataFrame:
+    """Map-reduce summary: the parts of each key are joined in bins of ``limit`` characters and summarised, round by round, until one is left.
 
-    A bounded number of rounds; the last joins what is left.
+    A part over the limit is a bin of its own, so no string grows beyond the longest part or the limit and a line end for each part. Rounds
+    that leave as many parts as before and make none shorter would not end; that is an error. A null text counts as empty.
     """
-    rows = parts.select(key, F.col(order).alias("n"), F.col(text).alias("t"))
-    for step in range(rounds):
-        # bins by running length: a bin never splits a part
-        upto = F.sum(F.length("t")).over(Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
-        number = F.floor(F.coalesce(upto, F.lit(0)) / limit) if step < rounds - 1 else F.lit(0).cast("bigint")
-        binned = rows.withColumn("bin", number).groupBy(key, "bin")
+    spark, size, rounds = parts.sparkSession, None, 0
+    rows = parts.select(key, F.col(order).cast("long").alias("n"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    while True:
+        binned = ordered.bins(rows.withColumn("chars", F.length("t")), key, "n", "chars", limit).groupBy(key, "bin")
         joined = binned.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "t"))), lambda x: x["t"]), "\n").alias("t"))
-        rows = joined.select(key, F.col("bin").alias("n"), writer.summary(F.col("t")).alias("t"))
-    return rows.select(key, F.col("t").alias("summary"))
-
-
-def review(papers: DataFrame, question: str, most: int, writer: TextProvider) -> DataFrame:
+        folder = shared.new_folder(spark, "summaries")
+        joined.select(key, F.col("bin").alias("n"), writer.summary(F.col("t")).alias("t")).write.parquet(folder)
+        rows = spark.read.parquet(folder)
+        before, size = size, tuple(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("t")).alias("c")).agg(F.max("n"), F.sum("n"), F.sum("c")).first())
+        rounds += 1
+        if (size[0] or 0) <= 1:
+            return rows.select(key, F.col("t").alias("summary"))
+        if size == before:
+            raise ValueError(f"summaries got no fewer and no shorter in round {rounds}")
+
+
+def review(papers: DataFrame, index: SearchIndex, question: str, most: int, writer: TextProvider) -> DataFrame:
     """The ranked papers of a question: score, relevance, whether they enter the report, and their extract."""
-    found = lexical.top(lexical.bm25(papers, writer.expand(question), "paper_id", "abstract"), most).withColumnRenamed("id", "paper_id")
+    found = index.search(writer.expand(question), most).select(F.col("id").alias("paper_id"), "score", "rank")
     scored = split_by(relevance(found.withColumn("question", F.lit(question))))
     texts = papers.select("paper_id", "title", "abstract")
     out = texts.join(F.broadcast(scored), "paper_id")  # ``most`` rows

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text
 from lectern.operators import chunking, hybrid, lexical, records, vectors
+from lectern.operators.search_index import SearchIndex
 from lectern.plans.registry import query
-from lectern.sources import tables
+from lectern.sources import shared, tables
 from lectern.sources.tables import with_views
 
 QUESTION = "the with from which with"
@@ -26,6 +27,15 @@ COSINE = """round(list_inner_product(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[]
     * list_inner_product(CAST({1} AS DOUBLE[]), CAST({1} AS DOUBLE[]))), 6)"""
 
 
+def paper_index(spark: SparkSession, folder: str) -> SearchIndex:
+    """The stored index of a folder's papers; made when first asked for, and again when the table's files change."""
+    docs = tables.load(spark, folder, "documents")
+    index = SearchIndex(spark, f"{shared.base_folder(spark)}/papers-index-{shared.version_of(docs)}")
+    if not index.state().version:
+        index.add(tables.papers(spark, folder))
+    return index
+
+
 def _questions(spark: SparkSession, folder: str) -> DataFrame:
     """Every vector whose number is divisible by 50, as a query."""
     chosen = tables.load(spark, folder, "embeddings").where("vec_id % 50 = 0")
@@ -47,7 +57,7 @@ def corpus_term_stats(spark: SparkSession, folder: str) -> DataFrame:
 @query(with_views(f"""WITH {BM25} SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM bm25
     ORDER BY score DESC, id LIMIT 20""", "papers"))
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return lexical.top(lexical.bm25(tables.papers(spark, folder), QUESTION), 20)
+    return paper_index(spark, folder).search(QUESTION, 20).select("id", "score", "rank")
 
 
 @query(with_views(rf"""WITH words AS (SELECT paper_id AS id, project_id, {WORDS.format("abstract")} AS w FROM papers),
@@ -60,8 +70,28 @@ def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
     r AS (SELECT project_id, id, score, row_number() OVER (PARTITION BY project_id ORDER BY score DESC, id) AS rank FROM bm25)
     SELECT * FROM r WHERE rank <= 5""", "papers"))
 def bm25_per_source(spark: SparkSession, folder: str) -> DataFrame:
-    scored = lexical.bm25(tables.papers(spark, folder), QUESTION, "paper_id", "abstract", "project_id")
-    return lexical.top(scored, 5, "project_id")
+    best = paper_index(spark, folder).search(QUESTION, 5, per_key=True)
+    return best.select(F.col("key").alias("project_id"), "id", "score", "rank")
+
+
+CHANGED = f"""changed AS (SELECT paper_id, project_id, CASE WHEN arrival % 7 = 0 THEN title ELSE full_text END AS full_text FROM papers WHERE project_id <> 'src3' AND arrival % 11 <> 5)"""
+
+
+@query(with_views(f"""WITH {CHANGED}, {BM25.replace("FROM papers", "FROM changed")}, best AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM bm25)
+    SELECT state, best.* FROM best, (VALUES ('segments'), ('merged')) s(state) WHERE rank <= 50""", "papers"))
+def index_upkeep(spark: SparkSession, folder: str) -> DataFrame:
+    """Searches of an index after additions, replacements and deletions, and again after the merge of its segments."""
+    papers = tables.papers(spark, folder)
+    index = SearchIndex(spark, shared.new_folder(spark, "upkeep-index"))
+    index.add(papers.where("arrival % 2 = 0"))
+    index.add(papers.where("arrival % 2 = 1"))
+    index.add(papers.where("arrival % 7 = 0").withColumn("full_text", F.col("title")))
+    index.delete(papers.where("project_id = 'src3'").select(F.col("project_id").alias("key")))
+    index.delete(papers.where("arrival % 11 = 5").select(F.col("project_id").alias("key"), F.col("paper_id").alias("id")))
+    before = index.search(QUESTION, 50).withColumn("state", F.lit("segments"))
+    index.merge()
+    after = index.search(QUESTION, 50).withColumn("state", F.lit("merged"))
+    return before.unionByName(after).select("state", "id", "score", "rank")
 
 
 SCORED = f"""scored AS (SELECT q.vec_id AS query_id, e.vec_id AS id, e.label, {COSINE.format("e.embedding", "q.embedding")} AS score
@@ -108,7 +138,7 @@ def _hybrid_sql(vector_weight: str, bm25_weight: str) -> str:
 def _fusion(spark: SparkSession, folder: str, vector_weight: float, bm25_weight: float) -> DataFrame:
     """Rankings of twice the wanted length, fused for each query vector; the question's words are the same. Documents and vectors share their numbers."""
     asked = _questions(spark, folder)
-    best = lexical.top(lexical.bm25(tables.papers(spark, folder), QUESTION), 20)
+    best = paper_index(spark, folder).search(QUESTION, 20)
     # one row: the list of twenty
     listed = best.agg(F.collect_list(F.struct(F.col("id").cast("bigint").alias("id"), "score", "rank")).alias("best"))
     lexical_top = asked.select("query_id").crossJoin(F.broadcast(listed)).select("query_id", F.inline("best"))
@@ -168,7 +198,7 @@ def similar_docs(spark: SparkSession, folder: str) -> DataFrame:
     SELECT 'all' AS query, count(*) AS entries, CAST(max(upto) AS BIGINT) AS n_chars, md5(string_agg(entry, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS context_md5 FROM u WHERE upto <= 12000 HAVING count(*) > 0""", "papers"))
 def context_pack(spark: SparkSession, folder: str) -> DataFrame:
     docs = tables.papers(spark, folder)
-    best = lexical.top(lexical.bm25(docs, QUESTION), 20).withColumnRenamed("id", "paper_id")
+    best = paper_index(spark, folder).search(QUESTION, 20).select(F.col("id").alias("paper_id"), "rank")
     ranked = docs.join(F.broadcast(best), "paper_id").withColumn("query", F.lit("all"))  # twenty rows
     entry = F.concat(F.format_string("[Source %d: %s (abstract)]\n", "rank", "title"), "abstract")
     out = hybrid.packed_context(ranked, "query", "rank", entry, 12_000)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import projects, review
 from lectern.plans.registry import query
-from lectern.plans.retrieval import BM25, QUESTION
+from lectern.plans.retrieval import BM25, QUESTION, paper_index
 from lectern.sources import providers, tables
 from lectern.sources.tables import with_views
 
@@ -18,7 +18,7 @@ from lectern.sources.tables import with_views
     CASE WHEN regexp_extract(substr(abstract, 1, 200), '(?s)^.*[.!?]') <> '' THEN regexp_extract(substr(abstract, 1, 200), '(?s)^.*[.!?]') ELSE substr(abstract, 1, 200) END AS extract
     FROM r JOIN papers ON papers.paper_id = r.id""", "papers"))
 def literature_review(spark: SparkSession, folder: str) -> DataFrame:
-    return review.review(tables.papers(spark, folder), QUESTION, 30, providers.Extracts())
+    return review.review(tables.papers(spark, folder), paper_index(spark, folder), QUESTION, 30, providers.Extracts())
 
 
 @query()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import routing, text
-from lectern.operators import machines
+from lectern.operators import machines, ordered
 from lectern.plans.registry import query
 from lectern.sources import tables
 from lectern.sources.tables import with_views
@@ -93,8 +93,7 @@ def progress_sim(spark: SparkSession, folder: str) -> DataFrame:
 def bin_pack(spark: SparkSession, folder: str) -> DataFrame:
     """Abstracts of each source in order, in bins of 1900 characters; longer ones stand alone, cut."""
     rows = tables.papers(spark, folder).select("source", "arrival", F.length("abstract").alias("len"))
-    step = lambda s, r: s.step(r.len, 1900)
-    return machines.run(rows, "source", ["arrival"], machines.Bins, step, "bin bigint, cut boolean").select("source", "arrival", "bin", "cut")
+    return ordered.bins(rows, "source", "arrival", "len", 1900).select("source", "arrival", "bin", "cut")
 
 
 @query(with_views("""SELECT event_id, model, count(*) OVER w - 1 AS calls_before, CAST(sum(total_tokens) OVER w - total_tokens AS BIGINT) AS tokens_before,

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.operators import lexical, records
+from lectern.operators import records
 
 
 def append(rows: DataFrame, folder: str, key: str | None = None) -> None:
@@ -38,11 +38,6 @@ def delete(spark: SparkSession, folder: str, rest: str, gone: DataFrame, key: st
     spark.read.parquet(folder).join(gone, key, "left_anti").write.mode("overwrite").partitionBy(key).parquet(rest)
 
 
-def build_index(docs: DataFrame, folder: str, key: str, id_col: str, text_col: str) -> None:
-    """The inverted index of each key: postings by term, and the length of each document."""
-    replace(lexical.postings(docs, id_col, text_col, key).repartition(key, "term").sortWithinPartitions(key, "term"), folder, key)
-
-
 def trace(rows: DataFrame, folder: str, service: str) -> None:
     """Rows as JSON lines, each with the service's name; empty fields are left out."""
     line = F.to_json(F.struct(F.lit(service).alias("service"), *rows.columns), {"ignoreNullFields": "true"})

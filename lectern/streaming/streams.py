@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,11 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the cluster's checkpoint folder; where none is set, under a local temporary one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lectern-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+from lectern.sources import shared
 
 
 #: Files of a batch, unless told otherwise.
@@ -52,7 +46,7 @@ def drained(stream: DataFrame, mode: str = "append", key: list[str] | None = Non
     Appended rows go to Parquet as they are. In update mode each batch is written under its number, and the latest row of each
     ``key`` is the result. In complete mode each batch replaces the one before.
     """
-    spark, path = stream.sparkSession, shared_folder(stream.sparkSession)
+    spark, path = stream.sparkSession, shared.new_folder(stream.sparkSession, "stream")
     if mode == "append":
         query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out")
         query.awaitTermination()

@@ -23,14 +23,6 @@ def test_append_upsert_delete(spark, tmp_path):
     assert read(spark, rest) == [("q", "3", 1, "z")]
 
 
-def test_index_is_rebuilt_by_project(spark, tmp_path):
-    folder = str(tmp_path / "index")
-    docs = lambda rows: spark.createDataFrame(rows, "project string, id string, text string")
-    sinks.build_index(docs([("p", "1", "a b a"), ("q", "2", "c")]), folder, "project", "id", "text")
-    sinks.build_index(docs([("p", "9", "d")]), folder, "project", "id", "text")
-    assert sorted((r.project, r.id, r.term, r.tf) for r in spark.read.parquet(folder).collect()) == [("p", "9", "d", 1), ("q", "2", "c", 1)]
-
-
 def test_trace_lines(spark, tmp_path):
     sinks.trace(spark.createDataFrame([(1, None), (2, "x")], "n long, note string"), str(tmp_path / "t"), "svc")
     lines = sorted(r.value for r in spark.read.text(str(tmp_path / "t")).collect())
