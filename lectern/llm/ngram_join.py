@@ -47,7 +47,8 @@ OFTEN = 16
 #: Bytes of a text taken apart at a time.
 PART = 1 << 20
 
-_MARK = 1 << 31
+#: Places in a batch (of at most 1024 rows) are below this; above it are numbers of documents.
+_MARK = 1 << 15
 _MOST = (1 << 15) - 1
 _SPACE = re.compile(rb"[ \t-\r]")
 _FIELDS = "batch long, docs binary, tokens binary, counts binary, ids array<{0}>, sizes binary, digests binary, prints binary"
@@ -77,10 +78,21 @@ def needed(n: Column | np.ndarray, percent: int) -> Column | np.ndarray:
     return F.floor((n * percent + 99) / 100)
 
 
+def _stepped(docs: np.ndarray) -> np.ndarray:
+    """Sorted places as steps from one to the next, mostly 0 or 1, which compresses well; numbers of documents stay."""
+    plain = docs[docs < _MARK]
+    return np.concatenate([np.diff(plain, prepend=np.uint16(0)), docs[len(plain) :]])
+
+
+def _placed(steps: np.ndarray) -> np.ndarray:
+    plain = steps[steps < _MARK]
+    return np.concatenate([np.cumsum(plain, dtype=np.uint16), steps[len(plain) :]])
+
+
 def _sent(number: int, ids: pa.Array, sets: list[np.ndarray], prints: np.ndarray, ranges: int, names: list[str]) -> Iterator[pa.RecordBatch]:
     """The n-grams of a batch by ranges, and a row with what the batch keeps."""
     tokens = np.concatenate([*sets, np.zeros(0, np.uint64)])
-    docs = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets])
+    docs = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
     order = np.argsort(tokens, kind="stable")
     tokens, docs = tokens[order], docs[order]
     own, counts = np.unique(tokens, return_counts=True)
@@ -88,13 +100,13 @@ def _sent(number: int, ids: pa.Array, sets: list[np.ndarray], prints: np.ndarray
     held = np.repeat(often, counts)
     kept = tokens[held].tobytes(), docs[held].tobytes()
     tokens = np.concatenate([tokens[~held], own[often]])
-    docs = np.concatenate([docs[~held], (counts[often] + _MARK).astype(np.uint32)])
+    docs = np.concatenate([docs[~held], (counts[often] + _MARK).astype(np.uint16)])
     to = (tokens >> np.uint64(20)) % np.uint64(ranges)
-    order = np.argsort(to, kind="stable")
+    order = np.lexsort((docs, to))
     tokens, docs, to = tokens[order], docs[order], to[order]
     first = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, np.int64)
     ends = [*first[1:].tolist(), len(to)]
-    rows = [(int(to[a]), number, docs[a:b].tobytes(), tokens[a:b].tobytes()) for a, b in zip(first.tolist(), ends)]
+    rows = [(int(to[a]), number, _stepped(docs[a:b]).tobytes(), tokens[a:b].tobytes()) for a, b in zip(first.tolist(), ends)]
     rows.append((number % ranges, number, kept[1], kept[0]))
     n = len(rows)
     none = pa.nulls(n - 1, pa.binary())
@@ -114,11 +126,11 @@ def _counted(table: pa.Table) -> pa.Table:
     if len(rest):
         parts = [np.frombuffer(x, np.uint64) for x in rest.column("tokens").to_pylist()]
         ends = np.cumsum([len(x) for x in parts])
-        docs = np.frombuffer(b"".join(rest.column("docs").to_pylist()), np.uint32)
+        docs = np.concatenate([_placed(np.frombuffer(x, np.uint16)) for x in rest.column("docs").to_pylist()])
         tokens, place = np.unique(np.concatenate(parts), return_inverse=True)
         weights = np.where(docs >= _MARK, docs.astype(np.int64) - _MARK, 1)
         count = np.bincount(place, weights=weights, minlength=len(tokens)).astype(np.int64)[place]
-        kept = count >= 2
+        kept, count = count >= 2, np.minimum(count, _MOST).astype(np.uint16)
         rows = []
         for batch, part, end in zip(rest.column("batch").to_pylist(), parts, ends.tolist()):
             at = slice(end - len(part), end)
@@ -138,13 +150,13 @@ def _assembled(table: pa.Table, percent: int) -> pa.Table:
     ids = own.column("ids").chunk(0).flatten()
     sizes = np.frombuffer(own.column("sizes")[0].as_py(), np.int64)
     digests, prints = own.column("digests")[0].as_py(), np.frombuffer(own.column("prints")[0].as_py(), np.int64)
-    docs, tokens, counts = (np.frombuffer(b"".join(rest.column(c).to_pylist()), kind) for c, kind in (("docs", np.uint32), ("tokens", np.uint64), ("counts", np.int64)))
+    docs, tokens, counts = (np.frombuffer(b"".join(rest.column(c).to_pylist()), kind) for c, kind in (("docs", np.uint16), ("tokens", np.uint64), ("counts", np.uint16)))
     marks = docs >= _MARK
-    held, held_docs = np.frombuffer(own.column("tokens")[0].as_py(), np.uint64), np.frombuffer(own.column("docs")[0].as_py(), np.uint32)
+    held, held_docs = np.frombuffer(own.column("tokens")[0].as_py(), np.uint64), np.frombuffer(own.column("docs")[0].as_py(), np.uint16)
     named = np.argsort(tokens[marks])
-    held_counts = counts[marks][named][np.searchsorted(tokens[marks][named], held)] if len(held) else np.zeros(0, np.int64)
+    held_counts = counts[marks][named][np.searchsorted(tokens[marks][named], held)] if len(held) else np.zeros(0, np.uint16)
     docs, tokens, counts = (np.concatenate([x[~marks], y]) for x, y in ((docs, held_docs), (tokens, held), (counts, held_counts)))
-    codes = (np.minimum(counts, _MOST).astype(np.uint64) << np.uint64(48)) | (tokens >> np.uint64(16))
+    codes = (counts.astype(np.uint64) << np.uint64(48)) | (tokens >> np.uint64(16))
     shared = np.bincount(docs, minlength=len(sizes))
     rare = sizes - shared
     able = (sizes > 0) & (rare <= sizes - needed(sizes, percent))
