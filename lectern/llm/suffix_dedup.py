@@ -12,7 +12,8 @@ between such anchors is sorted. There, the phrases between anchors are the lette
 A check of whole windows follows. Windows that begin and end in the same gaps between anchors are one cell; cells with equal
 bytes repeat as a whole, and of the others only those that share all inner phrases are compared window by window.
 Rolling hashes of 64 bits only choose what is compared, where a collision costs work; cells and windows are held equal by
-128 bits of BLAKE2b over their bytes, so that texts built to collide lose nothing.
+128 bits of BLAKE2b over their bytes, so that texts built to collide lose nothing. Rows are told apart by id and SHA-256: their
+64-bit keys are checked for clashes first, and pairs that clash get other ones.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ FAR = 1 << 20
 BLOCK = 1 << 14
 #: Names that ranks reach over; what is equal so far is told apart by its names themselves when suffixes are sorted.
 DEPTH = 9
+#: Hashes that rows' keys may take until no two differ and agree.
+KEY_ROUNDS = 8
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -310,12 +313,14 @@ def _cell_rows(length: int):
             string, places, counts = known.field("s").to_numpy(), *_flat(known.field("shared"), "j", "shared")
             ends = np.cumsum(sizes)
             for row, (key, text, low, high, copied) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5)))):
-                entry = {int(string[i]): i for i in range(ends[row] - sizes[row], ends[row])}
+                entry: dict[int, list[int]] = {}
+                for i in range(ends[row] - sizes[row], ends[row]):
+                    entry.setdefault(int(string[i]), []).append(i)
                 for a, stop, rolling, at in _regions(text, low, high, length):
                     most = np.full(len(at) + 1, FAR if copied else 0)
-                    if a in entry:
-                        place, count = places[entry[a]], counts[entry[a]]
-                        ok = place < len(most)  # else a string of equal hash
+                    for i in entry.get(a, ()):  # several if strings have one hash: what any of them shares is tried
+                        place, count = places[i], counts[i]
+                        ok = place < len(most)
                         np.maximum.at(most, place[ok], count[ok])
                     # a cell begins where a window loses its first anchor or wins a further one
                     lo = np.unique(np.concatenate([[a], at + 1, at - (length - GRAM)]))
@@ -387,9 +392,36 @@ def _kept(length: int):
     return run
 
 
-def _key(id_col: str, text_col: str) -> Column:
-    """Tells rows apart by id and text; the few that agree in both are one text with copies."""
-    return F.xxhash64(F.col(id_col), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
+def _hash(*columns: Column) -> Column:
+    return F.xxhash64(*columns)
+
+
+def _with_key(rows: DataFrame, moved: DataFrame | None) -> DataFrame:
+    """``rows`` (with ``id`` and ``sha``) and ``k``, one number for each pair of id and SHA-256: a hash, of the pairs in ``moved`` another one."""
+    if moved is None:
+        return rows.withColumn("k", _hash(F.col("id"), F.col("sha")))
+    known = moved.select(F.col("id").alias("_id"), F.col("sha").alias("_sha"), "round")
+    met = rows.join(known, F.col("id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")), "left").drop("_id", "_sha")
+    own = F.when(F.col("round").isNull(), _hash(F.col("id"), F.col("sha"))).otherwise(_hash(F.col("id"), F.col("sha"), F.col("round")))
+    return met.withColumn("k", own).drop("round")
+
+
+def _moved(rows: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """``id, sha, round`` of the pairs that need another hash for no two different ones to have one key; None without any, as a rule."""
+    moved = None
+    for number in range(1, KEY_ROUNDS + 1):
+        keyed = _with_key(rows.select("id", "sha"), moved)
+        pair = F.struct("id", "sha")
+        clash = keyed.groupBy("k").agg(F.min(pair).alias("low"), F.max(pair).alias("high")).where("NOT low <=> high").select("k")
+        clash = scratch.save(clash, "clash")
+        if clash.isEmpty():
+            return moved
+        again = scratch.save(keyed.join(clash, "k", "left_semi").select("id", "sha").distinct().withColumn("round", F.lit(number)), "again")
+        if moved is not None:
+            new = again.select(F.col("id").alias("_id"), F.col("sha").alias("_sha"))
+            again = scratch.save(moved.join(new, F.col("id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")), "left_anti").union(again), "moved")
+        moved = again
+    raise RuntimeError(f"keys still clash after {KEY_ROUNDS} hashes")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
@@ -399,7 +431,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     null and shorter texts lose nothing; rows that repeat are two places, so each loses all of its long strings; null
     ids are kept; an empty table gives an empty result; other columns are not read. ``length`` must exceed ``GRAM``.
     """
-    rows, kept = _found(docs, Scratch(docs.sparkSession, "suffix"), id_col, text_col, length)
+    rows, kept, _ = _found(docs, Scratch(docs.sparkSession, "suffix"), id_col, text_col, length)
     out = rows.join(kept, "k", "left")
     none = F.lit(0).cast("long")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_bytes"), F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "spans")
@@ -430,22 +462,27 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     What ``repeated_passages`` finds goes, but for parts of characters at the edges, so that texts stay UTF-8. Null texts stay null.
     """
     scratch = Scratch(docs.sparkSession, "passages")
-    _, kept = _found(docs, scratch, id_col, text_col, length)
+    _, kept, moved = _found(docs, scratch, id_col, text_col, length)
     spans = kept.select(F.col("k").alias("_k"), F.col("spans").alias("_spans"))
-    hit = docs.withColumn("_k", _key(id_col, text_col)).join(spans, "_k", "left").drop("_k").withColumn("_text", F.col(text_col).cast("binary"))
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    text = F.coalesce(F.col(names[docs.columns.index(text_col)]).cast("string"), F.lit(""))
+    read = docs.toDF(*names).withColumn("id", F.col(names[docs.columns.index(id_col)])).withColumn("sha", F.sha2(text, 256))
+    keyed = _with_key(read, moved).withColumnRenamed("k", "_k").join(spans, "_k", "left")
+    hit = keyed.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns)), "_spans", F.col(names[docs.columns.index(text_col)]).cast("binary").alias("_text"))
     out = hit.mapInArrow(_cut, hit.schema).withColumn(text_col, F.col("_text").cast("string"))
     return out.select(docs.columns)
 
 
-def _found(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, length: int) -> tuple[DataFrame, DataFrame]:
-    """Written tables: ``id, k, sha, n`` of all rows, and by ``k`` the removed spans of those that lose any."""
+def _found(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, length: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Written tables: ``id, k, sha, n`` of all rows, by ``k`` the removed spans of those that lose any, and what ``_with_key`` needs for the keys."""
     if length <= GRAM:
         raise ValueError(f"length must exceed {GRAM}")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     sha = F.sha2(text, 256)
     read = docs.select(F.col(id_col).alias("id"), text.cast("binary").alias("text"), sha.alias("sha"), F.octet_length(text).cast("long").alias("n"))
-    read = read.withColumn("k", F.xxhash64("id", "sha"))
-    rows = scratch.save(read.select("id", "k", "sha", "n"), "rows")
+    rows = scratch.save(read.select("id", "sha", "n"), "rows")
+    moved = _moved(rows, scratch)
+    rows, read = scratch.save(_with_key(rows, moved), "keyed"), _with_key(read, moved)
     copies = scratch.save(rows.groupBy("k").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "copies")
     once = read.where(F.col("n") >= length).select("k", "text")
     if not copies.isEmpty():
@@ -472,7 +509,7 @@ def _found(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, length
     known = alive.join(per_doc, "k", "left").join(copies, "k", "left").select("k", "text", "low", "high", "known", F.col("copies").isNotNull().alias("copied"))
     cells = known.mapInArrow(_cell_rows(length), "k long, lo long, hi long, inner long, whole long, whole2 long")
     cells = scratch.save(cells, "cells")
-    scratch.only(rows, copies, alive, cells)
+    scratch.only(*(t for t in (rows, moved, copies, alive, cells) if t is not None))
 
     kinds = cells.join(copies, "k", "left").groupBy("inner", "whole", "whole2").agg(F.sum(F.coalesce("copies", F.lit(1))).alias("n"), *(F.first(c).alias(c) for c in ("k", "lo", "hi")))
     # any one cell stands for its kind; its columns come from one row, and the written table fixes which
@@ -490,5 +527,5 @@ def _found(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, length
     scratch.drop(windows, twice, cells)
     kept = alive.select("k", "text").join(runs, "k").mapInArrow(_kept(length), "k long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,stop:bigint>>")
     kept = scratch.save(kept, "kept")
-    scratch.only(rows, kept)
-    return rows, kept
+    scratch.only(*(t for t in (rows, kept, moved) if t is not None))
+    return rows, kept, moved

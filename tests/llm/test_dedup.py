@@ -286,3 +286,23 @@ def test_comparison_spans_batches():
         out = [(r["id"], r["shared"]) for b in suffix_dedup._compared(iter(batches)) for r in b.to_pylist()]
         assert out == right
     assert not list(suffix_dedup._compared(iter([])))
+
+
+def test_colliding_row_keys(spark, monkeypatch):
+    """With keys of 37 values, unrelated documents lose nothing and repeated passages still go."""
+    real = suffix_dedup._hash
+    monkeypatch.setattr(suffix_dedup, "_hash", lambda *c: real(*c) if len(c) > 2 else F.pmod(real(*c), F.lit(37)))
+    rng = random.Random(11)
+    rows = [(i, words(rng, 200), "en") for i in range(60)] + [(None, words(rng, 200), "en"), (7, words(rng, 250), "en")]
+    rows += [(100, rows[0][1] + " more", "en"), (101, rows[5][1], "en"), (101, rows[5][1], "en")]
+    got = suffix_dedup.repeated_passages(wide(spark, rows)).drop("spans").collect()
+    want = passages(rows)
+    assert sorted(map(tuple, got), key=key) == want and sum(r[2] > 0 for r in want) == 5
+    cut = Counter((r.doc_id, len((r.text or "").encode())) for r in suffix_dedup.remove_passages(wide(spark, rows)).collect())
+    assert cut == Counter((i, n - gone) for i, n, gone, _, _ in want)
+
+
+def test_keys_that_never_part(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "_hash", lambda *c: F.lit(1).cast("long"))
+    with pytest.raises(RuntimeError, match="clash"):
+        suffix_dedup.repeated_passages(wide(spark, [(1, "a", "en"), (2, "b", "en")]))
