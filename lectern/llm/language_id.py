@@ -26,7 +26,7 @@ KEPT_GRAMS = 32_768
 #: unrelated vectors have (one over the square root of the dimension).
 LEAST_GRAMS, LEAST_SIGMAS = 100, 2.25
 #: More different labels than there are languages: then they aren't languages.
-MOST_LANGS = 16_384
+MOST_LANGS = 8_192
 
 
 class Encoder:
@@ -122,10 +122,9 @@ def fit(
         for lang, v in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * dim), pa.array(range(dim), pa.int32()), pa.array(v)], ["lang", "dim", "value"])
 
-    parts = chosen.mapInArrow(run, "lang string, dim int, value double")
-    out: dict[str, np.ndarray] = {}
-    for lang, at, value in parts.groupBy("lang", "dim").agg(F.sum("value")).collect():  # dim rows a language
-        out.setdefault(lang, np.zeros(dim))[at] = value
+    parts = chosen.mapInArrow(run, "lang string, dim int, value double").groupBy("lang", "dim").agg(F.sum("value").alias("value"))
+    whole = parts.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("v")).select("lang", F.transform("v", lambda x: x["value"]).alias("v"))
+    out = {r.lang: np.array(r.v) for r in whole.collect()}  # a row of dim numbers for each language
     return {k: v / (np.linalg.norm(v) or 1.0) for k, v in sorted(out.items())}
 
 

@@ -231,7 +231,10 @@ def pack(items: DataFrame, scratch: Scratch, capacity: int = 2048, slack: int =
         F.xxhash64("id", "piece").alias("tie"),
         F.array(F.struct("id", "piece", "start", "length", "crc")).alias("members"),
     )
-    count, tasks, done, round_no = items.count(), None, [], 0
+    # what is full already can't be joined and says nothing about whether the rest still can
+    whole = F.count(F.when(F.col("length") >= capacity - slack, 1)).alias("whole")
+    count, whole = items.agg(F.count(F.lit(1)), whole).first()
+    tasks, done, round_no = None, [], 0
     while count:
         most = -(-count // task_items)
         tasks = most if tasks is None else max(most, -(-tasks // FAN_IN))
@@ -241,11 +244,11 @@ def pack(items: DataFrame, scratch: Scratch, capacity: int = 2048, slack: int =
         made = bins.groupBy("full").count().collect()
         full, open_ = (sum(r["count"] for r in made if r["full"] is x) for x in (True, False))
         round_no += 1
-        last = not open_ or tasks == 1 or round_no == max_rounds or (full + open_) > 0.995 * count
+        last = not open_ or tasks == 1 or round_no == max_rounds or (full + open_ - whole) > 0.995 * (count - whole)
         done.append(bins if last else bins.where("full"))
         if last:
             break
-        left, count = bins.where("NOT full").drop("full"), open_
+        left, count, whole = bins.where("NOT full").drop("full"), open_, 0
     rows = None
     for bins in done:
         rows = bins.select("tie", "members") if rows is None else rows.union(bins.select("tie", "members"))

@@ -120,6 +120,14 @@ def language_rows():
     return [(i, " ".join(rng.choice(sets[g]) for _ in range(rng.randint(5, 60))), g) for i, g in enumerate(list(sets) * 60)]
 
 
+def test_packing_beside_full_pieces(spark):
+    """Underfull bins are joined over tasks although nearly all pieces are full."""
+    rows = [(i, 0, 0, 2048 if i % 50 else 1024, 0) for i in range(2000)]
+    items = spark.createDataFrame(rows, "id long, piece int, start long, length long, crc long")
+    out = packing.pack(items, Scratch(spark, "test-pack"), task_items=50)
+    assert out.select("sequence_id").distinct().count() == 1960 + 20
+
+
 def test_languages(spark):
     rows = language_rows()
     docs = wide(spark, rows)
