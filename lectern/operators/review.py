@@ -12,6 +12,13 @@ from lectern.sources.providers import TextProvider
 
 THRESHOLD = 60.0
 SINGLE_CHARS, SINGLE_TOKENS = 16_000, 4_000
+#: What stands around the entries of a fallback report, in its order.
+FALLBACK = (
+    "\n\n## Overview\n\nThis literature review covers ",
+    ". Due to processing constraints, this is a condensed summary of the research findings.\n\n## Key Papers Analyzed\n\n",
+    " additional papers were analyzed but not included in this summary due to length constraints.*\n\n",
+    "\n## Conclusion\n\nThis review provides an overview of the current research landscape. For a more detailed analysis, please review the individual paper analyses above.",
+)
 
 
 def relevance(found: DataFrame) -> DataFrame:
@@ -65,3 +72,28 @@ def review(papers: DataFrame, index: SearchIndex, question: str, most: int, writ
     texts = papers.select("paper_id", "title", "abstract")
     out = texts.join(F.broadcast(scored), "paper_id")  # ``most`` rows
     return out.select("question", "rank", "paper_id", "title", "score", "relevance_score", "high_quality", writer.summary(F.col("abstract")).alias("extract"))
+
+
+def fallback(texts: DataFrame, topic: str, order: str, text: str, most: int = 10) -> DataFrame:
+    """``topic, n, synthesis``: a report of each topic out of its first ``most`` texts, for when no other can be made.
+
+    An entry is headed by the first of the text's five first lines that names a title or is a heading, and gives its first three lines that are neither empty
+    nor headings, up to 500 characters. Null texts count but are empty. The first rows of a topic are cut off before they are shuffled.
+    """
+    place = F.row_number().over(Window.partitionBy(topic).orderBy(order))
+    first = texts.select(topic, order, F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("place", place).where(F.col("place") <= most)
+    lines = F.split("t", "\n")
+    names = F.filter(F.slice(lines, 1, 5), lambda x: F.contains(F.lower(x), F.lit("title")) | F.startswith(x, F.lit("#")))
+    name = F.trim(F.regexp_replace(F.replace(F.replace(F.get(names, F.lit(0)), F.lit("#"), F.lit("")), F.lit("Title:"), F.lit("")), r"^\s+|\s+$", ""))
+    title = F.coalesce(F.substring(name, 1, 100), F.concat(F.lit("Paper "), F.col("place").cast("string")))
+    content = F.slice(F.filter(lines, lambda x: x.rlike(r"\S") & ~F.startswith(x, F.lit("#"))), 1, 3)
+    entry = F.concat(F.lit("### "), title, F.lit("\n\n"), F.when(F.size(content) > 0, F.concat(F.substring(F.array_join(content, " "), 1, 500), F.lit("...\n\n"))).otherwise(""))
+    entries = first.select(topic, "place", entry.alias("entry")).groupBy(topic).agg(F.array_sort(F.collect_list(F.struct("place", "entry"))).alias("e"))
+    counts = texts.groupBy(topic).agg(F.count(F.lit(1)).alias("n"))
+    met = counts.join(entries.withColumnRenamed(topic, "_topic"), F.col(topic).eqNullSafe(F.col("_topic")))
+    more = F.col("n") - most
+    note = F.when(more > 0, F.concat(F.lit("\n*Note: "), more.cast("string"), F.lit(FALLBACK[2]))).otherwise("")
+    name = F.coalesce(F.col(topic).cast("string"), F.lit(""))
+    parts = [F.lit("# Literature Review: "), name, F.lit(FALLBACK[0]), F.col("n").cast("string"), F.lit(" papers on the topic of "), name, F.lit(FALLBACK[1])]
+    report = F.concat(*parts, F.array_join(F.transform("e", lambda x: x["entry"]), ""), note, F.lit(FALLBACK[3]))
+    return met.select(topic, "n", report.alias("synthesis"))

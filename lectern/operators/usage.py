@@ -80,3 +80,23 @@ def budget_check(summaries: DataFrame, estimate: float) -> DataFrame:
 def token_check(summaries: DataFrame, estimate: int) -> DataFrame:
     refused = (F.lit(estimate) > 0) & (F.col("tokens") + estimate > F.col("token_limit"))
     return summaries.select("user_id", (~refused).alias("allowed"), "tokens_left")
+
+
+#: Size of a latency sketch: its ranks are off by well under one in a hundred.
+SKETCH_SIZE = 400
+
+
+def latency_sketches(calls: DataFrame, *keys: str) -> DataFrame:
+    """``keys, n, sketch``: a quantile sketch of the latencies of each key, made by map tasks in part. Null latencies don't count."""
+    return calls.where("latency_ms IS NOT NULL").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_bigint(F.col("latency_ms").cast("bigint"), F.lit(SKETCH_SIZE)).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, *keys: str) -> DataFrame:
+    """Sketches of coarser keys from stored ones of finer keys; no call is read again."""
+    return sketches.groupBy(*keys).agg(F.sum("n").alias("n"), F.kll_merge_agg_bigint("sketch").alias("sketch"))
+
+
+def latency_quantiles(sketches: DataFrame, *shares: float) -> DataFrame:
+    """A row for each sketch and share: ``share`` and the ``latency_ms`` at it."""
+    each = F.array(*(F.struct(F.lit(p).alias("share"), F.kll_sketch_get_quantile_bigint("sketch", F.lit(p)).alias("latency_ms")) for p in shares))
+    return sketches.select(*(c for c in sketches.columns if c != "sketch"), F.inline(each))

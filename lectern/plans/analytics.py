@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import usage
 from lectern.plans.registry import query
-from lectern.sources import tables
+from lectern.sources import shared, tables
 from lectern.sources.tables import with_views
 
 START, END, MONTH = "2024-01-02", "2024-01-20", "2024-01-01"
@@ -94,3 +94,24 @@ def latency_stats(spark: SparkSession, folder: str) -> DataFrame:
     return ranked.groupBy("agent_type").agg(
         F.round(F.sum(F.col("latency_ms") * F.col("n")) / F.sum("n"), 6).alias("mean"), F.min(F.when(F.col("upto") > F.col("at"), F.col("latency_ms"))).alias("p95")
     )
+
+
+SHARES, RANK_ERROR = (0.5, 0.9, 0.95, 0.99), 0.02
+
+
+@query(with_views(f"""SELECT strftime(created_at, '%Y-%m') AS month, agent_type, share, count(*) AS n, true AS within
+    FROM calls, (SELECT unnest([{", ".join(map(str, SHARES))}]::DOUBLE[]) AS share) WHERE latency_ms IS NOT NULL GROUP BY ALL""", "calls"))
+def latency_percentiles_monthly(spark: SparkSession, folder: str) -> DataFrame:
+    """Percentiles of months merged from stored sketches of days, and whether their exact ranks lie within the sketches' error."""
+    day = F.date_format("created_at", "yyyy-MM-dd")
+    calls = tables.calls(spark, folder).withColumn("day", day).withColumn("month", F.substring("day", 1, 7))
+    daily = shared.new_folder(spark, "latency-by-day")
+    usage.latency_sketches(calls, "month", "day", "agent_type").write.partitionBy("month").parquet(daily)
+    stored = spark.read.parquet(daily).withColumn("month", F.col("month").cast("string"))
+    found = usage.latency_quantiles(usage.merged_sketches(stored, "month", "agent_type"), *SHARES)
+    # rows of months, agents and shares meet the calls' counts by value
+    values = calls.where("latency_ms IS NOT NULL").groupBy("month", "agent_type", F.col("latency_ms").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    ranks = found.join(values, ["month", "agent_type"]).groupBy("month", "agent_type", "share", "n", "latency_ms")
+    ranks = ranks.agg(F.sum(F.when(F.col("v") < F.col("latency_ms"), F.col("c")).otherwise(0)).alias("below"), F.sum(F.when(F.col("v") <= F.col("latency_ms"), F.col("c")).otherwise(0)).alias("upto"))
+    within = (F.col("below") / F.col("n") - RANK_ERROR <= F.col("share")) & (F.col("share") <= F.col("upto") / F.col("n") + RANK_ERROR)
+    return ranks.select("month", "agent_type", "share", "n", within.alias("within"))

@@ -80,3 +80,17 @@ def fallback_report(spark: SparkSession, folder: str) -> DataFrame:
 def hash_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     """Offline embeddings of all abstracts."""
     return tables.papers(spark, folder).select("paper_id", providers.HashEmbeddings().embed(F.col("abstract")).alias("embedding"))
+
+
+@query(f"""WITH d AS (SELECT source, doc_id, string_split(coalesce(text, ''), chr(10)) AS l, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents),
+    t AS (SELECT source, place, list_filter(l[1:5], lambda x: contains(lower(x), 'title') OR starts_with(x, '#'))[1] AS name,
+        list_filter(l, lambda x: regexp_matches(x, '\\S') AND NOT starts_with(x, '#'))[1:3] AS c FROM d WHERE place <= 10),
+    e AS (SELECT source, string_agg('### ' || coalesce(substr(regexp_replace(replace(replace(name, '#', ''), 'Title:', ''), '^\\s+|\\s+$', '', 'g'), 1, 100), 'Paper ' || place) || chr(10) || chr(10)
+        || CASE WHEN len(c) > 0 THEN substr(array_to_string(c, ' '), 1, 500) || '...' || chr(10) || chr(10) ELSE '' END, '' ORDER BY place) AS e FROM t GROUP BY source),
+    n AS (SELECT source, count(*) AS n FROM documents GROUP BY source)
+    SELECT source, n, '# Literature Review: ' || source || '{review.FALLBACK[0]}' || n || ' papers on the topic of ' || source || '{review.FALLBACK[1]}' || e
+        || CASE WHEN n > 10 THEN chr(10) || '*Note: ' || (n - 10) || '{review.FALLBACK[2]}' ELSE '' END || '{review.FALLBACK[3]}' AS synthesis
+    FROM n JOIN e USING (source)""")
+def fallback_synthesis(spark: SparkSession, folder: str) -> DataFrame:
+    """A report of each source's first ten documents in the form that stands in for a written one."""
+    return review.fallback(tables.load(spark, folder, "documents"), "source", "doc_id", "text")

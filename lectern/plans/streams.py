@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.plans.registry import query
+from lectern.sources import shared
+from lectern.sources.sinks import RollUp
 from lectern.streaming import streams
 
 
@@ -65,3 +67,14 @@ def stream_fanout(spark: SparkSession, folder: str) -> DataFrame:
 def stream_ttl_cache(spark: SparkSession, folder: str) -> DataFrame:
     """The cache depends on the order of events, so all present files are one batch, sorted by time within a key."""
     return streams.drained(streams.cache_hits(streams.events(spark, folder, files_per_batch=None), 172_800), "update", ["user_id"])
+
+
+@query("""SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS calls, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS tokens
+    FROM events GROUP BY ALL""")
+def stream_usage_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    """Daily sums that batches of the stream are added to exactly once: no watermark, no state, late events count."""
+    rollup = RollUp(spark, shared.new_folder(spark, "usage-rollup"), {"day": "string", "event_type": "string"}, {"calls": "long", "tokens": "long"})
+    rows = streams.events(spark, folder).select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type", F.lit(1).alias("calls"), F.get_json_object("props", "$.k").cast("long").alias("tokens"))
+    streams.added_to(rollup, rows)
+    rollup.compact()
+    return rollup.read()

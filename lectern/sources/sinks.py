@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.operators import records
+from lectern.sources import shared
 
 
 def append(rows: DataFrame, folder: str, key: str | None = None) -> None:
@@ -42,3 +43,52 @@ def trace(rows: DataFrame, folder: str, service: str) -> None:
     """Rows as JSON lines, each with the service's name; empty fields are left out."""
     line = F.to_json(F.struct(F.lit(service).alias("service"), *rows.columns), {"ignoreNullFields": "true"})
     rows.select(line.alias("value")).write.mode("append").text(folder)
+
+
+class RollUp:
+    """Sums by key that a stream adds to, each of its batches once, in ``folder``.
+
+    A batch's partial sums are a table under the batch's number. A batch that comes again after a failure replaces its own table with the same sums, and
+    one that ``compact`` has taken in already is left out. ``compact`` writes all batches so far as one base, and a record that makes it valid.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, keys: dict[str, str], sums: dict[str, str]):
+        """``keys`` and ``sums``: columns and their types."""
+        self.spark, self.folder, self.keys, self.sums = spark, folder.rstrip("/"), keys, sums
+        self.schema = ", ".join(f"`{c}` {t}" for c, t in (keys | sums).items())
+
+    def upto(self) -> int:
+        """The last batch that the base holds; -1 without a base."""
+        if not shared.exists(self.spark, f"{self.folder}/bases"):
+            return -1
+        records_ = self.spark.read.schema("upto long").option("recursiveFileLookup", "true").json(f"{self.folder}/bases")
+        return max((r.upto for r in records_.collect()), default=-1)
+
+    def add(self, batch: DataFrame, number: int) -> None:
+        """Adds the rows of a batch; for ``foreachBatch``."""
+        if number > self.upto():
+            self._summed(batch).write.mode("overwrite").parquet(f"{self.folder}/batches/batch={number}")
+
+    def _summed(self, rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*self.keys).agg(*(F.sum(c).cast(t).alias(c) for c, t in self.sums.items()))
+
+    def _parts(self, upto: int) -> DataFrame:
+        out = self.spark.createDataFrame([], self.schema)
+        if upto >= 0:
+            out = out.union(self.spark.read.schema(self.schema).parquet(f"{self.folder}/base/upto={upto}"))
+        if shared.exists(self.spark, f"{self.folder}/batches"):
+            later = self.spark.read.schema(f"{self.schema}, batch long").parquet(f"{self.folder}/batches").where(F.col("batch") > upto)
+            out = out.union(later.drop("batch"))
+        return out
+
+    def read(self) -> DataFrame:
+        return self._summed(self._parts(self.upto()))
+
+    def compact(self) -> None:
+        """One base of all batches so far."""
+        if not shared.exists(self.spark, f"{self.folder}/batches"):
+            return
+        last = self.spark.read.schema(f"{self.schema}, batch long").parquet(f"{self.folder}/batches").agg(F.max("batch")).first()[0]
+        if last is not None and last > self.upto():
+            self.read().write.mode("overwrite").parquet(f"{self.folder}/base/upto={last}")
+            self.spark.createDataFrame([(last,)], "upto long").coalesce(1).write.json(f"{self.folder}/bases/{last}")

@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lectern.sources import shared
+from lectern.sources.sinks import RollUp
 
 
 #: Files of a batch, unless told otherwise.
@@ -68,6 +69,12 @@ def drained(stream: DataFrame, mode: str = "append", key: list[str] | None = Non
     return last.select(*key, "v.*")
 
 
+def added_to(rollup: RollUp, stream: DataFrame) -> None:
+    """Adds the present input of ``stream`` to ``rollup``; what earlier runs have read is not read again."""
+    query = stream.writeStream.foreachBatch(rollup.add).option("checkpointLocation", f"{rollup.folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
 def usage_by_day(stream: DataFrame) -> DataFrame:
     return stream.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum("value"), 6).alias("value"))
 
