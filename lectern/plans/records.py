@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import routing, text
-from lectern.operators import events, vectors
+from lectern.operators import events, records, vectors
 from lectern.plans.registry import query
-from lectern.sources import feeds, tables
+from lectern.sources import answers, feeds, shared, tables
 from lectern.sources.tables import with_views
 
 #: What a status is called; the generic states stand for three of them.
@@ -48,6 +48,44 @@ def json_page(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("paper_id", "title", F.md5("abstract").alias("abstract_md5"), "url", "source")
 
 
+SERVICES, TERMS, PAGES, PAGE_SIZE = ("atom", "json"), ("the", "with", "die"), 3, 20
+
+
+def _saved_answers(spark: SparkSession, folder: str) -> str:
+    """Answers of two services to three terms, saved as a folder for each page: the papers with the term in order of arrival."""
+    papers = tables.papers(spark, folder)
+    service = F.when(F.col("arrival") % 2 == 0, SERVICES[0]).otherwise(SERVICES[1])
+    asked = papers.select("arrival", "title", "abstract", service.alias("service"), F.explode(F.array(*map(F.lit, TERMS))).alias("term")).where(F.contains(F.lower("abstract"), F.col("term")))
+    place = F.row_number().over(Window.partitionBy("service", "term").orderBy("arrival")) - 1
+    hits = asked.withColumn("place", place).where(F.col("place") < PAGES * PAGE_SIZE).withColumn("page", F.floor(F.col("place") / PAGE_SIZE))
+    number = F.col("arrival").cast("string")
+    atom = F.concat(F.lit("<entry><title>"), _xml(F.col("title")), F.lit("</title><summary>"), _xml(F.col("abstract")), F.lit("</summary><id>"), number, F.lit("</id></entry>"))
+    item = F.to_json(F.struct("title", "abstract", number.alias("url")))
+    listed = hits.withColumn("entry", F.when(F.col("service") == SERVICES[0], atom).otherwise(item)).groupBy("service", "term", "page")
+    pages = listed.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "entry"))), lambda x: x["entry"]).alias("e"))
+    feed = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom">'), F.array_join("e", ""), F.lit("</feed>"))
+    whole = F.when(F.col("service") == SERVICES[0], feed).otherwise(F.concat(F.lit('{"data":['), F.array_join("e", ","), F.lit("]}")))
+    path = shared.new_folder(spark, "answers")
+    pages.select("service", "term", "page", whole.alias("value")).write.partitionBy("service", "term", "page").text(path)
+    return path
+
+
+@query(with_views(rf"""WITH a AS (SELECT p.arrival, trim(regexp_replace(title, '\s+', ' ', 'g')) AS title, CASE WHEN arrival % 2 = 0 THEN 'atom' ELSE 'json' END AS source, term,
+        row_number() OVER (PARTITION BY arrival % 2, term ORDER BY arrival) AS n FROM papers p, (SELECT unnest({list(TERMS)}) AS term) t WHERE contains(lower(abstract), term)),
+    f AS (SELECT arrival, title, source, min(term) AS term FROM a WHERE n <= {PAGES * PAGE_SIZE} GROUP BY ALL)
+    SELECT CAST(arrival AS VARCHAR) AS url, source, term FROM f WHERE title <> '' QUALIFY row_number() OVER (PARTITION BY lower(title) ORDER BY arrival) = 1""", "papers"))
+def answers_fetch(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages of saved answers read as a data source, a partition a page, made records, and one kept of each title."""
+    path = _saved_answers(spark, folder)
+    answers.register(spark)
+    read = [spark.read.format("search_answers").options(**answers.options(f"{path}/service={s}/term={{term}}/page={{page}}/", list(TERMS), PAGES, PAGE_SIZE)).load() for s in SERVICES]
+    # of saved answers none may fail
+    read = [r.withColumn("answer", F.when(F.col("error").isNotNull(), F.raise_error("error")).otherwise(F.col("answer"))) for r in read]
+    found = feeds.atom(read[0], "answer", SERVICES[0], "term").unionByName(feeds.page(read[1], "answer", SERVICES[1], "term"))
+    once = found.groupBy("url", "source").agg(F.min("term").alias("term"), F.min("title").alias("title")).withColumn("arrival", F.col("url").cast("long"))
+    return records.first_per_title(once).select("url", "source", "term")
+
+
 KINDS = {"signup": "status", "click": "progress", "view": "paper_found", "purchase": "completed", "error": "error"}
 KIND_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in KINDS.items()) + " END"
 
