@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -103,19 +104,21 @@ def nearest(
     """``query_id, rank, vec_id, score``: the ``top`` rows found nearest to each row whose id is divisible by ``every``.
 
     Nearness is the largest inner product in double precision, ties to the smaller id; a row isn't its own neighbour.
-    Defined cases: null ids, and vectors that are null, empty, zero or hold null or non-finite numbers, take no part; nor do
-    vectors of another length than the most frequent one (of equally frequent ones the longest); rows that repeat an id
+    Defined cases: null ids, and vectors that are null, empty, zero or hold null or non-finite numbers, take no part; vectors of different
+    lengths have no product, so each length is an index of its own, made one after another; rows that repeat an id
     are candidates singly; queries without any candidate have no row; other columns are not read.
     """
-    spark, scratch = rows.sparkSession, Scratch(rows.sparkSession, "ann")
+    spark = rows.sparkSession
     read = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     read = read.where(usable(F.col("v")) & F.col("id").isNotNull())
-    shape = read.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if shape is None:
-        return empty
-    dim, total = shape["dim"], shape["count"]
-    read = read.where(F.size("v") == dim)
+    shapes = read.groupBy(F.size("v").alias("dim")).count().orderBy("dim").collect()  # a row for each length
+    found = [_of_one_length(read.where(F.size("v") == r["dim"]), r["dim"], r["count"], every, top, recall, centroids, sample_rows) for r in shapes]
+    return reduce(DataFrame.union, found) if found else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _of_one_length(read: DataFrame, dim: int, total: int, every: int, top: int, recall: float, centroids: int | None, sample_rows: int) -> DataFrame:
+    """``nearest`` for usable vectors ``id, v`` of ``dim`` numbers, ``total`` in all."""
+    scratch = Scratch(read.sparkSession, "ann")
     k = centroids or max(4, min(256, int(total**0.4 / 1.2)))
     # the sample is bounded: about sample_rows rows, chosen by a hash of their id
     lot = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)

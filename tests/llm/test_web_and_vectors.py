@@ -175,6 +175,19 @@ def test_neighbours_of_few(spark):
     assert [(r.vec_id, r.score) for r in got] == [(1, 0.5), (2, 0.5), (3, -1.0)]
 
 
+def test_neighbours_of_every_length(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=(i % 3 + 1) * 4).tolist()) for i in range(240)] + [(1000, [1.0]), (1001, [2.0]), (1002, [-1.0]), (1020, [1.0, 1.0]), (1040, [3.0, 1.0])]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), recall=1.0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert sorted(got[1000]) == [(1, 1001, 2.0), (2, 1002, -1.0)] and got[1020] == [(1, 1040, 4.0)] and got[1040] == [(1, 1020, 4.0)]
+    assert set(got) == {i for i, _ in rows if i % 20 == 0}
+    known = dict(rows)
+    for query, own in got.items():
+        assert all(len(known[v]) == len(known[query]) for _, v, _ in own) and len(own) == min(20, sum(len(v) == len(known[query]) for v in known.values()) - 1)
+
+
 def test_neighbours_recall(spark):
     folder = "/root/testdata/sf0.01"
     out = queries.op10_nearest_neighbours(spark, folder).toPandas()
