@@ -30,7 +30,7 @@ def bm25(docs: DataFrame, query: str, id_col: str = "paper_id", text_col: str =
     ``keys`` make separate indexes: corpus sizes, document frequencies and mean lengths are per key.
     Only words of the query are exploded and shuffled, whatever the length of the documents.
     """
-    terms = Counter(_words(query))
+    terms = Counter(query_words(query))
     if not terms:
         return docs.select(*keys, F.col(id_col).alias("id"), F.lit(0.0).alias("score")).where("false")
     read = docs.select(*keys, F.col(id_col).alias("id"), text.tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("words"))
@@ -47,7 +47,8 @@ def bm25(docs: DataFrame, query: str, id_col: str = "paper_id", text_col: str =
     return scored.groupBy(*keys, "id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
-def _words(query: str) -> list[str]:
+def query_words(query: str) -> list[str]:
+    """The words of a question, as ``text.tokens`` cuts texts."""
     return "".join(c if c.isalnum() or c in "_ \t\n" else " " for c in query.lower()).split()
 
 

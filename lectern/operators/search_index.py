@@ -166,13 +166,13 @@ class SearchIndex:
         A word that the question repeats counts as often. Ties go to the smaller id. Of one scope, figures, bounds and threshold are a few values by then, and
         what is returned is one scan of the query's postings.
         """
-        state, times = self.state(), Counter(lexical._words(question))
+        state, times = self.state(), Counter(lexical.query_words(question))
         scope, few = F.col("key") if per_key else F.lit(""), not per_key
         buckets = sorted({zlib.crc32(t.encode()) % self.buckets for t in times})
         rows = self._table("postings", POSTINGS, state.segments if times else [])
         rows = rows.where(F.col("bucket").isin(buckets) & F.col("term").isin(list(times))).withColumn("scope", scope)
         sums = self._table("figures", FIGURES, state.segments + state.gone).groupBy(scope.alias("scope")).agg(F.sum("n").alias("docs"), F.sum("total").alias("total"))
-        corpus = self._pinned(sums.select("scope", "docs", (F.col("total") / F.greatest("docs", F.lit(1))).alias("mean")), few)
+        corpus = sums.select("scope", "docs", (F.col("total") / F.greatest("docs", F.lit(1))).alias("mean"))
         count = rows.groupBy("scope", "term").agg(F.sum("n").alias("df"))
         if state.gone:
             near = rows.join(self._dead(state).select("seg", "key", "part").distinct(), ["seg", "key", "part"], "left_semi").select("scope", "term", "seg", "key", F.inline("entries"))
@@ -184,10 +184,10 @@ class SearchIndex:
         bounded = rows.join(weights, ["scope", "term"]).withColumn("bound", _score("most", "least"))
         # of each scope the part with the largest sum of bounds
         sums = bounded.groupBy("scope", "seg", "key", "part").agg(F.sum("bound").alias("bound"))
-        first = self._pinned(sums.groupBy("scope").agg(F.max(F.struct("bound", "seg", "key", "part")).alias("p")).select("scope", "p.seg", "p.key", "p.part"), few)
+        first = sums.groupBy("scope").agg(F.max(F.struct("bound", "seg", "key", "part")).alias("p")).select("scope", "p.seg", "p.key", "p.part")
         scored = self._scored(bounded.join(first, ["scope", "seg", "key", "part"]), state)
         place = F.row_number().over(Window.partitionBy("scope").orderBy(F.desc("score")))  # over one part a scope
-        least = self._pinned(scored.withColumn("place", place).where(F.col("place") == k).select("scope", F.col("score").alias("threshold")), few)
+        least = scored.withColumn("place", place).where(F.col("place") == k).select("scope", F.col("score").alias("threshold"))
         tops = bounded.groupBy("scope", "term").agg(F.max("bound").alias("top"))
         reach = self._pinned(tops.groupBy("scope").agg(F.map_from_entries(F.collect_list(F.struct("term", "top"))).alias("tops")).join(least, "scope", "left"), few)
         others = F.aggregate(F.map_values("tops"), F.lit(0.0), lambda a, x: a + x) - F.col("tops")[F.col("term")]

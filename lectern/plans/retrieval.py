@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +34,11 @@ def paper_index(spark: SparkSession, folder: str) -> SearchIndex:
     docs = tables.load(spark, folder, "documents")
     index = SearchIndex(spark, f"{shared.base_folder(spark)}/papers-index-{shared.version_of(docs)}")
     if not index.state().version:
-        index.add(tables.papers(spark, folder))
+        try:
+            index.add(tables.papers(spark, folder))
+        except AnalysisException:  # another session may have been first
+            if not index.state().version:
+                raise
     return index
 
 

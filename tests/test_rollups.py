@@ -5,7 +5,6 @@ import random
 import time
 
 import pytest
-from pyspark.sql import functions as F
 
 from lectern.operators import review, usage
 from lectern.sources import shared
