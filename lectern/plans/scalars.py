@@ -89,7 +89,9 @@ def json_extract(spark: SparkSession, folder: str) -> DataFrame:
     return tables.load(spark, folder, "events").select("event_id", F.variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
 
 
-@query()
+@query("""WITH a AS (SELECT event_id, props, CASE event_id % 4 WHEN 0 THEN '```json' || chr(10) || props || chr(10) || '```' WHEN 1 THEN 'Here it is: ' || props || ' - done'
+        WHEN 2 THEN '{"a": ' || props ELSE 'no object here' END AS answer FROM events)
+    SELECT event_id, answer, CAST(json(CASE event_id % 4 WHEN 2 THEN '{"a":' || props || '}' WHEN 3 THEN NULL ELSE props END) AS VARCHAR) AS object FROM a""")
 def json_repair(spark: SparkSession, folder: str) -> DataFrame:
     """Objects wrapped in fences, prose or cut off, by turns."""
     n, props = F.col("event_id"), F.col("props")

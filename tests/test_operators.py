@@ -112,6 +112,30 @@ def test_json_repair():
     assert jsonrepair.first_object("none") is None and jsonrepair.first_object(None) is None
 
 
+@pytest.mark.parametrize(
+    ("answer", "found"),
+    [
+        ("", None),
+        ("  [1, 2] ", "[1,2]"),
+        ('"text"', '"text"'),
+        ("```\n{}\n```", "{}"),
+        ('{"a": 1} {"b": 2}', '{"a":1}'),
+        ('x {"a": {"b": {}}} y', '{"a":{"b":{}}}'),
+        ('x {"a": "\\"}"} y', '{"a":"\\"}"}'),
+        ('x {"a": "{{"', '{"a":"{{"}'),
+        ('x {"a": [1, {"b": 2', None),
+        ('x {"a": "open', None),
+        ('x {"a": {"b": "}', None),
+        ("x {a: 1} y", None),
+        ('x } {"a": 1}', '{"a":1}'),
+        ('x {"é": "ü"} y', '{"é":"ü"}'),
+        ("x {", "{}"),
+    ],
+)
+def test_json_repair_table(answer, found):
+    assert jsonrepair.first_object(answer) == found
+
+
 def test_ttl_boundaries():
     cache = machines.TtlCache()
     assert [cache.step(t, 10) for t in (0, 9, 10, 11)] == [False, True, False, True]
