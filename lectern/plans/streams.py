@@ -78,3 +78,17 @@ def stream_usage_rollup(spark: SparkSession, folder: str) -> DataFrame:
     streams.added_to(rollup, rows)
     rollup.compact()
     return rollup.read()
+
+
+@query("""WITH c AS (SELECT user_id, event_id % 20 AS subscriber, ts, event_id, event_type FROM events WHERE event_type IN ('signup', 'view')),
+    d AS (SELECT m.event_id AS message_id, c.subscriber, arg_max(c.event_type, (c.ts, c.event_id)) AS kind FROM events m JOIN c ON c.user_id = m.user_id
+        AND c.ts <= m.ts AND c.ts >= m.ts - INTERVAL 1 DAY WHERE m.event_type = 'error' GROUP BY m.event_id, c.subscriber)
+    SELECT message_id, subscriber FROM d WHERE kind = 'signup'""")
+def stream_deliveries(spark: SparkSession, folder: str) -> DataFrame:
+    """Errors delivered to those who are subscribed to their project then: signups subscribe for a day, views end it."""
+    wanted = lambda *kinds: _all_events(spark, folder).where(F.col("event_type").isin(*kinds))
+    messages = wanted("error").select(F.col("user_id").alias("project"), F.col("event_id").alias("message_id"), F.col("ts").alias("sent_at"))
+    changes = wanted("signup", "view").select(
+        F.col("user_id").alias("to"), (F.col("event_id") % 20).alias("subscriber"), F.col("ts").alias("changed_at"), F.col("event_id").alias("change_id"), F.col("event_type").alias("kind")
+    )
+    return streams.subscribed(streams.drained(streams.deliveries(messages, changes)), "signup")

@@ -91,6 +91,23 @@ def once(stream: DataFrame, *key: str) -> DataFrame:
     return stream.dropDuplicatesWithinWatermark(list(key))
 
 
+def deliveries(messages: DataFrame, changes: DataFrame, lease: str = "1 day") -> DataFrame:
+    """``message_id, subscriber, changed_at, change_id, kind``: each message with all changes of subscriptions to its project in the ``lease`` before it.
+
+    An interval join of two streams, ``messages`` (``project, message_id, sent_at``) and ``changes`` (``to, subscriber, changed_at, change_id, kind``),
+    with watermarks on both sides: state is kept for the lease and the lateness, whatever the length of the streams. ``subscribed`` reads the result.
+    """
+    near = (F.col("changed_at") <= F.col("sent_at")) & (F.col("changed_at") >= F.col("sent_at") - F.expr(f"INTERVAL {lease}"))
+    met = messages.join(changes, (F.col("project") == F.col("to")) & near)
+    return met.select("message_id", "subscriber", "changed_at", "change_id", "kind")
+
+
+def subscribed(delivered: DataFrame, kind: str) -> DataFrame:
+    """``message_id, subscriber`` where the last change before the message is of this kind. Changes may come in any order, late ones too."""
+    last = F.max_by("kind", F.struct("changed_at", "change_id")).alias("kind")
+    return delivered.groupBy("message_id", "subscriber").agg(last).where(F.col("kind") == kind).select("message_id", "subscriber")
+
+
 def cache_hits(stream: DataFrame, ttl_s: int) -> DataFrame:
     """``user_id, hits, misses`` of a cache with a key per user, kept as state; hits don't prolong an entry."""
 

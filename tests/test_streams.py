@@ -64,7 +64,7 @@ def test_sessions_close(spark, folder):
     assert (7, 4, 8.0) in got  # a session is open for late events until its gap has passed
 
 
-STREAMS = ("stream_usage_daily", "stream_session_spend", "stream_trailing_rate", "stream_dedup", "stream_ttl_cache")
+STREAMS = ("stream_usage_daily", "stream_session_spend", "stream_trailing_rate", "stream_dedup", "stream_ttl_cache", "stream_usage_rollup", "stream_deliveries")
 
 
 @pytest.mark.parametrize("name", STREAMS)
