@@ -343,8 +343,8 @@ def _cell_rows(length: int):
 
 
 def _window_rows(length: int):
-    """The different windows of the given cells, once for each document: digest ``w, w2``, how often it stands there ``n``, and the place of a
-    lone one. Windows that a document itself repeats are decided: their runs have no digest."""
+    """The different windows of the given cells, once for each document: rolling hash ``h``, how often it stands there ``n``, a place ``at``, and
+    the place again as ``lo`` if it is the only one. Windows that a document itself repeats are decided by digest: their runs have ``n`` of 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 32):
@@ -353,20 +353,42 @@ def _window_rows(length: int):
                 sizes = cells["hi"] - cells["lo"] + 1
                 start = np.arange(sizes.sum()) + np.repeat(cells["lo"] - np.cumsum(sizes) + sizes, sizes)
                 times = np.repeat(cells["n"], sizes)
-                digests = _digests(text, start, start + length)
-                first, kind = _kinds(digests)
-                total = np.bincount(kind, times).astype(np.int64)
+                hashes = Rolling(text).hashes(start, start + length)
+                _, place, there = np.unique(hashes, return_inverse=True, return_counts=True)
+                # several places with one hash here: only those with one digest are one window
+                several = there[place] > 1
+                alone_at, several_at = np.flatnonzero(~several), np.flatnonzero(several)
+                some, among = _kinds(_digests(text, start[several_at], start[several_at] + length))
+                first, kind = np.concatenate([alone_at, several_at[some]]), np.empty(len(start), np.int64)
+                kind[alone_at], kind[several_at] = np.arange(len(alone_at)), len(alone_at) + among
+                total = np.bincount(kind, times, len(first)).astype(np.int64)
                 known = (total[kind] > 1) & (times == 1)
                 flags = np.zeros(len(text) + 1, dtype=bool)
                 flags[start[known]] = True
                 low, high = _runs(flags)
                 none = np.full(len(low), 0, np.int64)
-                alone = np.where(total == 1, start[first], -1)
-                made = (np.full(len(first) + len(low), key), *(np.concatenate([digests[first, i], none]) for i in (0, 1)), np.concatenate([total, none]), np.concatenate([alone, low]), np.concatenate([alone, high - 1]))
+                lone = np.where(total == 1, start[first], -1)
+                made = (np.full(len(first) + len(low), key), *(np.concatenate(x) for x in ((hashes[first].view(np.int64), none), (total, none), (lone, low), (lone, high - 1), (start[first], none))))
                 for col, x in zip(cols, made):
                     col.append(x)
             arrays = [pa.array(np.concatenate(c) if c else [], pa.int64()) for c in cols]
-            yield pa.RecordBatch.from_arrays(arrays, ["k", "w", "w2", "n", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays(arrays, ["k", "h", "n", "lo", "hi", "at"])
+
+    return run
+
+
+def _digest_rows(length: int):
+    """Digests ``w, w2`` of the windows at the given places, with their ``n`` and ``lo``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 64):
+            keys, made, counts, lows = [], [], [], []
+            for key, text, windows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _lists(batch.column(2))):
+                keys.append(np.full(len(windows["at"]), key))
+                made.append(_digests(text, windows["at"], windows["at"] + length))
+                counts.append(windows["n"]), lows.append(windows["lo"])
+            columns = [np.concatenate(keys), *np.concatenate(made).T, np.concatenate(counts), np.concatenate(lows)] if keys else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["k", "w", "w2", "n", "lo"])
 
     return run
 
@@ -517,14 +539,19 @@ def _found(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, length
     open_ = kinds.groupBy("inner").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 AND least = 1 AND inner <> 0").select("inner")
     tried = kinds.join(scratch.save(open_, "open"), "inner", "left_semi").unionByName(kinds.where("inner = 0"))
     tried = tried.groupBy("k").agg(F.collect_list(F.struct("lo", "hi", "n")).alias("cells"))
-    windows = alive.select("k", "text").join(scratch.save(tried, "tried"), "k").mapInArrow(_window_rows(length), "k long, w long, w2 long, n long, lo long, hi long")
+    windows = alive.select("k", "text").join(scratch.save(tried, "tried"), "k").mapInArrow(_window_rows(length), "k long, h long, n long, lo long, hi long, at long")
     windows = scratch.save(windows, "windows")
     hashed = windows.where("n > 0")
-    twice = scratch.save(hashed.groupBy("w", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w", "w2"), "twice")
-    single = hashed.where("lo >= 0").join(twice, ["w", "w2"], "left_semi").select("k", "lo", "hi").unionByName(windows.where("n = 0").select("k", "lo", "hi"))
+    # rolling hashes choose, digests decide
+    likely = scratch.save(hashed.groupBy("h").agg(F.sum("n").alias("c")).where("c > 1").select("h"), "likely")
+    chosen = hashed.join(likely, "h", "left_semi").groupBy("k").agg(F.collect_list(F.struct("at", "n", "lo")).alias("windows"))
+    digested = alive.select("k", "text").join(scratch.save(chosen, "chosen"), "k").mapInArrow(_digest_rows(length), "k long, w long, w2 long, n long, lo long")
+    digested = scratch.save(digested, "digested")
+    twice = scratch.save(digested.groupBy("w", "w2").agg(F.sum("n").alias("c")).where("c > 1").select("w", "w2"), "twice")
+    single = digested.where("lo >= 0").join(twice, ["w", "w2"], "left_semi").select("k", "lo", F.col("lo").alias("hi")).unionByName(windows.where("n = 0").select("k", "lo", "hi"))
     whole = cells.join(scratch.save(kinds.where("n > 1").select("inner", "whole", "whole2"), "often"), ["inner", "whole", "whole2"], "left_semi").select("k", "lo", "hi")
     runs = scratch.save(single.unionByName(whole).groupBy("k").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "runs")
-    scratch.drop(windows, twice, cells)
+    scratch.drop(windows, digested, twice, cells)
     kept = alive.select("k", "text").join(runs, "k").mapInArrow(_kept(length), "k long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,stop:bigint>>")
     kept = scratch.save(kept, "kept")
     scratch.only(*(t for t in (rows, kept, moved) if t is not None))
