@@ -166,6 +166,11 @@ class SearchIndex:
         A word that the question repeats counts as often. Ties go to the smaller id. Of one scope, figures, bounds and threshold are a few values by then, and
         what is returned is one scan of the query's postings.
         """
+        best = self.candidates(question, k, per_key)
+        return lexical.top(best, k, "key") if per_key else lexical.top(best, k)
+
+    def candidates(self, question: str, k: int, per_key: bool = False) -> DataFrame:
+        """``key, id, score`` of all documents that score as high as the ``k``-th best, ties with it included, and of some others."""
         state, times = self.state(), Counter(lexical.query_words(question))
         scope, few = F.col("key") if per_key else F.lit(""), not per_key
         buckets = sorted({zlib.crc32(t.encode()) % self.buckets for t in times})
@@ -193,10 +198,7 @@ class SearchIndex:
         others = F.aggregate(F.map_values("tops"), F.lit(0.0), lambda a, x: a + x) - F.col("tops")[F.col("term")]
         # scores are rounded to six decimals
         able = bounded.join(reach, "scope").where(F.col("bound") + others + 2e-6 >= F.coalesce("threshold", F.lit(0.0)))
-        best = self._scored(able, state)
-        if per_key:
-            return lexical.top(best.drop("scope"), k, "key")
-        return lexical.top(best.drop("scope"), k)
+        return self._scored(able, state).drop("scope")
 
     def _scored(self, rows: DataFrame, state: State) -> DataFrame:
         """``scope, key, id, score`` of the living documents in ``rows``."""

@@ -161,7 +161,7 @@ def _hybrid_sql(vector_weight: str, bm25_weight: str) -> str:
 def _fusion(spark: SparkSession, folder: str, vector_weight: float, bm25_weight: float) -> DataFrame:
     """Rankings of twice the wanted length, fused for each query vector; the question's words are the same. Documents and vectors share their numbers."""
     asked = _questions(spark, folder)
-    best = paper_index(spark, folder).search(QUESTION, 20)
+    best = hybrid.numbered_ties(paper_index(spark, folder).candidates(QUESTION, 20), 20)
     # one row: the list of twenty
     listed = best.agg(F.collect_list(F.struct(F.col("id").cast("bigint").alias("id"), "score", "rank")).alias("best"))
     lexical_top = asked.select("query_id").crossJoin(F.broadcast(listed)).select("query_id", F.inline("best"))
