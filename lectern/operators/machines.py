@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -105,10 +105,19 @@ def trailing(rows: DataFrame, key: str, micros: str, tie: str, span_s: int, amou
     """
     span = span_s * 1_000_000
     slot = F.floor(F.col(micros) / span)
-    slots = rows.withColumn("own", slot).withColumn("slot", F.explode(F.array(slot, slot + 1)))
-    near = Window.partitionBy(key, "slot").orderBy(micros).rangeBetween(-span, 0)
-    counted = slots.withColumns({"calls_before": F.count(F.lit(1)).over(near) - 1, "amount_before": F.sum(amount).over(near) - F.col(amount)})
-    return counted.where("slot = own").drop("slot", "own")
+    slots = rows.withColumn("own", slot).withColumn("slot", F.explode(F.array(slot, slot + 1))).withColumn("offset", F.pmod(F.col(micros), F.lit(span)))
+    slots = slots.withColumn("mine", F.col("slot") == F.col("own")).drop("own")
+    whole = Window.partitionBy(key, "slot")
+    near = whole.orderBy("offset")
+    upto, before = near.rangeBetween(Window.unboundedPreceding, 0), near.rangeBetween(Window.unboundedPreceding, -1)
+
+    def within(value: Column) -> Column:
+        """Of the row's own slot what is no later; of the slot before what is at the row's offset or after it. Sums that only grow along the slot."""
+        mine, other = F.when(F.col("mine"), value), F.when(~F.col("mine"), value)
+        return F.coalesce(F.sum(mine).over(upto), F.lit(0)) + F.coalesce(F.sum(other).over(whole), F.lit(0)) - F.coalesce(F.sum(other).over(before), F.lit(0))
+
+    counted = slots.withColumns({"calls_before": within(F.lit(1).cast("long")) - 1, "amount_before": within(F.col(amount)) - F.col(amount)})
+    return counted.where("mine").drop("slot", "offset", "mine")
 
 
 def streaks(rows: DataFrame, key: str, order: list[str], failed: str) -> DataFrame:
