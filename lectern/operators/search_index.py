@@ -21,8 +21,12 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,11 +36,15 @@ from lectern.operators.lexical import B, K1
 from lectern.sources import shared
 
 BUCKETS = 64
+#: Tasks that a bucket is split over in a merge, at most.
+SHARES = 4
 #: Documents of a part, as a power of two.
 PART_BITS = 7
 LOG = "version long, segment string, gone string, replaces array<string>"
 DOCS = "key string, id string, dl long, part long, seg string"
 POSTINGS = "term string, key string, part long, n long, most long, least long, entries array<struct<id: string, tf: long, dl: long>>, seg string, bucket int"
+#: Rows as tasks make them, before they have a bucket.
+MADE = "term string, key string, part long, entries array<struct<id: string, tf: long, dl: long>>"
 FIGURES = "key string, n long, total long, seg string"
 GONE = "key string, id string, dl long, part long, of string, seg string"
 
@@ -96,20 +104,51 @@ class SearchIndex:
         sums = rows.groupBy("key").agg((sign * F.count(F.lit(1))).alias("n"), (sign * F.sum("dl")).alias("total"))
         sums.write.parquet(f"{self.folder}/figures/seg={name}")
 
-    def _segment(self, sized: DataFrame, hits: DataFrame) -> str:
-        """Writes documents (``key, id, dl``) and their words (``key, id, term, tf``)."""
+    def _segment(self, docs: DataFrame, hits: DataFrame | None = None) -> str:
+        """Writes documents (``key, id, dl, words``, the words joined by spaces) and their postings. Words may come apart as ``hits`` (``key, id, term, tf``).
+
+        Texts are sorted once; a task makes the postings of whole parts, so that only these rows move again.
+        """
         name = f"s{uuid.uuid4().hex[:12]}"
+        if hits is not None:
+            apart = F.flatten(F.collect_list(F.array_repeat("term", F.col("tf").cast("int"))))
+            docs = docs.join(hits.groupBy("key", "id").agg(F.array_join(apart, " ").alias("words")), ["key", "id"], "left")
         place = F.shiftright(F.monotonically_increasing_id(), PART_BITS)
-        sized.select("key", "id", "dl").orderBy("key", "dl", "id").withColumn("part", place).write.parquet(f"{self.folder}/docs/seg={name}")
-        docs = self._table("docs", DOCS, [name]).drop("seg")
-        if docs.groupBy("key", "id").count().where("count > 1").limit(1).count():
+        placed = docs.select("key", "id", "dl", F.coalesce("words", F.lit("")).alias("words")).orderBy("key", "dl", "id").withColumn("part", place)
+        rows = placed.mapInArrow(_postings, MADE)
+        # a part's documents are the entries of no term
+        self._write_postings(rows.withColumn("bucket", F.coalesce(self._bucket(F.col("term")), F.lit(-1))).hint("rebalance", F.col("bucket")), name)
+        listed = self._table("postings", POSTINGS, [name]).where("bucket = -1").select("key", "part", F.inline("entries"))
+        listed.select("key", "id", "dl", "part").write.parquet(f"{self.folder}/docs/seg={name}")
+        kept = self._table("docs", DOCS, [name])
+        if kept.groupBy("key", "id").count().where("count > 1").limit(1).count():
             raise ValueError("ids are not unique within their key")
-        self._figures(docs, name, 1)
-        entry = F.struct("id", "tf", "dl")
-        rows = hits.join(docs, ["key", "id"]).groupBy("term", "key", "part")
-        rows = rows.agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"), F.min("dl").alias("least"), F.array_sort(F.collect_list(entry)).alias("entries"))
-        rows = rows.withColumn("bucket", self._bucket(F.col("term"))).hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term", "key", "part")
-        rows.write.partitionBy("bucket").parquet(f"{self.folder}/postings/seg={name}")
+        self._figures(kept, name, 1)
+        return name
+
+    def _write_postings(self, rows: DataFrame, name: str) -> None:
+        """Figures of a row's entries are taken where it is written, not carried there."""
+        most, least = F.array_max(F.transform("entries", lambda e: e["tf"])), F.array_min(F.transform("entries", lambda e: e["dl"]))
+        rows = rows.sortWithinPartitions("bucket", "term", "key", "part")
+        rows.select("term", "key", "part", F.size("entries").cast("long").alias("n"), most.alias("most"), least.alias("least"), "entries", "bucket").write.partitionBy("bucket").parquet(f"{self.folder}/postings/seg={name}")
+
+    def _joined(self, state: State) -> str:
+        """Writes the living documents and postings of all segments as one segment. Parts stay together, and those that follow by length fill up to PART documents or
+        a part more; postings are never taken apart into rows."""
+        name = f"s{uuid.uuid4().hex[:12]}"
+        alive, on = self.documents(state), ["seg", "key", "part"]
+        sizes = alive.groupBy(on).agg(F.count(F.lit(1)).alias("n"), F.min("dl").alias("least"))
+        before = F.sum("n").over(Window.partitionBy("key").orderBy("least", "seg", "part").rowsBetween(Window.unboundedPreceding, -1))
+        parts = sizes.select(*on, F.shiftright(F.coalesce(before, F.lit(0)), PART_BITS).alias("to"))
+        alive.join(parts, on).select("key", "id", "dl", F.col("to").alias("part")).write.parquet(f"{self.folder}/docs/seg={name}")
+        self._figures(self._table("docs", DOCS, [name]), name, 1)
+        dead = self._dead(state).groupBy(on).agg(F.collect_set("id").alias("dead"))
+        known = parts.join(dead, on, "left") if state.gone else parts.withColumn("dead", F.lit(None).cast("array<string>"))
+        left = F.when(F.col("dead").isNull(), F.col("entries")).otherwise(F.filter("entries", lambda e: ~F.array_contains("dead", e["id"])))
+        rows = self._table("postings", POSTINGS, state.segments).where("bucket >= 0").join(known, on).select("bucket", "term", "key", F.col("to").alias("part"), left.alias("entries")).where("size(entries) > 0")
+        # a term's rows meet where they are written
+        rows = rows.withColumn("share", F.pmod(F.xxhash64("term"), F.lit(SHARES))).repartition("bucket", "share").groupBy("bucket", "share", "term", "key", "part").agg(F.flatten(F.collect_list("entries")).alias("entries"))
+        self._write_postings(rows, name)
         return name
 
     def _bucket(self, term: Column) -> Column:
@@ -132,9 +171,7 @@ class SearchIndex:
         """Adds documents, in the place of those of the same key and id. Null texts are empty, null keys the empty one; rows without an id are left out."""
         state = self.state()
         read = docs.select(F.coalesce(F.col(key_col).cast("string"), F.lit("")).alias("key"), F.col(id_col).cast("string").alias("id"), text.tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("words")).where("id IS NOT NULL")
-        sized = read.select("key", "id", F.size("words").cast("long").alias("dl"))
-        hits = read.select("key", "id", F.explode("words").alias("term")).groupBy("key", "id", "term").agg(F.count(F.lit(1)).alias("tf"))
-        name = self._segment(sized, hits)
+        name = self._segment(read.select("key", "id", F.size("words").cast("long").alias("dl"), F.array_join("words", " ").alias("words")))
         self._commit(state, name, self._bury(state, self._table("docs", DOCS, [name])), [])
 
     def delete(self, gone: DataFrame) -> None:
@@ -149,10 +186,7 @@ class SearchIndex:
         state = self.state()
         if len(state.segments) + len(state.gone) < 2:
             return
-        alive = self.documents(state)
-        rows = self._table("postings", POSTINGS, state.segments).select("seg", "key", "term", F.inline("entries"))
-        hits = rows.join(self._dead(state), ["seg", "key", "id"], "left_anti").select("key", "id", "term", "tf")
-        self._commit(state, self._segment(alive, hits), None, [*state.segments, *state.gone])
+        self._commit(state, self._joined(state), None, [*state.segments, *state.gone])
 
     # search
 
@@ -208,6 +242,37 @@ class SearchIndex:
         return entries.groupBy("scope", "key", "id").agg(F.round(F.sum(_score("tf", "dl")), 6).alias("score"))
 
 
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of documents in order (``key, id, dl, words, part``) the rows of each part: its documents without a term, then its terms."""
+    held: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = (table if held is None else pa.concat_tables([held, table])).combine_chunks()
+        key, part = table["key"].combine_chunks().dictionary_encode().indices.to_numpy(), table["part"].to_numpy()
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1).tolist()] if len(table) else [0]
+        for start, end in zip(cuts, cuts[1:]):
+            yield _of_part(table.slice(start, end - start))
+        held = table.slice(cuts[-1])
+    if held:
+        yield _of_part(held)
+
+
+def _of_part(docs: pa.Table) -> pa.RecordBatch:
+    size, ids, lengths = len(docs), docs["id"].combine_chunks(), docs["dl"].to_numpy()
+    words = pc.split_pattern(docs["words"].combine_chunks(), " ")
+    owner, flat = np.repeat(np.arange(size), pc.list_value_length(words).to_numpy(zero_copy_only=False)), words.flatten()
+    coded = flat.dictionary_encode()
+    full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    pairs, tf = np.unique((coded.indices.to_numpy().astype(np.int64) * size + owner)[full], return_counts=True)
+    term, row = pairs // max(size, 1), pairs % max(size, 1)
+    starts = np.flatnonzero(np.diff(term, prepend=-1))
+    rows, offsets = np.concatenate([np.arange(size), row]), np.concatenate([[0], size + starts, [size + len(term)]])
+    entry = pa.StructArray.from_arrays([ids.take(pa.array(rows)), pa.array(np.concatenate([np.zeros(size, np.int64), tf])), pa.array(lengths[rows])], ["id", "tf", "dl"])
+    terms = pa.concat_arrays([pa.nulls(1, pa.string()), coded.dictionary.take(pa.array(term[starts]))])
+    key, part = (docs[c].combine_chunks().take(pa.array(np.zeros(len(terms), np.int64))) for c in ("key", "part"))
+    return pa.RecordBatch.from_arrays([terms, key, part, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), entry)], ["term", "key", "part", "entries"])
+
+
 def _score(tf: str, dl: str) -> Column:
     """A word's part of the score, by frequency and length; null where no document is left."""
     n = F.col(tf)
