@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Rows and queries that one task multiplies at a time.
 BLOCK = 4096
+#: Queries of a block whose scores a task holds at a time.
+ASKED = 256
 LEAST = -np.inf
 
 
@@ -74,7 +76,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, least: float = -1.0,
     def task(block: pd.DataFrame, chunk: pd.DataFrame) -> pd.DataFrame:
         lengths = block["v"].map(len), chunk["q"].map(len)
         both = sorted(set(lengths[0]) & set(lengths[1]) - {0})
-        found = [met(block[lengths[0] == n], chunk[lengths[1] == n]) for n in both]
+        sides = [(block[lengths[0] == n], chunk[lengths[1] == n]) for n in both]
+        found = [met(own, wanted.iloc[i : i + ASKED]) for own, wanted in sides for i in range(0, len(wanted), ASKED)]
         none = pd.DataFrame({"query_id": [], "id": [], "per": [], "score": []})
         return (pd.concat(found) if found else none).astype({"query_id": "int64", "id": "int64", "score": "float64"})
 
