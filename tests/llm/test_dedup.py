@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -306,3 +307,46 @@ def test_keys_that_never_part(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "_hash", lambda *c: F.lit(1).cast("long"))
     with pytest.raises(RuntimeError, match="clash"):
         suffix_dedup.repeated_passages(wide(spark, [(1, "a", "en"), (2, "b", "en")]))
+
+
+def test_passages_travel_in_packs(spark, monkeypatch):
+    """Anchors, cells and windows are no rows: fewer rows than a tenth of the repeated windows are written, and the result holds."""
+    rng = random.Random(12)
+    passages_ = [words(rng, 300) for _ in range(5)]
+    rows = [(i, words(rng, 20) + passages_[i % 5][i : i + 1200 + i % 7] + words(rng, 20), "en") for i in range(60)]
+    written = []
+    save = Scratch.save
+
+    def counted(self, df, name):
+        out = save(self, df, name)
+        # the suffixes' own sort goes by row
+        written.append(out.count() if name not in ("triples", "names", "suffixes") else 0)
+        return out
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    got = suffix_dedup.repeated_passages(wide(spark, rows)).drop("spans").collect()
+    want = passages(rows)
+    assert sorted(map(tuple, got), key=key) == want and sum(r[2] for r in want) > 60_000
+    assert max(written) < 2000
+
+
+def test_a_bucket_counts_what_batches_summed():
+    """Equal keys of one batch travel once, with their sum; the others and what is decided already go back at once."""
+    rows = np.array([[1, 2, 3, 4, 5], [1, 1, 1, 0, 1], [7, 7, 8, 7, 9], [10, 20, 30, 40, 50]])
+    later = np.array([[6, 7], [1, 2], [8, 11], [60, 70]])
+
+    def flat(parts):
+        return lambda batches: (pa.RecordBatch.from_arrays([pa.array(r) for r in p], ["k", "c", "h", "at"]) for p in parts)
+
+    for lone, want in ((False, {(1, 10), (2, 20), (3, 30), (4, 40), (6, 60), (7, 70)}), (True, {(5, 50)})):
+        back, packs = [], []
+        for part in (rows, later):
+            packs += suffix_dedup._to_buckets(flat([part.copy()]), 1, 3, 4, lone)(iter([]))
+        table = pa.Table.from_batches(packs)
+        for number in range(3):
+            bucket = table.filter(pc.and_(pc.invert(table["sure"]), pc.equal(table["part"], number)))
+            if bucket.num_rows:
+                back.append(suffix_dedup._chosen(4, 1, 4, lone)(bucket))
+        done = pa.concat_tables([table.filter(table["sure"]), *back])
+        got = [(k, at) for number in set(done["part"].to_pylist()) for k, e in zip(*suffix_dedup._by_document(["at"])(done.filter(pc.equal(done["part"], number))).to_pydict().values()) for at in e]
+        assert sorted(got) == sorted(want)
